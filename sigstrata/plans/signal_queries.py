@@ -1,4 +1,485 @@
-"""Registered queries of the signal engine."""
+"""Registered queries of the signal engine, each with its SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sigstrata.functions import codes
+from sigstrata.operators import dsp, rollups, wave
+from sigstrata.sources import cache, container
+from sigstrata.sources.signals import event_samples, table, vector_samples
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+RATE, FINE = 48000, [160, 2400, 48000]
+RATE16, FINE16 = 44100, [147, 2205, 44100]
+
+#: Views that the SQL below shares.
+VECTORS = "s AS (SELECT 0 AS channel, vec_id * 64 + i - 1 AS frame, embedding[i] AS v FROM embeddings, range(1, 65) r(i))"
+EVENTS = "s AS (SELECT 0 AS channel, event_id AS frame, CAST((CAST(floor(value * 100) AS BIGINT) % 65536) - 32768 AS SMALLINT) AS v FROM events)"
+UNIT = "CAST(CASE WHEN {x} >= 0 THEN floor({x} * 32767.0::DOUBLE + 0.5::DOUBLE) ELSE -floor(-({x}) * 32768.0::DOUBLE + 0.5::DOUBLE) END AS SMALLINT)"
+PEAK16 = "CAST(CASE WHEN {x} < 0 THEN {x} ELSE ({x}::BIGINT * 32767 + 16384) // 32768 END AS SMALLINT)"
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def vectors(spark: SparkSession, sf_dir: str, channels: int = 1) -> tuple[DataFrame, int]:
+    t = table(spark, sf_dir, "embeddings")
+    return vector_samples(t, channels), t.count() * 64 // channels
+
+
+def events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    t = table(spark, sf_dir, "events")
+    return event_samples(t), t.count()
+
+
+def rows(spark: SparkSession, values: list, schema: str) -> DataFrame:
+    return spark.createDataFrame(values, schema)
+
+
+def values_sql(values: list, names: str) -> str:
+    text = lambda v: f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{v}::DOUBLE" if isinstance(v, float) else str(v)
+    return f"(VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in values)}) g({names})"
+
+
+# -- scalar codes
+
+GRID = [(r, p) for r in (8000, 11025, 22050, 32000, 44100, 48000, 88200, 96000, 192000) for p in (1, 20, 100, 300, 400, 1000, 50000)]
+
+
+@query(f"""
+WITH g AS (SELECT * FROM {values_sql(GRID, 'rate, pps')}),
+a AS (SELECT *, greatest(rate // pps, 1) AS fine FROM g),
+b AS (SELECT *, fine * greatest((rate + fine * 20 - 1) // (fine * 20), 1) AS mid FROM a)
+SELECT rate, pps, fine::BIGINT AS fine, mid::BIGINT AS mid, (mid * greatest((rate + mid - 1) // mid, 1))::BIGINT AS coarse FROM b""")
+def divisions(spark, sf_dir):
+    d = codes.divisions(F.col("rate"), F.col("pps"))
+    return rows(spark, GRID, "rate int, pps int").select("rate", "pps", d[0].alias("fine"), d[1].alias("mid"), d[2].alias("coarse"))
+
+
+@query(f"WITH {EVENTS} SELECT frame, v, {PEAK16.format(x='v')} AS code FROM s")
+def quantize_peak16(spark, sf_dir):
+    return events(spark, sf_dir)[0].select("frame", "v", codes.peak16(F.col("v")).alias("code"))
+
+
+@query(f"WITH {VECTORS}, t AS (SELECT frame, least(greatest(v::DOUBLE * 2.5::DOUBLE, -1), 1) AS x FROM s) SELECT frame, {UNIT.format(x='x')} AS code FROM t")
+def quantize_unit(spark, sf_dir):
+    return vectors(spark, sf_dir)[0].select("frame", codes.unit_code(F.col("v").cast("double") * 2.5).alias("code"))
+
+
+@query(f"""WITH {VECTORS}, t AS (SELECT frame, v::DOUBLE * 40.0::DOUBLE AS x FROM s),
+q AS (SELECT *, CASE WHEN abs(x) <= 1 THEN abs(x) * 24576.0::DOUBLE ELSE 24576.0::DOUBLE + 1024.0::DOUBLE * log2(abs(x)) END AS q FROM t)
+SELECT frame, CAST(CASE WHEN x = 0 THEN 0 WHEN x > 0 THEN least(floor(q + 0.5::DOUBLE), 32767) ELSE -least(greatest(ceil(q - 0.5::DOUBLE), 0), 32768) END AS SMALLINT) AS code FROM q""")
+def quantize_wide(spark, sf_dir):
+    return vectors(spark, sf_dir)[0].select("frame", codes.wide_code(F.col("v").cast("double") * 40.0).alias("code"))
+
+
+@query("""WITH c AS (SELECT (i * 257 - 32768)::SMALLINT AS code FROM range(0, 256) r(i)), m AS (SELECT code, abs(code::INTEGER)::DOUBLE AS m FROM c)
+SELECT code, round((CASE WHEN code < 0 THEN code / 32768.0::DOUBLE ELSE code / 32767.0::DOUBLE END)::FLOAT::DOUBLE, 6) AS unit_value,
+round((sign(code) * CASE WHEN m <= 24576 THEN m / 24576.0::DOUBLE ELSE pow(2.0::DOUBLE, (m - 24576) / 1024.0::DOUBLE) END)::FLOAT::DOUBLE, 4) AS wide_value FROM m""")
+def decode_codes(spark, sf_dir):
+    c = spark.range(256).select((F.col("id") * 257 - 32768).cast("short").alias("code"))
+    near = lambda x, n: F.round(x.cast("double"), n)
+    return c.select("code", near(codes.from_unit_code(F.col("code")), 6).alias("unit_value"), near(codes.from_wide_code(F.col("code")), 4).alias("wide_value"))
+
+
+@query("""SELECT frequency_hz, density, (least(frequency_hz, 32767) + least(density, 16383) * 32768)::BIGINT AS code,
+least(frequency_hz, 32767)::INTEGER AS f, least(density, 16383)::INTEGER AS d
+FROM (SELECT ((event_id * 7919) % 40000)::BIGINT AS frequency_hz, ((event_id * 104729) % 20000)::BIGINT AS density FROM events)""")
+def spectral_pack_unpack(spark, sf_dir):
+    t = table(spark, sf_dir, "events").select((F.col("event_id") * 7919 % 40000).alias("frequency_hz"), (F.col("event_id") * 104729 % 20000).alias("density"))
+    t = t.withColumn("code", codes.pack_spectral(F.col("frequency_hz"), F.col("density")))
+    f, d = codes.unpack_spectral(F.col("code"))
+    return t.select("frequency_hz", "density", "code", f.alias("f"), d.alias("d"))
+
+
+@query("""SELECT event_id, CAST(CASE WHEN p <= 0 THEN 0 WHEN p >= 1 THEN 4095 ELSE greatest(trunc(ln(p) * 88.92179516969081::DOUBLE + 4095.5::DOUBLE), 0) END AS INTEGER) AS code
+FROM (SELECT event_id, pow(value / 400.0::DOUBLE, 9.0::DOUBLE) AS p FROM events)""")
+def power_quantize(spark, sf_dir):
+    p = F.pow(F.col("value") / 400.0, F.lit(9.0))
+    return table(spark, sf_dir, "events").select("event_id", codes.power_code(p).alias("code"))
+
+
+@query("""SELECT event_id, round((c - 4095.5::DOUBLE) * (10.0::DOUBLE / (88.92179516969081::DOUBLE * ln(10.0::DOUBLE))), 6) AS db,
+round(-0.691::DOUBLE + 10.0::DOUBLE * log10(greatest(value / 1000.0::DOUBLE, 1e-20::DOUBLE)), 6) AS lufs, round(pow(10.0::DOUBLE, (c - 4095) / 20.0::DOUBLE / 50), 6) AS gain
+FROM (SELECT event_id, value, event_id % 4096 AS c FROM events)""")
+def level_units(spark, sf_dir):
+    c = F.col("event_id") % 4096
+    t = table(spark, sf_dir, "events")
+    return t.select(
+        "event_id", F.round(codes.code_to_db(c), 6).alias("db"), F.round(codes.energy_to_lufs(F.col("value") / 1000.0), 6).alias("lufs"),
+        F.round(codes.db_to_gain((c - 4095) / 50.0), 6).alias("gain"),
+    )
+
+
+@query("SELECT event_id, round(CASE WHEN y <= -1 THEN y + 2 WHEN y > 1 THEN y - 2 ELSE y END, 9) AS phase FROM (SELECT event_id, (value - 250) % 2.0::DOUBLE AS y FROM events)")
+def phase_wrap(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.round(codes.wrap_phase(F.col("value") - 250), 9).alias("phase"))
+
+
+@query("""SELECT event_id, ((floor(epoch(ts))::BIGINT - 2000000000) % 4294967296 + 4294967296) % 4294967296 AS mtime_low32, (event_id * 1000003) % 4294967296 AS size_low32 FROM events""")
+def source_stamps(spark, sf_dir):
+    t = table(spark, sf_dir, "events")
+    return t.select("event_id", codes.stamp32(F.unix_timestamp("ts") - 2000000000).alias("mtime_low32"), codes.stamp32(F.col("event_id") * 1000003).alias("size_low32"))
+
+
+# -- levels
+
+def levels_sql(view: str, frames: str, divisions: list[int], hi: str, lo: str) -> str:
+    fine = divisions[0]
+    parts = []
+    for d in divisions:
+        keep = f"peak < CASE WHEN {d} = {fine} OR {d} % {fine} <> 0 OR n % {fine} <> 0 THEN (n + {d} - 1) // {d} ELSE n // {d} END"
+        parts.append(f"SELECT {d}::BIGINT AS division, channel, peak, {hi} AS max_code, {lo} AS min_code FROM (SELECT channel, frame // {d} AS peak, max(v) AS hi, min(v) AS lo FROM s GROUP BY 1, 2), n WHERE {keep}")
+    return f"WITH {view}, n AS (SELECT {frames} AS n) " + " UNION ALL ".join(parts)
+
+
+FLOAT_HI, FLOAT_LO = UNIT.format(x="greatest(hi, -1)::DOUBLE"), UNIT.format(x="least(lo, 1)::DOUBLE")
+
+
+@query(levels_sql(VECTORS, "(SELECT count(*) * 64 FROM embeddings)", FINE, FLOAT_HI, FLOAT_LO))
+def wave_levels(spark, sf_dir):
+    s, n = vectors(spark, sf_dir)
+    return wave.levels(s, FINE, n, wave.float_code(codes.unit_code))
+
+
+@query(levels_sql(VECTORS.replace("0 AS channel, vec_id * 64 + i - 1 AS frame", "((i - 1) % 2)::INTEGER AS channel, (vec_id * 64 + i - 1) // 2 AS frame"), "(SELECT count(*) * 32 FROM embeddings)", FINE, FLOAT_HI, FLOAT_LO))
+def wave_levels_stereo(spark, sf_dir):
+    s, n = vectors(spark, sf_dir, 2)
+    return wave.levels(s, FINE, n, wave.float_code(codes.unit_code))
+
+
+@query(levels_sql(EVENTS, "(SELECT count(*) FROM events)", FINE16, PEAK16.format(x="hi"), PEAK16.format(x="lo")))
+def wave_levels_i16(spark, sf_dir):
+    s, n = events(spark, sf_dir)
+    return wave.levels(s, FINE16, n, lambda p: wave.coded(p, codes.peak16))
+
+
+@query(levels_sql(EVENTS, "(SELECT count(*) FROM events)", [100, 250, 1000], PEAK16.format(x="hi"), PEAK16.format(x="lo")))
+def wave_levels_not_nested(spark, sf_dir):
+    s, n = events(spark, sf_dir)
+    return wave.levels(s, [100, 250, 1000], n, lambda p: wave.coded(p, codes.peak16))
+
+
+COUNTS = [(k * d + o, d, f) for f in (147, 160) for d in (f, f * 15, f * 300, 250) for k in (1, 2, 7) for o in (-1, 0, 1, 160)]
+
+
+@query(f"SELECT frames, division, fine, (CASE WHEN division = fine OR division % fine <> 0 OR frames % fine <> 0 THEN (frames + division - 1) // division ELSE frames // division END)::BIGINT AS n FROM {values_sql(COUNTS, 'frames, division, fine')}")
+def wave_bucket_counts(spark, sf_dir):
+    t = rows(spark, COUNTS, "frames int, division int, fine int")
+    return t.select("*", wave.bucket_count_column(F.col("frames"), F.col("division"), F.col("fine")).alias("n"))
+
+
+PYRAMID_SQL = """
+RECURSIVE n AS (SELECT count(*) * 64 AS frames FROM embeddings),
+native AS (SELECT d AS division, CASE WHEN d = 160 OR frames % 160 <> 0 THEN (frames + d - 1) // d ELSE frames // d END AS peak_count FROM n, (VALUES (160), (2400), (48000)) t(d)),
+k AS (SELECT 4::BIGINT AS factor UNION ALL SELECT factor * 4 FROM k, n WHERE NOT ((((frames + 159) // 160) + factor - 1) // factor <= 1 OR 160 * factor >= greatest(frames, 1))),
+lv AS (SELECT division::BIGINT AS division, peak_count::BIGINT AS peak_count, true AS native, 1::BIGINT AS factor FROM native
+UNION ALL SELECT (160 * factor)::BIGINT, ((((frames + 159) // 160) + factor - 1) // factor)::BIGINT, false, factor FROM k, n WHERE 160 * factor NOT IN (160, 2400, 48000)),
+levels AS (SELECT (row_number() OVER (ORDER BY division) - 1)::INTEGER AS level_index, * FROM lv)"""
+
+
+def made_pyramid(frames: int) -> list[tuple[int, int, bool, int]]:
+    return wave.pyramid([(d, wave.bucket_count(frames, d, FINE[0])) for d in FINE], frames)
+
+
+@query(f"WITH {PYRAMID_SQL} SELECT * FROM levels")
+def pyramid_levels(spark, sf_dir):
+    return wave.level_table(spark, made_pyramid(vectors(spark, sf_dir)[1]))
+
+
+VIEWS = [(i, a, a + span, w) for i, (a, span, w) in enumerate((a, s, w) for a in (0, 161, 9000, 31990) for s in (1, 500, 7000, 32000) for w in (1, 37, 640, 1920))]
+
+
+@query(f"""WITH {PYRAMID_SQL}, v AS (SELECT *, (end_frame - start_frame)::DOUBLE / width AS pp FROM {values_sql(VIEWS, 'view_id, start_frame, end_frame, width')}),
+c AS (SELECT *, row_number() OVER (PARTITION BY view_id ORDER BY abs(ln(division::DOUBLE / greatest(pp / 1.5::DOUBLE, 1))), level_index) AS r FROM v, levels),
+b AS (SELECT *, least(start_frame // division, peak_count) AS a FROM c WHERE r = 1)
+SELECT view_id, level_index, division, a::BIGINT AS first_peak, (greatest(least((end_frame + division - 1) // division, peak_count), a) - a)::BIGINT AS peak_count, pp / division AS peaks_per_pixel FROM b""")
+def view_plans(spark, sf_dir):
+    views = rows(spark, VIEWS, "view_id int, start_frame long, end_frame long, width int")
+    return wave.plan_views(views, made_pyramid(vectors(spark, sf_dir)[1]))
+
+
+@query(f"""WITH {PYRAMID_SQL}, v AS (SELECT *, (end_frame - start_frame)::DOUBLE / width AS pp FROM {values_sql(VIEWS, 'view_id, start_frame, end_frame, width')}),
+c AS (SELECT *, row_number() OVER (PARTITION BY view_id ORDER BY abs(ln(division::DOUBLE / greatest(pp / 1.5::DOUBLE, 1))), level_index) AS r FROM v, levels),
+b AS (SELECT *, least(start_frame // division, peak_count) AS a FROM c WHERE r = 1),
+p AS (SELECT view_id, level_index, a, greatest(least((end_frame + division - 1) // division, peak_count), a) - a AS n FROM b)
+SELECT view_id, level_index, unnest(generate_series((a // 16)::BIGINT, ((a + n - 1) // 16)::BIGINT)) AS tile_index FROM p WHERE n > 0""")
+def view_tiles(spark, sf_dir):
+    return wave.tiles(view_plans(spark, sf_dir), 16)
+
+
+def fine_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wave.float_code(codes.unit_code)(wave.extrema(vectors(spark, sf_dir)[0], FINE[0]))
+
+
+FINE_SQL = f"{VECTORS}, f AS (SELECT channel, frame // 160 AS peak, {UNIT.format(x='greatest(max(v), -1)::DOUBLE')} AS max_code, {UNIT.format(x='least(min(v), 1)::DOUBLE')} AS min_code FROM s GROUP BY 1, 2)"
+
+
+@query(f"WITH {FINE_SQL} SELECT channel, peak // 4 AS peak, max(max_code) AS max_code, min(min_code) AS min_code FROM f WHERE peak >= 12 AND peak < 92 GROUP BY 1, 2")
+def view_read(spark, sf_dir):
+    return wave.read_range(fine_level(spark, sf_dir), 4, 3, 20)
+
+
+@query(f"WITH {FINE_SQL} SELECT * FROM f WHERE peak >= 64 AND peak < 128")
+def tile_page(spark, sf_dir):
+    return wave.tile_page(fine_level(spark, sf_dir), 1, 64)
+
+
+DESIRED = [(i, d) for i, d in enumerate((1.0, 159.9, 160.0, 500.0, 2400.0, 47999.5, 48000.0, 1e9))]
+
+
+@query(f"SELECT view_id, coalesce((SELECT max(d) FROM (VALUES (160), (2400), (48000)) t(d) WHERE d <= desired), 160)::BIGINT AS division FROM {values_sql(DESIRED, 'view_id, desired')}")
+def level_not_above(spark, sf_dir):
+    return wave.level_not_above(rows(spark, DESIRED, "view_id int, desired double"), FINE)
+
+
+@query(f"WITH {VECTORS} SELECT channel, (frame - 1000) // 64 AS record, max(v) AS hi, min(v) AS lo FROM s WHERE frame >= 1000 AND frame < 21000 GROUP BY 1, 2")
+def window_envelope(spark, sf_dir):
+    return wave.window_envelope(vectors(spark, sf_dir)[0], 1000, 20000, 64)
+
+
+@query(f"""WITH {FINE_SQL}, x AS (SELECT i AS x, floor((100 + 30000.0::DOUBLE * i / 97) / 160) AS a, ceil((100 + 30000.0::DOUBLE * (i + 1) / 97) / 160) AS b FROM range(0, 97) r(i))
+SELECT channel, x, max(max_code) AS max_code, min(min_code) AS min_code FROM f JOIN x ON peak >= a AND peak < greatest(b, a + 1) GROUP BY 1, 2""")
+def overview_columns(spark, sf_dir):
+    return wave.overview(fine_level(spark, sf_dir), FINE[0], 100, 30100, 97)
+
+
+LOD = [
+    (i, a, a + s, w, t, c, f, on)
+    for i, (a, s, w, t, c, f, on) in enumerate(
+        (a, s, w, t, c, f, on) for a in (-5.5, 0.25, 31000.75) for s in (0.0, 90.5, 900.0, 70000.0) for w in (60, 800)
+        for t in (32000, 10_000_000) for c, f in ((1, 160), (64, 480)) for on in (False, True)
+    )
+]
+LOD_NAMES = "view_id, view_start, view_end, width, total_frames, channels, fine_division, source_active"
+
+
+@query(f"""
+WITH g AS (SELECT * FROM {values_sql(LOD, LOD_NAMES)}),
+a AS (SELECT *, floor(least(greatest(0, view_start), total_frames - 1))::BIGINT AS s FROM g),
+b AS (SELECT *, ceil(least(greatest(s + 1, view_end), total_frames))::BIGINT AS e FROM a),
+c AS (SELECT *, greatest(1, e - s)::DOUBLE / width AS fpp FROM b),
+d AS (SELECT *, fine_division / fpp AS ppp, CASE WHEN fpp <= 1 THEN 1 ELSE least(fine_division, (SELECT min(1 << k) FROM range(0, 40) r(k) WHERE (1::BIGINT << k) >= ceil(fpp)))::BIGINT END AS division FROM c),
+f AS (SELECT *, ppp >= CASE WHEN source_active THEN 1.1 ELSE 1.5 END AS dense, greatest(0, s - greatest(2, division * 2)) // division * division AS need0,
+ least(total_frames, (least(total_frames, e + greatest(2, division * 2)) + division - 1) // division * division) AS need1, 16777216 // (channels * 4 * division) AS br FROM d),
+h AS (SELECT *, (need1 - need0 + division - 1) // division AS need, least(4096, br) AS cap FROM f),
+i AS (SELECT *, greatest(need, least(cap, greatest(1, 1048576 // (channels * 4 * division)))) AS target FROM h),
+j AS (SELECT *, target * division AS page, greatest(division, target // 2 * division) AS stride, dense AND need <= cap AS fits FROM i),
+k AS (SELECT *, least(greatest(need0 // stride * stride, greatest(0, (need1 - page + division - 1) // division * division)), need0) AS first FROM j)
+SELECT view_id, fits AS active, (CASE WHEN fits THEN division ELSE 0 END)::BIGINT AS division, (CASE WHEN fits THEN first ELSE 0 END)::BIGINT AS first_frame,
+ (CASE WHEN fits THEN greatest(0, least(total_frames, first + page) - first) ELSE 0 END)::BIGINT AS frame_count, fpp AS frames_per_pixel, ppp AS pixels_per_peak,
+ CASE WHEN NOT dense THEN 'peak-cache density' WHEN need <= cap THEN 'source PCM' WHEN br < need THEN 'source byte budget' ELSE 'texture record limit' END AS reason FROM k""")
+def lod_plans(spark, sf_dir):
+    return wave.plan_lod(rows(spark, LOD, "view_id int, view_start double, view_end double, width int, total_frames long, channels int, fine_division int, source_active boolean"))
+
+
+# -- roll-ups
+
+SPECTRAL_SQL = "f AS (SELECT 0 AS channel, event_id AS record, (event_id * 7919) % 32768 AS frequency_hz, CASE WHEN event_id % 90 < 30 THEN 0 ELSE (event_id * 104729) % 16384 END AS density FROM events)"
+
+
+def spectral_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    density = F.when(F.col("event_id") % 90 < 30, 0).otherwise(F.col("event_id") * 104729 % 16384)
+    return table(spark, sf_dir, "events").select(F.lit(0).alias("channel"), F.col("event_id").alias("record"), (F.col("event_id") * 7919 % 32768).alias("frequency_hz"), density.alias("density"))
+
+
+@query(f"""WITH {SPECTRAL_SQL}, g AS (SELECT channel, record // 15 AS r, frequency_hz, density, record, density * (32768 - frequency_hz) AS score FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY channel, r ORDER BY score DESC, record) AS k, count(*) OVER (PARTITION BY channel, r) AS n, sum(density) OVER (PARTITION BY channel, r) AS t FROM g)
+SELECT channel, r AS record, (CASE WHEN score = 0 THEN 0 ELSE frequency_hz END)::INTEGER AS frequency_hz, (t // 15)::INTEGER AS density FROM o WHERE k = 1 AND n = 15 AND r < 600""")
+def spectral_rollup(spark, sf_dir):
+    return rollups.spectral_rollup(spectral_records(spark, sf_dir), 15, 600)
+
+
+SCOUNTS = [(f, d) for f in (0, 207, 208, 255, 256, 2399, 2400, 48000, 96001) for d in (100, 147, 160, 256, 320)]
+
+
+@query(f"""WITH g AS (SELECT *, CASE WHEN d >= 256 THEN d - 256 ELSE -((256 - d) // 2) END + 256 AS reach FROM {values_sql(SCOUNTS, 'frames, d')}),
+b AS (SELECT *, CASE WHEN frames < reach THEN 0 ELSE 1 + (frames - reach) // d END AS base FROM g),
+c AS (SELECT *, CASE WHEN base = 0 THEN 0 ELSE 1 + (base - 1) // 15 END AS n1 FROM b)
+SELECT frames, d AS division, n1::BIGINT AS n1, (n1 // 20)::BIGINT AS n2 FROM c""")
+def spectrogram_counts(spark, sf_dir):
+    made = [(f, d, *rollups.spectrogram_counts(f, [d, d * 15, d * 300])) for f, d in SCOUNTS]
+    return rows(spark, made, "frames int, division int, n1 long, n2 long")
+
+
+BINS_SQL = "b AS (SELECT 0 AS channel, vec_id AS record, i::INTEGER - 1 AS bin, floor((embedding[i]::DOUBLE + 1) * 2000)::INTEGER AS code FROM embeddings, range(1, 65) r(i))"
+
+
+def bin_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("channel"), F.col("vec_id").alias("record"), F.posexplode("embedding").alias("bin", "v"))
+    return each.select("channel", "record", "bin", F.floor((F.col("v").cast("double") + 1) * 2000).cast("int").alias("code"))
+
+
+@query(f"""WITH {BINS_SQL}, a AS (SELECT channel, record // 7 AS record, bin, sum(code) // count(*) AS code FROM b GROUP BY 1, 2, 3)
+SELECT 1 AS level, channel, record, bin, code::INTEGER AS code FROM a
+UNION ALL SELECT 2, channel, record // 4, bin, (sum(code) // 4)::INTEGER FROM a GROUP BY channel, record // 4, bin HAVING count(*) = 4""")
+def spectrogram_rollup(spark, sf_dir):
+    first = rollups.bin_rollup(bin_records(spark, sf_dir), 7, False)
+    return first.select(F.lit(1).alias("level"), "*").unionByName(rollups.bin_rollup(first, 4, True).select(F.lit(2).alias("level"), "*"))
+
+
+@query("""WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 2000)::INTEGER) AS bins FROM embeddings)
+SELECT vec_id, array_to_string(list_transform(range(0, 32), lambda i: printf('%02X%02X%02X', bins[2 * i + 1] // 16, bins[2 * i + 1] % 16 * 16 + bins[2 * i + 2] % 16, bins[2 * i + 2] // 16)), '') AS packed,
+array_to_string(bins, ',') AS unpacked FROM c""")
+def pack12_roundtrip(spark, sf_dir):
+    bins = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 2000).cast("int"))
+    t = table(spark, sf_dir, "embeddings").select("vec_id", codes.pack12(bins).alias("packed"))
+    return t.select("vec_id", "packed", F.array_join(codes.unpack12(F.col("packed")).cast("array<string>"), ",").alias("unpacked"))
+
+
+BLOCK_SQL = f"{VECTORS}, e AS (SELECT channel, frame // 100 AS block, sum(v::DOUBLE * v::DOUBLE) AS energy FROM s GROUP BY 1, 2 HAVING count(*) = 100)"
+WIN_SQL = f"{BLOCK_SQL}, w AS (SELECT channel, block, sum(energy) OVER (PARTITION BY channel ORDER BY block ROWS 15 PRECEDING) / 1600.0::DOUBLE AS momentary, sum(energy) OVER (PARTITION BY channel ORDER BY block ROWS 119 PRECEDING) / 12000.0::DOUBLE AS short_term FROM e)"
+LOW_RATE = 4000
+
+
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.sliding(rollups.block_energy(vectors(spark, sf_dir)[0], LOW_RATE), LOW_RATE)
+
+
+def rounded(df: DataFrame, n: int = 6) -> DataFrame:
+    return df.select(*[F.round(F.col(c).cast("double"), n).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+@query(f"WITH {BLOCK_SQL} SELECT channel, block, round(energy, 6) AS energy FROM e")
+def block_energy(spark, sf_dir):
+    return rounded(rollups.block_energy(vectors(spark, sf_dir)[0], LOW_RATE))
+
+
+@query(f"WITH {WIN_SQL} SELECT channel, block, round(momentary, 6) AS momentary, round(short_term, 6) AS short_term FROM w")
+def loudness_windows(spark, sf_dir):
+    return rounded(windows(spark, sf_dir))
+
+
+RECORD_SQL = f"{WIN_SQL}, n AS (SELECT count(*) * 64 AS n FROM embeddings), r AS (SELECT i AS record, least((i + 1) * 270, n) // 100 - 1 AS block FROM n, range(0, 1000000) t(i) WHERE i < (n + 269) // 270), l AS (SELECT 0 AS channel, record, coalesce(momentary, 0)::FLOAT AS momentary, coalesce(short_term, 0)::FLOAT AS short_term FROM r LEFT JOIN w USING (block))"
+
+
+@query(f"WITH {RECORD_SQL} SELECT channel, record, round(momentary::DOUBLE, 6) AS momentary, round(short_term::DOUBLE, 6) AS short_term FROM l")
+def loudness_records(spark, sf_dir):
+    return rounded(rollups.loudness_records(windows(spark, sf_dir), vectors(spark, sf_dir)[1], 270, LOW_RATE))
+
+
+@query(f"WITH {RECORD_SQL} SELECT channel, record // 6 AS record, round(avg(momentary::DOUBLE), 6) AS momentary, round(avg(short_term::DOUBLE), 6) AS short_term FROM l GROUP BY 1, 2 HAVING count(*) = 6")
+def loudness_coarse(spark, sf_dir):
+    return rounded(rollups.loudness_coarse(rollups.loudness_records(windows(spark, sf_dir), vectors(spark, sf_dir)[1], 270, LOW_RATE), 6))
+
+
+# -- frequency analysis: no SQL; tests hold these against direct evaluation
+
+@query()
+def kweighted_loudness(spark, sf_dir):
+    s, n = events(spark, sf_dir)
+    blocks = rollups.block_energy(dsp.k_weighted(s, RATE16), RATE16)
+    return rollups.loudness_records(rollups.sliding(blocks, RATE16), n, FINE16[1], RATE16)
+
+
+@query()
+def spectrogram_base(spark, sf_dir):
+    s, n = events(spark, sf_dir)
+    return dsp.spectrogram_base(s, n, FINE16[0])
+
+
+@query()
+def spectral_fine(spark, sf_dir):
+    return dsp.spectral_fine(events(spark, sf_dir)[0], RATE16, FINE16[0])
+
+
+# -- cache files and containers
+
+def cache_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache for each event type: wave levels and a spectral level."""
+    s, n = events(spark, sf_dir)
+    made = wave.levels(s, FINE16, n, lambda p: wave.coded(p, codes.peak16))
+    order = F.array_position(F.array(*[F.lit(d).cast("long") for d in FINE16]), F.col("division")).cast("int") - 1
+    w = made.select(F.lit("events").alias("track_id"), order.alias("layer_ord"), F.lit("wave").alias("kind"), "division", F.col("peak").alias("record"), "channel", F.array(F.col("max_code").cast("double"), F.col("min_code").cast("double")).alias("values"))
+    g = dsp.spectral_fine(s, RATE16, FINE16[0]).select(F.lit("events").alias("track_id"), F.lit(3).alias("layer_ord"), F.lit("spectral").alias("kind"), F.lit(-115).cast("long").alias("division"), "record", "channel", F.array(F.col("frequency_hz").cast("double"), F.col("density").cast("double")).alias("values"))
+    return cache.encode_tracks(w.unionByName(g), "unit", 1, RATE16, (1, n))
+
+
+@query()
+def cache_layer_index(spark, sf_dir):
+    return cache.layer_index(cache_files(spark, sf_dir))
+
+
+@query()
+def cache_raw_range(spark, sf_dir):
+    files = cache_files(spark, sf_dir)
+    return cache.raw_range(files, cache.layer_index(files), "wave", 2, 5).select("track_id", "layer_ord", F.hex("bytes").alias("bytes"))
+
+
+@query()
+def cache_headers(spark, sf_dir):
+    return cache_files(spark, sf_dir).select("track_id", *[c.alias(k) for k, c in cache.header(F.col("content")).items()])
+
+
+FRESH_SQL = "f AS (SELECT event_id AS path, (event_id * 1000003) % 4294967296 AS size, event_id * 7 AS mtime FROM events), c AS (SELECT event_id AS path, (event_id * 1000003) % 4294967296 AS size, event_id * 7 + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS mtime, event_id % 11 <> 0 AS readable FROM events WHERE event_id % 3 <> 0)"
+
+
+@query(f"WITH {FRESH_SQL} SELECT f.path, coalesce(c.readable AND c.size = f.size AND c.mtime = f.mtime, false) AS fresh FROM f LEFT JOIN c ON f.path = c.path")
+def cache_freshness(spark, sf_dir):
+    t = table(spark, sf_dir, "events")
+    size, mtime = codes.stamp32(F.col("event_id") * 1000003), F.col("event_id") * 7
+    files = t.select(F.col("event_id").alias("path"), size.alias("size"), mtime.alias("mtime"))
+    caches = t.where("event_id % 3 <> 0").select(F.col("event_id").alias("c_path"), size.alias("c_size"), (mtime + F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)).alias("c_mtime"), (F.col("event_id") % 11 != 0).alias("readable"))
+    j = files.join(caches, F.col("path") == F.col("c_path"), "left")
+    return j.select("path", F.coalesce(F.col("readable") & (F.col("c_size") == F.col("size")) & (F.col("c_mtime") == F.col("mtime")), F.lit(False)).alias("fresh"))
+
+
+@query("""WITH k AS (SELECT event_id, unnest(['mapped', 'sidecar', 'subdir', 'central']) AS place, unnest([0, 1, 2, 3]) AS prio FROM events),
+x AS (SELECT * FROM k WHERE (event_id * 31 + prio * 17) % 7 < 2)
+SELECT event_id, arg_min(place, prio) AS place FROM x GROUP BY 1""")
+def cache_candidates(spark, sf_dir):
+    places = F.array(*map(F.lit, ("mapped", "sidecar", "subdir", "central")))
+    each = table(spark, sf_dir, "events").select("event_id", F.posexplode(places).alias("prio", "place"))
+    there = each.where((F.col("event_id") * 31 + F.col("prio") * 17) % 7 < 2)  # stands for the files that exist
+    return there.groupBy("event_id").agg(F.min_by("place", "prio").alias("place"))
+
+
+ENTRY_SQL = "e AS (SELECT doc_id % 50 AS file_id, doc_id // 50 AS ord, source AS namespace, lang AS kind, octet_length(encode(text))::BIGINT AS payload_len FROM documents), k AS (SELECT DISTINCT doc_id % 50 AS file_id, source AS namespace, lang AS kind, 7::BIGINT AS payload_len FROM documents WHERE doc_id % 6 = 1 UNION SELECT DISTINCT doc_id % 50, 'new', lang, 9::BIGINT FROM documents WHERE doc_id % 6 = 2)"
+
+
+def entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d = table(spark, sf_dir, "documents")
+    file_id = F.col("doc_id") % 50
+    e = d.select(file_id.alias("file_id"), F.floor(F.col("doc_id") / 50).alias("ord"), F.col("source").alias("namespace"), F.col("lang").alias("kind"), F.octet_length("text").cast("long").alias("payload_len"))
+    new = lambda r, ns, n: d.where(F.col("doc_id") % 6 == r).select(file_id.alias("file_id"), ns.alias("namespace"), F.col("lang").alias("kind"), F.lit(n).cast("long").alias("payload_len")).distinct()
+    return e, new(1, F.col("source"), 7).unionByName(new(2, F.lit("new"), 9))
+
+
+@query(f"WITH {ENTRY_SQL} SELECT file_id, ord, namespace, kind, (32 + 48 * count(*) OVER (PARTITION BY file_id) + coalesce(sum(payload_len) OVER (PARTITION BY file_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS payload_offset, payload_len FROM e")
+def entries_directory(spark, sf_dir):
+    return container.directory(entries(spark, sf_dir)[0])
+
+
+@query(f"""WITH {ENTRY_SQL}, l AS (SELECT file_id, max(ord) AS last FROM e GROUP BY 1),
+p AS (SELECT k.*, (SELECT min(ord) FROM e WHERE e.file_id = k.file_id AND e.namespace = k.namespace AND e.kind = k.kind) AS pos FROM k),
+q AS (SELECT p.file_id, coalesce(pos, last + sum(CASE WHEN pos IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY p.file_id ORDER BY namespace, kind)) AS ord, namespace, kind, payload_len FROM p JOIN l ON p.file_id = l.file_id),
+u AS (SELECT file_id, ord, namespace, kind, payload_len FROM e WHERE NOT EXISTS (SELECT 1 FROM k WHERE e.file_id = k.file_id AND e.namespace = k.namespace AND e.kind = k.kind) UNION ALL SELECT * FROM q)
+SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY ord, namespace, kind) - 1 AS ord, namespace, kind, payload_len FROM u""")
+def entries_set(spark, sf_dir):
+    return container.set_entries(*entries(spark, sf_dir))
+
+
+@query(f"""WITH {ENTRY_SQL}, l AS (SELECT file_id, max(ord) AS last FROM e GROUP BY 1)
+SELECT file_id, ord, namespace, kind, payload_len FROM e UNION ALL
+SELECT k.file_id, last + row_number() OVER (PARTITION BY k.file_id ORDER BY namespace, kind), namespace, kind, payload_len FROM k JOIN l ON k.file_id = l.file_id""")
+def entries_append(spark, sf_dir):
+    return container.append_entries(*entries(spark, sf_dir))
+
+
+@query(f"""WITH {ENTRY_SQL} SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY ord, namespace, kind) - 1 AS ord, namespace, kind, payload_len
+FROM e WHERE NOT EXISTS (SELECT 1 FROM k WHERE e.file_id = k.file_id AND e.namespace = k.namespace AND e.kind = k.kind)""")
+def entries_remove(spark, sf_dir):
+    return container.remove_entries(*entries(spark, sf_dir))

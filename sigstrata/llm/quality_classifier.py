@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from sigstrata.llm.common import map_texts
 
 BUCKETS = 1 << 18
-FIT_ROWS = 8_000
+FIT_ROWS = 6_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 CUT = 0.7
 C = 0.1
@@ -139,10 +139,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> t
     known = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
     field = [T.StructField("f", T.ArrayType(T.IntegerType()))]
     got = map_texts(known, lambda texts: [[features(t).tolist() for t in texts]], field, keep=["doc_id", "__quality"])
-    pdf = got.toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")  # at most `rows` rows
-    order = np.random.default_rng(11).permutation(len(pdf))
-    lists = pdf["f"].tolist()
-    return [np.asarray(lists[i], dtype=np.int64) for i in order], pdf["__quality"].to_numpy()[order]
+    got = got.toArrow()  # at most `rows` rows
+    ids, at = np.unique(got["doc_id"].to_numpy(), return_index=True)
+    order = at[np.random.default_rng(11).permutation(len(ids))]
+    lists = got["f"].combine_chunks()
+    flat, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return [flat[cuts[i] : cuts[i + 1]].astype(np.int64) for i in order], got["__quality"].to_numpy()[order]
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

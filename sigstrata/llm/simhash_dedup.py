@@ -204,7 +204,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     comp = component_ids(fps)
     # a component's kept document has the component's id, so the ids to keep are the distinct component ids
     keep = materialize(comp.where("component_id is not null").select(F.col("component_id").alias("__keep")).distinct())
-    kept = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi")
+    # always by shuffle, which splits and spills, whatever the tables' sizes: texts move once
+    kept = docs.join(keep.hint("merge"), docs["doc_id"] == keep["__keep"], "left_semi")
     # rows repeated under one id: number them where an id occurs twice, which is a rare and small table
     twice = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
     twice = materialize(twice)

@@ -5,11 +5,13 @@ fitted on at most FIT_ROWS labelled rows, gives every document its posterior ove
 has a nonnegative rate r_d (how often it is used); the expected tokens of domain k are
 sum_d r_d * n_d * p_dk. Projected gradient least squares fits the rates from r = 1 on:
 
-    r_d <- max(floor, r_d - s * sum_k p_dk * e_k),   e_k = expected tokens - target of domain k,
+    z_d <- z_d - sum_k p_dk * (S e)_k,    r_d = max(floor, z_d),    e = expected - target tokens by domain,
 
-the gradient step in the metric that weights documents by their tokens, with Barzilai-Borwein steps. Each
-round is one aggregation of K sums over the table of posteriors; the rates are an expression of the
-posteriors and the rounds' steps, so nothing is collected or shuffled but those sums.
+which is projected gradient (the projection is made when the rates are read) on 1/2 e'Se in the metric that
+weights documents by their tokens. S is the inverse Gram matrix of the documents off the floor, so that a few
+rounds suffice; a step that does not lessen the residual is halved. Each round is one aggregation of K sums
+and K(K+1)/2 products over the table of posteriors. The sum of all steps is a vector of K numbers, so the rates
+are a short expression of the posteriors, and nothing is collected or shuffled but those sums.
 
 Null and empty texts have no tokens, uniform evidence (posterior = prior) and rates like others. Labels that
 are null or contradict each other are not learned from. Domains without labelled documents, or without
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 
 BUCKETS = 4096
 FIT_ROWS = 8_000
-ROUNDS = 40
+ROUNDS = 16
+#: The fit ends when token shares are this close to the targets.
+CLOSE = 1e-4
 SHARPNESS = 4.0
 #: Weights of the production mix.
 TARGETS = {"good": 0.85, "poor": 0.12, "toxic": 0.03}
@@ -101,68 +105,63 @@ class Classifier:
 
 
 class Rates:
-    """Fitted rates: an expression over __p."""
+    """Fitted rates: max(floor, 1 - sum_k move_k * p_k), an expression over __p."""
 
-    def __init__(self, floor: float, steps: list[np.ndarray]):
-        self.floor, self.steps = floor, steps
+    def __init__(self, floor: float, move: np.ndarray):
+        self.floor, self.move = floor, move
 
-    def column(self) -> Column:
-        r = F.greatest(F.lit(1.0), F.lit(self.floor))
-        for move in self.steps:
-            r = self.after(r, move)
-        return r
+    def point(self) -> Column:
+        """1 less the steps, before the projection."""
+        step = sum((F.lit(float(x)) * F.element_at("__p", k + 1) for k, x in enumerate(self.move)), F.lit(0.0))
+        return F.lit(1.0) - step
 
-    def after(self, r: Column, move: np.ndarray) -> Column:
-        """One projected step."""
-        step = sum((F.lit(float(x)) * F.element_at("__p", k + 1) for k, x in enumerate(move)), F.lit(0.0))
-        return F.greatest(F.lit(self.floor), r - step)
+    def column(self) -> Column:
+        return F.greatest(F.lit(self.floor), self.point())
 
     @classmethod
-    def fit(cls, scored: DataFrame, target: np.ndarray | None, weights: np.ndarray, floor: float = 0.0, rounds: int = ROUNDS) -> Rates:
-        """scored: __n and __p of every document. target: tokens by domain, or None for weights of all tokens."""
+    def fit(cls, scored: DataFrame, weights: np.ndarray, floor: float = 0.0, budget: float = 1.0, rounds: int = ROUNDS) -> Rates:
+        """scored: __n and __p of every document. Targets: weights of budget times all tokens.
+
+        A round is one aggregation: the residual, and the Gram matrix of the documents that are not at the floor.
+        """
         k = len(weights)
         p = [F.element_at("__p", i + 1) for i in range(k)]
-        gram = [F.sum(F.col("__n") * p[i] * p[j]) for i in range(k) for j in range(i, k)]
-        first = scored.agg(*gram, *[F.sum(F.col("__n") * x) for x in p]).first()
-        if first is None or first[0] is None:
-            return cls(floor, [])
-        m, at = np.zeros((k, k)), 0
-        for i in range(k):
-            for j in range(i, k):
-                m[i, j] = m[j, i] = first[at]
-                at += 1
-        have = np.array(first[at:], dtype=float)
-        if not have.sum():
-            return cls(floor, [])
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+        def residual(rates: Rates) -> tuple[np.ndarray, np.ndarray]:
+            free = F.when(F.col("__z") >= floor, F.col("__n")).otherwise(0.0)
+            got = scored.withColumn("__z", rates.point()).withColumn("__r", F.greatest(F.lit(floor), F.col("__z"))).agg(
+                *[F.coalesce(F.sum(F.col("__n") * F.col("__r") * x), F.lit(0.0)) for x in p],
+                *[F.coalesce(F.sum(free * p[i] * p[j]), F.lit(0.0)) for i, j in pairs],
+            ).first()
+            gram = np.zeros((k, k))
+            for (i, j), x in zip(pairs, got[k:], strict=True):
+                gram[i, j] = gram[j, i] = x
+            return np.array(got[:k], dtype=float), gram
+
+        now, best = cls(floor, np.zeros(k)), None
+        have, gram = residual(cls(0.0, np.zeros(k)))
+        total, size = have.sum(), np.inf
         share = np.where(have > 0, weights, 0.0)
-        if target is None:
-            # all tokens in the wanted shares; with a floor of 1, as many as keep every domain whole
-            total = have.sum() if floor < 1 else max(have[i] / share[i] for i in range(k) if share[i] > 0) * share.sum()
-            target = total * share / share.sum() if share.sum() else have
-        rates = cls(floor, [])
-        e, best = have - target, (np.inf, 0)
-        step = (e @ m @ e) / max(float((m @ e) @ (m @ e)), 1e-300)
+        if not total or not share.sum():
+            return now
+        target = budget * total * share / share.sum()
+        scale = 1.0
+        e, _ = residual(now) if floor > 1 else (have, gram)
+        e = e - target
         for _ in range(rounds):
-            size = float(np.abs(e).max() / have.sum())
-            if size < best[0]:
-                best = size, len(rates.steps)
-            if size < 1e-6:
-                break
-            move = step * e
-            moved = scored.withColumn("__r0", rates.column()).withColumn("__r", rates.after(F.col("__r0"), move))
-            rates.steps.append(move)
-            got = moved.agg(
-                F.sum(F.col("__n") * (F.col("__r") - F.col("__r0")) * (F.col("__r") - F.col("__r0"))),
-                *[F.sum(F.col("__n") * F.col("__r") * x) for x in p],
-            ).first()
-            new = np.array(got[1:], dtype=float) - target
-            along = float((new - e) @ (new - e))
-            if not along:
+            if best is None or np.linalg.norm(e) < size:
+                best, size, scale = (now, e, gram), float(np.linalg.norm(e)), 1.0
+            else:  # a step too far: half of it, from the best point
+                scale /= 2
+            if size < CLOSE * total or scale < 0.05:
                 break
-            step, e = float(got[0]) / along, new
-        if float(np.abs(e).max() / have.sum()) > best[0]:
-            rates.steps = rates.steps[: best[1]]
-        return rates
+            at, err, g = best
+            step = np.linalg.solve(g + 1e-6 * (np.trace(g) + 1.0) * np.eye(k), err)
+            now = cls(floor, at.move + scale * step)
+            e, gram = residual(now)
+            e = e - target
+        return best[0]
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, write, targets: dict[str, float] | None = None) -> DataFrame:
@@ -171,24 +170,25 @@ def mix_documents(docs: DataFrame, labels: DataFrame, write, targets: dict[str,
     names = sorted(targets)
     model = Classifier.fit(docs, domains(labels), names)
     scored = write(model.apply(docs.select("doc_id", "text")).select("doc_id", "__n", "__p"))
-    rates = Rates.fit(scored, None, np.array([targets[n] for n in names]))
+    rates = Rates.fit(scored, np.array([targets[n] for n in names]))
     return scored.select(
         "doc_id", F.col("__n").cast("long").alias("n_tokens"),
         *[F.element_at("__p", i + 1).alias(f"p_{n}") for i, n in enumerate(names)], rates.column().alias("rate"),
     )
 
 
-def mixed(docs: DataFrame, labels: DataFrame, write, targets: dict[str, float] | None = None, floor: float = 0.0) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, write, targets: dict[str, float] | None = None, floor: float = 0.0, budget: float = 1.0) -> DataFrame:
     """docs with each row repeated by its rate: the whole part, and one more with the chance of the rest.
 
-    The chance is a hash of doc_id, so that a rerun repeats the same rows. With a floor of 1 no row goes.
+    The chance is a hash of doc_id, so that a rerun repeats the same rows. With a floor of 1 no row goes, and
+    domains that have more than their target stay as they are; budget bounds what the others grow to.
     Posteriors for the fit are written without texts; those of the result are computed anew beside the text.
     """
     targets = targets or TARGETS
     names = sorted(targets)
     model = Classifier.fit(docs, domains(labels), names)
     scored = write(model.apply(docs.select("text")).select("__n", "__p"))
-    rates = Rates.fit(scored, None, np.array([targets[n] for n in names]), floor)
+    rates = Rates.fit(scored, np.array([targets[n] for n in names]), floor, budget)
     chance = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit("mix")), 11).cast("double") / float(1 << 53)
     copies = F.floor(rates.column() + chance).cast("int")
     out = model.apply(docs).withColumn("__copies", copies)

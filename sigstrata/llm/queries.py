@@ -9,18 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sigstrata.llm import (
     embedding_dedup, html_extract, mixing, quality_classifier, quality_rules, secrets, sentencepiece_codec, sharding, simhash_dedup, token_counts,
 )
-from sigstrata.llm.common import materialize, table
-
-WORD_BPE = "word_bpe_49k.json"
-PIECE_BPE = "piece_bpe_32k.model"
-
-
-def tokenizer_path(name: str) -> str:
-    """The place of a public tokenizer's file; it is the same on driver and executors."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
+from sigstrata.llm.common import materialize, table, tokenizer_path
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), materialize)
@@ -55,11 +44,11 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
+    return token_counts.count_documents(table(spark, sf_dir, "documents"), tokenizer_path(token_counts.MODEL))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_BPE))
+    return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(sentencepiece_codec.MODEL))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -27,6 +27,7 @@ PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 #: lower-casing goes character by character.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-įı-ňŊ-ž‐-‧]*")
 LIMIT = 2048
+MODEL = "word_bpe_49k.json"
 CACHE = 400_000
 
 

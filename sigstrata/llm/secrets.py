@@ -97,28 +97,38 @@ def _tail(z: Column) -> Column:
     return F.lit(2.0) / (F.lit(1.0) + F.exp(F.least(F.lit(1.5976) * x + F.lit(0.07056) * x * x * x, F.lit(700.0))))
 
 
-def battery(run: Column) -> Column:
-    """struct(encoding, p): the inferred encoding of a run and its tail probability under randomness."""
-    body = F.rtrim(F.translate(run, "=", " "))
-    alphabet = (
-        F.when(body.rlike("^[0-9a-f]+$"), F.lit("0123456789abcdef"))
-        .when(body.rlike("^[0-9A-F]+$"), F.lit("0123456789ABCDEF"))
-        .when(body.rlike("^[A-Z2-7]+$"), F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
-        .when(body.rlike("^[A-Za-z0-9]+$"), F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
-        .when(body.rlike("^[A-Za-z0-9+/]+$"), F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
-        .otherwise(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_+/="))
-    )
-    encoding = F.element_at(
-        F.create_map(*[F.lit(x) for pair in ((16, "hex"), (32, "base32"), (62, "base62"), (64, "base64"), (67, "base64url")) for x in pair]),
-        F.length(alphabet),
-    )
-    n = F.length(body).cast("double")
-    k = F.length(alphabet).cast("double")
-    return F.struct(
-        encoding.alias("encoding"), _chi(body, alphabet, n, k).alias("chi"), _runs(body, alphabet, n, k).alias("runs"),
-        _serial(body, alphabet, n, k).alias("serial"),
+def battery(runs: Column) -> Column:
+    """array<struct<s, e, size, encoding, p>> of an array of runs (s, e, m): inferred encodings and tail probabilities
+    under randomness. Each transform adds to what the last gave, so that no expression is written out twice."""
+    A = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    a = A.lower()
+    kinds = [
+        ("^[0-9a-f]+$", "hex", "0123456789abcdef"), ("^[0-9A-F]+$", "hex", "0123456789ABCDEF"), ("^[A-Z2-7]+$", "base32", A + "234567"),
+        ("^[A-Za-z0-9]+$", "base62", A + a + "0123456789"), ("^[A-Za-z0-9+/]+$", "base64", A + a + "0123456789+/"),
+        ("", "base64url", A + a + "0123456789-_+/="),
+    ]
+    bodies = F.transform(
+        runs,
+        lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.length(x["m"]).alias("size"), F.rtrim(F.translate(x["m"], "=", " ")).alias("body")),
     )
 
+    def infer(x: Column) -> Column:
+        best = F.struct(F.lit(kinds[-1][1]).alias("encoding"), F.lit(kinds[-1][2]).alias("alphabet"))
+        for pattern, name, alphabet in reversed(kinds[:-1]):
+            best = F.when(x["body"].rlike(pattern), F.struct(F.lit(name).alias("encoding"), F.lit(alphabet).alias("alphabet"))).otherwise(best)
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["size"].alias("size"), x["body"].alias("body"), best.alias("kind"))
+
+    def tested(x: Column) -> Column:
+        body, alphabet = x["body"], x["kind"]["alphabet"]
+        n, k = F.length(body).cast("double"), F.length(alphabet).cast("double")
+        p = F.least(_chi(body, n, k), _runs(body, alphabet, n, k), _serial(body, alphabet, n, k))
+        return F.struct(
+            x["s"].alias("s"), x["e"].alias("e"), x["size"].alias("size"), x["kind"]["encoding"].alias("encoding"),
+            F.least(F.lit(1.0), 3.0 * p).alias("p"),
+        )
+
+    return F.transform(F.transform(bodies, infer), tested)
+
 
 def _ranks(body: Column, alphabet: Column) -> Column:
     return F.transform(
@@ -126,7 +136,7 @@ def _ranks(body: Column, alphabet: Column) -> Column:
     )
 
 
-def _chi(body: Column, alphabet: Column, n: Column, k: Column) -> Column:
+def _chi(body: Column, n: Column, k: Column) -> Column:
     counts = F.transform(
         F.array_distinct(F.split(body, "")), lambda c: F.length(body) - F.length(F.replace(body, c, F.lit("")))
     )
@@ -173,15 +183,13 @@ def candidates(text: Column, base: Column) -> Column:
     apart = F.filter(found, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
 
     def judged(x: Column) -> Column:
-        b = battery(x["m"])
-        p = F.least(F.lit(1.0), 3.0 * F.least(b["chi"], b["runs"], b["serial"]))
-        bin_ = F.least(F.floor(-10.0 * F.log10(F.greatest(p, F.lit(1e-39)))), F.lit(BINS - 1)).cast("int")
-        stratum = F.least(F.floor(F.log2(F.length(x["m"]).cast("double"))), F.lit(STRATA)).cast("int")
+        bin_ = F.least(F.floor(-10.0 * F.log10(F.greatest(x["p"], F.lit(1e-39)))), F.lit(BINS - 1)).cast("int")
+        stratum = F.least(F.floor(F.log2(x["size"].cast("double"))), F.lit(STRATA)).cast("int")
         return F.struct(
-            x["s"].alias("s"), x["e"].alias("e"), stratum.alias("stratum"), bin_.alias("bin"), b["encoding"].alias("encoding")
+            x["s"].alias("s"), x["e"].alias("e"), stratum.alias("stratum"), bin_.alias("bin"), x["encoding"].alias("encoding")
         )
 
-    return F.transform(apart, judged)
+    return F.transform(battery(apart), judged)
 
 
 def scanned(docs: DataFrame) -> DataFrame:

@@ -88,8 +88,8 @@ def _measured(texts: list) -> list:
     return list(map(list, zip(*map(measure, texts), strict=True))) if texts else [[] for _ in FIELDS]
 
 
-def measured(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    return map_texts(docs, _measured, FIELDS, keep=keep)
+def measured(docs: DataFrame, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    return map_texts(docs, _measured, [T.StructField(prefix + f.name, f.dataType) for f in FIELDS], keep=keep)
 
 
 def fit(patterns: dict[int, int], rounds: int = 100) -> dict[int, float]:
@@ -125,11 +125,12 @@ def posteriors(stats: DataFrame) -> dict[int, float]:
     return fit({r["__votes"]: r["count"] for r in stats.groupBy("__votes").count().collect()})
 
 
-def verdicts(post: dict[int, float]) -> tuple[Column, Column, Column]:
+def verdicts(post: dict[int, float], prefix: str = "") -> tuple[Column, Column, Column]:
     """base_failed, posterior and kept, as columns over FIELDS. post is bounded by the number of patterns."""
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    words, repeats = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+    failed = (words < 50) | (100 * repeats > 50 * words)
     codes = sorted(post)
-    at = F.array_position(F.split(F.lit(",".join(map(str, codes))), ",").cast("array<bigint>"), F.col("__votes"))
+    at = F.array_position(F.split(F.lit(",".join(map(str, codes))), ",").cast("array<bigint>"), F.col(f"{prefix}__votes"))
     value = F.try_element_at(F.split(F.lit(",".join(repr(post[c]) for c in codes)), ",").cast("array<double>"), at.cast("int"))
     posterior = F.coalesce(value, F.lit(0.0)) if codes else F.lit(0.0)
     return failed, posterior, ~failed & (posterior >= KEEP)
@@ -148,4 +149,4 @@ def judge_documents(docs: DataFrame, write) -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their columns. Texts are measured in two passes instead of written out."""
     post = posteriors(measured(docs.select("text"), keep=[]))
-    return measured(docs).where(verdicts(post)[2]).select(*docs.columns)
+    return measured(docs, prefix="__q_").where(verdicts(post, "__q_")[2]).select(*docs.columns)

@@ -124,9 +124,9 @@ def level_units(spark, sf_dir):
     )
 
 
-@query("SELECT event_id, round(CASE WHEN y <= -1 THEN y + 2 WHEN y > 1 THEN y - 2 ELSE y END, 9) AS phase FROM (SELECT event_id, (value - 250) % 2.0::DOUBLE AS y FROM events)")
+@query("SELECT event_id, round(CASE WHEN y <= -1 THEN y + 2 WHEN y > 1 THEN y - 2 ELSE y END, 9) + 0::DOUBLE AS phase FROM (SELECT event_id, (value - 250) % 2.0::DOUBLE AS y FROM events)")
 def phase_wrap(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.round(codes.wrap_phase(F.col("value") - 250), 9).alias("phase"))
+    return table(spark, sf_dir, "events").select("event_id", (F.round(codes.wrap_phase(F.col("value") - 250), 9) + F.lit(0.0)).alias("phase"))
 
 
 @query("""SELECT event_id, ((floor(epoch(ts))::BIGINT - 2000000000) % 4294967296 + 4294967296) % 4294967296 AS mtime_low32, (event_id * 1000003) % 4294967296 AS size_low32 FROM events""")

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigstrata.functions import codes
-from sigstrata.operators import dsp, rollups, wave
+from sigstrata.operators import dsp, render, rollups, wave
 from sigstrata.sources import cache, container
-from sigstrata.sources.signals import event_samples, table, vector_samples
+from sigstrata.sources.signals import event_samples, pcm24, table, vector_samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -483,3 +483,48 @@ def entries_append(spark, sf_dir):
 FROM e WHERE NOT EXISTS (SELECT 1 FROM k WHERE e.file_id = k.file_id AND e.namespace = k.namespace AND e.kind = k.kind)""")
 def entries_remove(spark, sf_dir):
     return container.remove_entries(*entries(spark, sf_dir))
+
+
+# -- pixels and geometry
+
+@query(f"""WITH {FINE_SQL}, h AS (SELECT channel, peak, printf('%02X%02X%02X%02X', (max_code + 65536) % 256, (max_code + 65536) // 256 % 256, (min_code + 65536) % 256, (min_code + 65536) // 256 % 256) AS p FROM (SELECT channel, peak, max_code::INTEGER AS max_code, min_code::INTEGER AS min_code FROM f))
+SELECT channel, peak // 4096 AS tile, string_agg(p, '' ORDER BY peak) AS rgba FROM h GROUP BY 1, 2""")
+def envelope_texture(spark, sf_dir):
+    return render.envelope_rows(fine_level(spark, sf_dir)).select("channel", "tile", F.hex("rgba").alias("rgba"))
+
+
+@query(f"""WITH {SPECTRAL_SQL}, c AS (SELECT channel, record, frequency_hz + density * 32768 AS c FROM f)
+SELECT channel, record // 4096 AS tile, string_agg(printf('%02X%02X%02X%02X', c % 256, c // 256 % 256, c // 65536 % 256, c // 16777216), '' ORDER BY record) AS rgba FROM c GROUP BY 1, 2""")
+def spectral_texture(spark, sf_dir):
+    return render.spectral_rows(spectral_records(spark, sf_dir)).select("channel", "tile", F.hex("rgba").alias("rgba"))
+
+
+@query(f"""WITH {FINE_SQL}, c AS (SELECT i AS x, floor((100 + 30000.0::DOUBLE * i / 97) / 160) AS a, ceil((100 + 30000.0::DOUBLE * (i + 1) / 97) / 160) AS b FROM range(0, 97) r(i)),
+o AS (SELECT channel, x, max(max_code) AS hi, min(min_code) AS lo FROM f JOIN c ON peak >= a AND peak < greatest(b, a + 1) GROUP BY 1, 2),
+d AS (SELECT channel, x, (CASE WHEN hi < 0 THEN hi / 32768.0::DOUBLE ELSE hi / 32767.0::DOUBLE END)::FLOAT::DOUBLE AS hi, (CASE WHEN lo < 0 THEN lo / 32768.0::DOUBLE ELSE lo / 32767.0::DOUBLE END)::FLOAT::DOUBLE AS lo FROM o),
+y AS (SELECT x, round(60 - hi * 56.4::DOUBLE)::INTEGER AS y1, round(60 - lo * 56.4::DOUBLE)::INTEGER AS y2 FROM d)
+SELECT x, unnest(generate_series(greatest(least(least(y1, y2), 119), 0), greatest(least(greatest(y1, y2), 119), 0)))::INTEGER AS y FROM y""")
+def waveform_raster(spark, sf_dir):
+    return render.raster(overview_columns(spark, sf_dir), 120, 1)
+
+
+DRAW = [(i, a, a + s, w, f, d, n) for i, (a, s, w, f, d, n) in enumerate((a, s, w, f, d, n) for a in (0.25, 99.5, 1000.0) for s in (1.5, 64.0, 3000.75) for w in (1, 800) for f in (0, 96) for d, n in ((1, 4096), (16, 200)))]
+
+
+@query(f"""WITH g AS (SELECT *, view_end - view_start AS span, division = 1 AS samples FROM {values_sql(DRAW, 'view_id, view_start, view_end, width, first_frame, division, record_count')}),
+a AS (SELECT *, (view_start - first_frame) / division AS record0, span / division AS records_across, width / span AS pixels_per_frame FROM g),
+b AS (SELECT *, greatest(0, least(record_count, CASE WHEN samples THEN ceil(record0) - 1 ELSE floor(record0) END))::BIGINT AS v0, (floor(record0 + records_across) + CASE WHEN samples THEN 2 ELSE 1 END)::BIGINT AS b FROM a),
+c AS (SELECT *, greatest(v0, least(record_count, b)) AS v1 FROM b)
+SELECT view_id, record0, records_across, pixels_per_frame, v0 AS first_visible, (v1 - v0)::BIGINT AS visible, (first_frame + v0 * division - view_start) * pixels_per_frame AS x_origin,
+pixels_per_frame * division AS x_step, samples AND v1 - v0 >= 2 AS draw_lines, samples AND v1 > v0 AND pixels_per_frame >= 3 AS draw_points FROM c""")
+def draw_plans(spark, sf_dir):
+    return render.draw_plans(rows(spark, DRAW, "view_id int, view_start double, view_end double, width int, first_frame long, division long, record_count long"))
+
+
+PCM24_SQL = "b AS (SELECT event_id, event_id % 256 AS b0, (event_id * 7) % 256 AS b1, (event_id * 13) % 256 AS b2 FROM events)"
+
+
+@query(f"WITH {PCM24_SQL} SELECT event_id, ((CASE WHEN b0 + b1 * 256 + b2 * 65536 >= 8388608 THEN b0 + b1 * 256 + b2 * 65536 - 16777216 ELSE b0 + b1 * 256 + b2 * 65536 END) / 8388608.0::DOUBLE)::FLOAT::DOUBLE AS v FROM b")
+def pcm24_samples(spark, sf_dir):
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", pcm24(e % 256, e * 7 % 256, e * 13 % 256).cast("double").alias("v"))

@@ -129,3 +129,19 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("live").collect()} == {tuple(r) for r in streaming_extrema(s, 64).collect()}
+
+
+def test_container_edits_in_a_file():
+    data = cache.encode("unit", 1, 48000, (7, 9), [("wave", 160, np.arange(4).reshape(2, 2))])
+    assert container.standard_end(data) == len(data) and container.strip(data) == data
+    key = (b"n" * 16, b"kind")
+    one = container.edit(data, "append", *key, payload=b"a")
+    two = container.edit(container.edit(one, "append", b"m" * 16, b"kind", payload=b"b"), "append", *key, payload=b"c")
+    assert [e[4] for e in container.split(two)[1]] == [b"a", b"b", b"c"]
+    assert [e[4] for e in container.split(container.edit(two, "set", *key, payload=b"new") + b"")[1]] == [b"new", b"b"]
+    assert container.edit(one, "remove", *key) == data
+    assert container.split(one + b"suffix")[2] == b"suffix" and container.strip(one + b"suffix") == data + b"suffix"
+    with pytest.raises(ValueError):
+        container.split(data + b"foreign tail that is no container")
+    with pytest.raises(ValueError):
+        container.attach(data, [], (1, 2))

@@ -15,6 +15,8 @@ table gives an empty result. Very long pages are parsed whole, in memory bounded
 from __future__ import annotations
 
 import math
+import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -41,7 +43,7 @@ WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr"
     " notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar side aside widget menu nav navbar navigation"
     " breadcrumb breadcrumbs pager pagination footer header masthead topbar toolbar social share sharing related recommended recommendations"
-    " comment comments commentlist discussion disqus reply replies respond login search copyright skip".split()
+    " disclaimer comment comments commentlist discussion disqus reply replies respond login search copyright skip".split()
 )
 SECTIONS = frozenset("article main section div td body".split())
 #: An open element that an opening tag ends.
@@ -49,6 +51,18 @@ CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td
 SIGMA = 2.0
 
 
+#: First words of a class that says what a page has, and not what the element is.
+ABOUT = frozenset("has with no without layout".split())
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
+@lru_cache(maxsize=4096)
+def _names_boilerplate(name: str) -> bool:
+    """Whether a class or an id ("cookie-notice", "userComments", "ad_2") names boilerplate."""
+    words = [w.lower() for w in PARTS.findall(name)]
+    return bool(words) and words[0] not in ABOUT and not WORDS.isdisjoint(words)
+
+
 class Blocks(HTMLParser):
     """Collects (text, tags, path) of each block; path numbers the sectioning elements that are open."""
 
@@ -61,6 +75,12 @@ class Blocks(HTMLParser):
         self.text: list[str] = []
         self.tags = 0
 
+    def parse_html_declaration(self, i: int) -> int:
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # an unknown marked section is a comment, as browsers have it
+            return self.parse_bogus_comment(i)
+
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
@@ -120,13 +140,15 @@ class Blocks(HTMLParser):
         if tag in ("html", "body", "main"):
             return False
         for k, v in attrs:
+            if k in ("class", "id"):
+                if any(map(_names_boilerplate, (v or "").split())):
+                    return True
+                continue
             v = (v or "").lower()
             if k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "role" and v in ROLES):
                 return True
             if k == "style" and "display:none" in v.replace(" ", ""):
                 return True
-            if k in ("class", "id") and not WORDS.isdisjoint(v.replace("-", " ").replace("_", " ").split()):
-                return True
         return False
 
 

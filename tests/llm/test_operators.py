@@ -238,6 +238,8 @@ PAGE = """<html><head><title>t</title><script>var a="</p>"</script></head><body>
         (None, ""), ("", ""), ("<nav>only a menu</nav>", ""), ("plain  text\n here", "plain text here"),
         (PAGE.format("<article><h1>Head &amp; tail</h1><p><b>One<br>two  three.<br><p>S.<section class='comments'><p>nice</section></article>"), "Head & tail\n\nOne two three.\n\nS."),
         (PAGE.format("<div class=post><p>A long paragraph of the article, with many words in it.</p><p>B.</p></div>"), "A long paragraph of the article, with many words in it.\n\nB."),
+        ("<div class='content with-sidebar'><p>Kept text of some length here.</p><div class=userComments>c</div><div id=ad_2>d</div></div>", "Kept text of some length here."),
+        ("<![foo[x]]><p>a<![endif]>b</p><!x><p>c", "ab\n\nc"), ("<p>a &lt; b &#233;&eacute; &nbsp; c &amp", "a < b éé c &"),
         ("<article><p>" + "long " * 50000 + "</p></article>", ("long " * 50000).strip()),
     ],
 )
@@ -245,6 +247,14 @@ def test_html(html, want):
     assert html_extract.extract(html) == want
 
 
+def test_html_never_fails():
+    rng = np.random.default_rng(0)
+    bits = ["<p>", "</p>", "<div class=ad>", "</div>", "<![", "<!", "<!--", "-->", "]]>", "<?", "&", "&#x", ";", "<", ">", "text ", "<article>", "</article>", "<script>", "</script>", "<b", '"', "=", "é"]
+    for _ in range(3000):
+        page = "".join(bits[i] for i in rng.integers(0, len(bits), 25))
+        assert isinstance(html_extract.extract(page), str)
+
+
 def test_pages(spark):
     rows = spark.createDataFrame([(1, "u", None), (2, None, "<p>x</p>"), (2, None, "<p>x</p>")], "page_id long, url string, html string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extract_pages(rows).collect()) == [(1, "", 0), (2, "x", 1), (2, "x", 1)]

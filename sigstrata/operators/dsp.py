@@ -97,17 +97,22 @@ def k_weighting(rate: int) -> tuple[np.ndarray, np.ndarray]:
     return np.convolve(num, [1.0, -2.0, 1.0]), np.convolve(shelf, section(*HIGH_PASS)[2])
 
 
-def k_filter(x: np.ndarray, rate: int) -> np.ndarray:
+def k_filter_from(x: np.ndarray, rate: int, state: tuple[float, float, float, float]) -> tuple[np.ndarray, tuple[float, float, float, float]]:
+    """The filtered samples and the state after them."""
     b, a = (c.tolist() for c in k_weighting(rate))
     b0, b1, b2, b3, b4 = b
     _, a1, a2, a3, a4 = a
-    s1 = s2 = s3 = s4 = 0.0
+    s1, s2, s3, s4 = state
     out = np.empty(len(x))
     for i, v in enumerate(x.tolist()):
         v -= a1 * s1 + a2 * s2 + a3 * s3 + a4 * s4
         out[i] = b0 * v + b1 * s1 + b2 * s2 + b3 * s3 + b4 * s4
         s4, s3, s2, s1 = s3, s2, s1, v
-    return out
+    return out, (s1, s2, s3, s4)
+
+
+def k_filter(x: np.ndarray, rate: int) -> np.ndarray:
+    return k_filter_from(x, rate, (0.0, 0.0, 0.0, 0.0))[0]
 
 
 def k_weighted(samples: DataFrame, rate: int) -> DataFrame:
@@ -121,29 +126,30 @@ def k_weighted(samples: DataFrame, rate: int) -> DataFrame:
     return samples.select("channel", "frame", F.col("v").cast("double").alias("v")).groupBy("channel").applyInPandas(run, "channel int, frame long, v double")
 
 
-def resample(x: np.ndarray, rate: int) -> np.ndarray:
-    """To the analysis rate: a low-pass biquad where that is lower, then linear interpolation."""
-    ratio = rate / ANALYSIS_RATE
-    if ratio > 1 and len(x):
-        at = 1.0 / ratio * float(np.float32(0.693)) * math.pi
-        alpha = math.sin(at) / (2 * float(np.float32(0.707)))
-        sc = 1 / (1 + alpha)
-        b1 = (1 - math.cos(at)) * sc
-        b0, a1, a2 = b1 * 0.5, -2 * math.cos(at) * sc, (1 - alpha) * sc
-        x1 = x2 = y1 = y2 = 0.0
+class LowPass:
+    """The biquad before a reduction of the rate; without one it passes samples on."""
+
+    def __init__(self, ratio: float):
+        self.on = ratio > 1
+        self.state = (0.0, 0.0, 0.0, 0.0)
+        if self.on:
+            at = 1.0 / ratio * float(np.float32(0.693)) * math.pi
+            alpha = math.sin(at) / (2 * float(np.float32(0.707)))
+            sc = 1 / (1 + alpha)
+            b1 = (1 - math.cos(at)) * sc
+            self.taps = b1 * 0.5, b1, -2 * math.cos(at) * sc, (1 - alpha) * sc
+
+    def push(self, x: np.ndarray) -> np.ndarray:
+        if not self.on:
+            return x
+        (b0, b1, a1, a2), (x1, x2, y1, y2) = self.taps, self.state
         out = np.empty(len(x))
         for i, v in enumerate(x.tolist()):
             y = v * b0 + x1 * b1 + x2 * b0 - y1 * a1 - y2 * a2
             x2, x1, y2, y1 = x1, v, y1, y
             out[i] = y
-        x = out
-    if ratio == 1:
-        return x
-    p = steps(ratio, int(len(x) / ratio) + 4)
-    i = p.astype(np.int64)
-    p, i = p[i + 1 < len(x)], i[i + 1 < len(x)]
-    f = p - i
-    return x[i] * (1 - f) + x[i + 1] * f
+        self.state = x1, x2, y1, y2
+        return out
 
 
 def hann(n: int) -> np.ndarray:
@@ -153,58 +159,104 @@ def hann(n: int) -> np.ndarray:
     return table[np.where(i <= half, i, n - i)]
 
 
-def schedule(frames: int, rate: int, division: int) -> list[tuple[int, int]]:
-    """(analysis samples taken in, samples since the last record) at each record."""
-    hop = division * ANALYSIS_RATE / rate
-    rounded = math.floor(hop + 0.5)
-    phase = (rounded - N) * 0.5 if rounded <= N - 1 else 0.0
-    out, elapsed = [], 0
-    for i in range(frames):
-        phase += 1.0
-        elapsed += 1
-        while phase >= hop:
-            out.append((i + 1, elapsed))
-            elapsed = 0
-            phase -= hop
-    return out
-
-
-def spectral_peaks(x: np.ndarray, rate: int, division: int, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(frequency_hz, density) of a channel; limit caps the number of records (the source-length rule)."""
-    y = resample(x, rate).astype(np.float32)
-    span = max(math.floor(division * ANALYSIS_RATE / rate + 0.5), N)
-    w, at = hann(span), schedule(len(y), rate, division)
-    at = at if limit is None else at[:limit]
-    padded = np.concatenate([np.zeros(span, np.float32), y])
-    before = np.zeros(N // 2 + 1, np.complex64)
-    freq, dens = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    k = np.arange(N // 2 + 1)
-    for r, (end, elapsed) in enumerate(at):
-        product = (padded[end : end + span] * w).astype(np.float64)
+class SpectralAnalyzer:
+    """Spectral records of a channel whose samples come in pieces; any cutting gives the same records."""
+
+    def __init__(self, rate: int, division: int):
+        self.ratio, self.hop = rate / ANALYSIS_RATE, division * ANALYSIS_RATE / rate
+        rounded = math.floor(self.hop + 0.5)
+        self.span = max(rounded, N)
+        self.phase = (rounded - N) * 0.5 if rounded <= N - 1 else 0.0
+        self.window = hann(self.span)
+        self.ring = np.zeros(self.span, np.float32)
+        self.before = np.zeros(N // 2 + 1, np.complex64)
+        self.elapsed = 0
+        self.low_pass = LowPass(self.ratio)
+        self.rest, self.first, self.at = np.zeros(0), 0, 0.0  # source samples still needed, index of the first, position
+
+    def resampled(self, x: np.ndarray) -> np.ndarray:
+        x = self.low_pass.push(x)
+        if self.ratio == 1:
+            return x
+        x = np.concatenate([self.rest, x])
+        end = self.first + len(x)
+        p = np.cumsum(np.concatenate([[self.at], np.full(max(int((end - self.at) / self.ratio), 0) + 2, self.ratio)]))
+        i = p.astype(np.int64)
+        n = int(np.searchsorted(i, end - 1))
+        f, j = p[:n] - i[:n], i[:n] - self.first
+        y = x[j] * (1 - f) + x[j + 1] * f if n else np.zeros(0)
+        self.at = float(p[n])
+        drop = min(max(int(self.at) - self.first, 0), len(x))
+        self.rest, self.first = x[drop:], self.first + drop
+        return y
+
+    def push(self, x: np.ndarray, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(frequency_hz, density) of the records that x completes."""
+        y = self.resampled(np.asarray(x, dtype=np.float64)).astype(np.float32)
+        held = np.concatenate([self.ring, y])
+        out = []
+        for j in range(1, len(y) + 1):
+            self.phase += 1.0
+            self.elapsed += 1
+            while self.phase >= self.hop and (limit is None or len(out) < limit):
+                out.append(self._record(held[j : j + self.span]))
+                self.elapsed = 0
+                self.phase -= self.hop
+            if limit is not None and len(out) >= limit:
+                break
+        self.ring = held[len(held) - self.span :]
+        made = np.array(out, dtype=np.int64).reshape(-1, 2)
+        return made[:, 0], made[:, 1]
+
+    def _record(self, part: np.ndarray) -> tuple[int, int]:
+        product = (part * self.window).astype(np.float64)
         folded = np.zeros(N)
-        for s in range(0, span, N):
-            part = product[s : s + N]
-            folded[: len(part)] += part
+        for s in range(0, self.span, N):
+            piece = product[s : s + N]
+            folded[: len(piece)] += piece
         spec = np.fft.rfft(folded)
         mags = np.abs(spec)
         total = float(np.cumsum(mags)[-1])
-        last, before = before, spec.astype(np.complex64)
+        last, self.before = self.before, spec.astype(np.complex64)
         if not total > 0:
-            continue
+            return 0, 0
         top = 1 + int(mags[1:-1].argmax())
         if mags[top] <= mags[-1]:
             top = N // 2
         best = float(N // 2)
-        if top != N // 2 and elapsed:
+        if top != N // 2 and self.elapsed:
             old = complex(last[top])
-            turn = (math.atan2(spec[top].imag, spec[top].real) - math.atan2(old.imag, old.real)) / math.pi - 2.0 * (elapsed / N) * top
+            turn = (math.atan2(spec[top].imag, spec[top].real) - math.atan2(old.imag, old.real)) / math.pi - 2.0 * (self.elapsed / N) * top
             turn = math.fmod(turn, 2.0)
             turn += 2.0 if turn <= -1 else -2.0 if turn > 1 else 0.0
-            best = top + N / 2 / elapsed * turn
-        spread = float((mags.astype(np.float32).astype(np.float64) * (k - best) ** 2).sum())
-        freq[r] = min(max(math.trunc(0.5 + best * ANALYSIS_RATE / N), 0), 32767)
-        dens[r] = min(max(math.trunc(0.5 + 16383.0 * (1 - 4 * spread / (total * 262144.0))), 0), 16383)
-    return freq, dens
+            best = top + N / 2 / self.elapsed * turn
+        spread = float((mags.astype(np.float32).astype(np.float64) * (np.arange(N // 2 + 1) - best) ** 2).sum())
+        frequency = min(max(math.trunc(0.5 + best * ANALYSIS_RATE / N), 0), 32767)
+        return frequency, min(max(math.trunc(0.5 + 16383.0 * (1 - 4 * spread / (total * 262144.0))), 0), 16383)
+
+
+def spectral_peaks(x: np.ndarray, rate: int, division: int, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(frequency_hz, density) of a whole channel; limit caps the number of records (the source-length rule)."""
+    return SpectralAnalyzer(rate, division).push(x, limit)
+
+
+class LoudnessMeter:
+    """Momentary and short-term energy after each whole block of a channel whose samples come in pieces."""
+
+    def __init__(self, rate: int):
+        self.rate, self.size = rate, max(1, rate // 40)
+        self.state, self.rest = (0.0, 0.0, 0.0, 0.0), np.zeros(0)
+        self.ring = np.zeros(120)
+
+    def push(self, x: np.ndarray) -> np.ndarray:
+        """(blocks, 2)."""
+        y, self.state = k_filter_from(np.asarray(x, dtype=np.float64), self.rate, self.state)
+        y = np.concatenate([self.rest, y])
+        n = len(y) // self.size
+        self.rest = y[n * self.size :]
+        energy = np.concatenate([self.ring, (y[: n * self.size].reshape(n, self.size) ** 2).sum(axis=1)])
+        self.ring = energy[len(energy) - 120 :]
+        return np.array([[energy[i + 105 : i + 121].sum() / (2 * self.rate // 5), energy[i + 1 : i + 121].sum() / (3 * self.rate)] for i in range(n)]).reshape(-1, 2)
 
 
 def spectral_fine(samples: DataFrame, rate: int, division: int, rule: str = "analysis", frames: int | None = None) -> DataFrame:

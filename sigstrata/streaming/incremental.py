@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigstrata.operators import dsp
+
 
 def streaming_extrema(samples: DataFrame, division: int) -> DataFrame:
     """(channel, peak, hi, lo), for writeStream in update mode: state is one pair a bucket."""
@@ -15,3 +17,40 @@ def streaming_blocks(samples: DataFrame, rate: int) -> DataFrame:
     """(channel, block, energy, n): blocks of 25 ms; those with n below the block's size are not yet whole."""
     v = F.col("v").cast("double")
     return samples.groupBy("channel", F.floor(F.col("frame") / max(1, rate // 40)).alias("block")).agg(F.sum(v * v).alias("energy"), F.count(F.lit(1)).alias("n"))
+
+
+def _stateful(samples: DataFrame, start, columns: str) -> DataFrame:
+    """Push each micro-batch of a channel, in the order of frames, through an object whose state is kept as bytes.
+
+    start() makes the object; its push(samples) gives rows of numbers. Records are numbered from the first on.
+    Samples must arrive in order from batch to batch, as from a recording.
+    """
+    import pickle
+
+    import numpy as np
+    import pandas as pd
+
+    names = columns.split(", ")
+
+    def run(key, parts, state):
+        meter, n = pickle.loads(state.get[0]) if state.exists else (start(), 0)
+        pdf = pd.concat(list(parts)).sort_values("frame")
+        made = meter.push(pdf["v"].to_numpy(np.float64))
+        made = np.stack(made, axis=1) if isinstance(made, tuple) else made
+        state.update((pickle.dumps((meter, n + len(made))),))
+        out = pd.DataFrame({c.split()[0]: made[:, i] for i, c in enumerate(names)})
+        yield pd.concat([pd.DataFrame({"channel": [key[0]] * len(made), "record": np.arange(n, n + len(made))}), out], axis=1)
+
+    return samples.select("channel", "frame", F.col("v").cast("double").alias("v")).groupBy("channel").applyInPandasWithState(
+        run, f"channel int, record long, {columns}", "data binary", "append", "NoTimeout"
+    )
+
+
+def streaming_spectral(samples: DataFrame, rate: int, division: int) -> DataFrame:
+    """(channel, record, frequency_hz, density), for writeStream in append mode."""
+    return _stateful(samples, lambda: dsp.SpectralAnalyzer(rate, division), "frequency_hz int, density int")
+
+
+def streaming_loudness(samples: DataFrame, rate: int) -> DataFrame:
+    """(channel, record, momentary, short_term) after each whole block, for writeStream in append mode."""
+    return _stateful(samples, lambda: dsp.LoudnessMeter(rate), "momentary double, short_term double")

@@ -145,3 +145,31 @@ def test_container_edits_in_a_file():
         container.split(data + b"foreign tail that is no container")
     with pytest.raises(ValueError):
         container.attach(data, [], (1, 2))
+
+
+@pytest.mark.parametrize("rate", [22050, 44100, 48000, 96000])
+def test_pieces_give_the_whole(rate):
+    rng = np.random.default_rng(rate)
+    x = rng.normal(size=rate // 4) * 0.2
+    whole = dsp.spectral_peaks(x, rate, 160)
+    a, meter = dsp.SpectralAnalyzer(rate, 160), dsp.LoudnessMeter(rate)
+    cuts = np.sort(rng.integers(0, len(x), 9))
+    got = [a.push(p) for p in np.split(x, cuts)]
+    assert (np.concatenate([g[0] for g in got]) == whole[0]).all() and (np.concatenate([g[1] for g in got]) == whole[1]).all()
+    assert np.allclose(np.concatenate([meter.push(p) for p in np.split(x, cuts)]), dsp.LoudnessMeter(rate).push(x))
+
+
+def test_stateful_stream_equals_batch(spark, tmp_path):
+    x = np.sin(np.arange(9000) * 0.2)
+    for k in range(3):
+        part = spark.createDataFrame([(0, i, float(x[i])) for i in range(k * 3000, k * 3000 + 3000)], "channel int, frame long, v double")
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    from sigstrata.streaming.incremental import streaming_spectral
+
+    live = spark.readStream.schema("channel int, frame long, v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = streaming_spectral(live, 44100, 147).writeStream.outputMode("append").format("memory").queryName("peaks").start()
+    q.processAllAvailable()
+    q.stop()
+    f, d = dsp.spectral_peaks(x, 44100, 147)
+    got = sorted((r.record, r.frequency_hz, r.density) for r in spark.table("peaks").collect())
+    assert got == [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(f, d, strict=True))]

@@ -1,7 +1,7 @@
 """Embedding near-duplicates by robust-pruned flat graphs over overlapping cluster shards.
 
 1. Equal vectors collapse into one node with a multiplicity.
-2. Leaders picked from a bounded sample (SAMPLE nodes) are centroids; no two are alike (cosine under
+2. Leaders picked from a bounded sample (SAMPLE nodes and SAMPLE_VALUES components) are centroids; no two are alike (cosine under
    APART), so that a dense group stays in one cluster. Every node joins its OVERLAP nearest clusters. A
    cluster of more than SHARD nodes is cut into blocks of at most about SHARD: each node is a member of
    one block and a query to all, so that a hot cluster spreads over tasks and loses no pair.
@@ -33,6 +33,7 @@ from sigstrata.llm.common import components, discard, materialize, union
 
 RADIUS = 0.9
 SAMPLE = 16_384
+SAMPLE_VALUES = 1 << 20
 APART = 0.8
 OVERLAP = 4
 SHARD = 1_500
@@ -268,9 +269,10 @@ def _search(radius: float):
 
 def link_nodes(distinct: DataFrame, radius: float = RADIUS) -> DataFrame:
     """(node, links, root) rows of all blocks: parts of each node's count, and edges of a spanning forest."""
-    n = distinct.count()
-    wanted = max(1, min(SAMPLE, -(-OVERLAP * n // SHARD)))
-    sample = [r.v for r in distinct.select("v", "node").orderBy(F.xxhash64("node")).limit(SAMPLE).select("v").collect()]
+    n, dim = distinct.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    most = max(256, min(SAMPLE, SAMPLE_VALUES // max(dim or 1, 1)))
+    wanted = max(1, min(most, -(-OVERLAP * n // SHARD)))
+    sample = [r.v for r in distinct.select("v", "node").orderBy(F.xxhash64("node")).limit(most).select("v").collect()]
     centroids = leaders(sample, wanted)
     kind = distinct.schema["v"].dataType.simpleString()
     placed = materialize(

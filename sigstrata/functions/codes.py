@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,3 +142,79 @@ def unpack12(text: Column) -> Column:
         ),
     )
     return F.flatten(pairs)
+
+
+#: Fixed values of the display: colours of silence and of loudness bands (threshold, red, green, blue).
+NEUTRAL, FADED = (0.43, 0.92, 0.67), (0.58, 0.58, 0.58)
+QUIET = (0.18, 0.48, 0.32)
+BANDS = (
+    (-42, 0.18, 0.72, 0.33), (-36, 0.47, 0.82, 0.24), (-30, 0.92, 0.86, 0.18), (-24, 1.00, 0.62, 0.10),
+    (-18, 0.96, 0.24, 0.10), (-12, 0.88, 0.14, 0.34), (-6, 0.34, 0.42, 1.00),
+)
+
+
+def _clamp(x: Column, lo: Column, hi: Column) -> Column:
+    return F.greatest(lo, F.least(hi, x))
+
+
+def hue_rgb(hue: Column, saturation: float, value: float) -> Column:
+    """array of red, green and blue of a hue in turns: each is value less saturation times a trapezoid of the hue."""
+    def channel(shift: float) -> Column:
+        k = F.pmod(F.lit(shift) + hue * 6.0, F.lit(6.0))
+        return F.lit(value) - F.lit(value * saturation) * _clamp(F.least(k, 4.0 - k), F.lit(0.0), F.lit(1.0))
+
+    return F.array(channel(5.0), channel(3.0), channel(1.0))
+
+
+def spectral_color(code: Column, low: float = 20.0, high: float = 10000.0, nyquist: float = 24000.0, octaves: bool = False, reverse: bool = False, fade: bool = True) -> Column:
+    """array of red, green and blue (0 to 1) of a packed spectral code: hue by log frequency, depth by tonality."""
+    low = max(10.0, low)
+    high = min(max(low + 1, high), max(low + 1, nyquist))
+    frequency, density = unpack_spectral(code)
+    octave = F.ln(_clamp(frequency.cast("double"), F.lit(low), F.lit(high)) / low)
+    phase = F.pmod(octave / float(math.log(2)), F.lit(1.0)) if octaves else octave / max(1e-9, math.log(high / low))
+    hue = hue_rgb((1.0 - phase if reverse else phase) * 0.78, 0.92, 1.0)
+    depth = F.pow(density.cast("double") / 16383.0, F.lit(0.65))
+    base = NEUTRAL if fade else FADED
+    mixed = F.array(*[F.lit(b) + (hue[i] - b) * depth for i, b in enumerate(base)])
+    return F.when(frequency > 0, mixed).otherwise(F.array(*map(F.lit, NEUTRAL)))
+
+
+def loudness_color(level: Column, transition: float = 1.5) -> Column:
+    """array of red, green and blue of a level in loudness units: bands fade into each other by smoothsteps."""
+    width = max(0.05, transition)
+    rgb = [F.lit(c) for c in QUIET]
+    for at, *following in BANDS:
+        t = _clamp((level - (at - width)) / (2 * width), F.lit(0.0), F.lit(1.0))
+        step = t * t * (3.0 - 2.0 * t)
+        rgb = [c + (n - c) * step for c, n in zip(rgb, following, strict=True)]
+    return F.array(*rgb)
+
+
+def display_level(code: Column, floor_db: float, ceiling_db: float, contrast: float = 1.0, gain: float = 1.0, gain_db: float = 0.0) -> Column:
+    """Brightness (0 to 1) of a spectrogram code."""
+    lo = min(floor_db, ceiling_db - 0.001)
+    hi = max(ceiling_db, lo + 0.001)
+    unit = _clamp((code_to_db(code, gain_db) - lo) / (hi - lo), F.lit(0.0), F.lit(1.0))
+    return _clamp(F.pow(unit, F.lit(max(0.05, contrast))) * gain, F.lit(0.0), F.lit(1.0))
+
+
+def next_power_of_two(x: Column) -> Column:
+    """The least power of two that is not below x (1 for less), by integers: the digits of x - 1 in base two."""
+    n = F.greatest(x.cast("long"), F.lit(1)) - 1
+    return F.when(n == 0, F.lit(1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(n))))
+
+
+def central_name(path: Column, name: Column, extension: str = ".peaks", most: int = 255) -> Column:
+    """A stable file name (binary) of a media path: its own name, cut to fit in `most` bytes, and 24 digits of the path's digest."""
+    suffix = F.concat(F.lit("."), F.substring(F.sha2(path, 256), 1, 24), F.lit(extension))
+    cut = F.substring(name.cast("binary"), 1, max(0, most - 25 - len(extension.encode())))
+    return F.concat(F.when(F.octet_length(cut) > 0, cut).otherwise(F.lit("media").cast("binary")), suffix.cast("binary"))
+
+
+def preview(payload: Column, most: int = 32) -> tuple[Column, Column]:
+    """The first bytes of a payload as spaced hex digits, and as ASCII with a dot for what can't be printed."""
+    head = F.hex(F.substring(payload, 1, most))
+    pairs = F.regexp_replace(F.lower(head), "(..)(?!$)", "$1 ")
+    byte = F.transform(F.filter(F.split(pairs, " "), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("int"))
+    return pairs, F.array_join(F.transform(byte, lambda b: F.when(b.between(32, 126), F.char(b)).otherwise(".")), "")

@@ -30,6 +30,13 @@ def spectral_rows(records: DataFrame) -> DataFrame:
     return rows.select("channel", "tile", F.unhex(F.array_join(F.transform("ps", lambda x: x["p"]), "")).alias("rgba"))
 
 
+def bin_tiles(bins: DataFrame, frames: int) -> DataFrame:
+    """(tile, width, codes binary) of (channel, record, bin, code): tiles of `frames` records, little-endian by channel, bin and time."""
+    cell = F.struct("channel", "bin", "record", _hex16(F.col("code")).alias("p"))
+    tiles = bins.groupBy(F.floor(F.col("record") / frames).alias("tile")).agg(F.sort_array(F.collect_list(cell)).alias("ps"), (F.max("record") - F.min("record") + 1).alias("width"))
+    return tiles.select("tile", "width", F.unhex(F.array_join(F.transform("ps", lambda x: x["p"]), "")).alias("codes"))
+
+
 def raster(columns: DataFrame, height: int, channels: int, full_scale: float = 1.0, decode=codes.from_unit_code) -> DataFrame:
     """(x, y) of the lit pixels of a waveform, from extrema of pixel columns (channel, x, max_code, min_code)."""
     band = height / channels

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigstrata.functions import codes
-from sigstrata.operators import dsp, render, rollups, wave
+from sigstrata.operators import dsp, generate, render, rollups, wave
 from sigstrata.sources import cache, container
 from sigstrata.sources.signals import event_samples, pcm24, table, vector_samples
 
@@ -528,3 +528,86 @@ PCM24_SQL = "b AS (SELECT event_id, event_id % 256 AS b0, (event_id * 7) % 256 A
 def pcm24_samples(spark, sf_dir):
     e = F.col("event_id")
     return table(spark, sf_dir, "events").select("event_id", pcm24(e % 256, e * 7 % 256, e * 13 % 256).cast("double").alias("v"))
+
+
+# -- whole caches, written and read back
+
+@query(levels_sql(EVENTS, "(SELECT count(*) FROM events)", FINE16, PEAK16.format(x="hi"), PEAK16.format(x="lo")))
+def cache_decoded_waves(spark, sf_dir):
+    s, n = events(spark, sf_dir)
+    r = cache.read_records(generate.build_cache(s, "events", RATE16, FINE16, frames=n), ("wave",))
+    code = lambda i: F.element_at("values", i).cast("smallint")
+    return r.select("division", "channel", F.col("record").alias("peak"), code(1).alias("max_code"), code(2).alias("min_code"))
+
+
+@query()
+def cache_modes(spark, sf_dir):
+    s, n = events(spark, sf_dir)
+    made = [generate.build_cache(s, mode, RATE16, FINE16, mode, frames=n) for mode in generate.MODES]
+    return cache.layer_index(made[0].unionByName(made[1]).unionByName(made[2]))
+
+
+@query("""WITH b AS (SELECT vec_id // 50 AS tile, vec_id AS record, i - 1 AS bin, floor((embedding[i]::DOUBLE + 1) * 2000)::INTEGER AS code FROM embeddings, range(1, 65) r(i))
+SELECT tile, max(record) - min(record) + 1 AS width, string_agg(printf('%02X%02X', code % 256, code // 256), '' ORDER BY bin, record) AS codes FROM b GROUP BY 1""")
+def spectrogram_tiles(spark, sf_dir):
+    bins = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("channel"), F.col("vec_id").alias("record"), F.posexplode("embedding").alias("bin", "v"))
+    coded = bins.select("channel", "record", "bin", F.floor((F.col("v").cast("double") + 1) * 2000).cast("int").alias("code"))
+    return render.bin_tiles(coded, 50).select("tile", "width", F.hex("codes").alias("codes"))
+
+
+# -- display functions
+
+SMOOTH = "(t{i} * t{i} * (3 - 2 * t{i}))"
+BAND_SQL = "greatest(0, least(1, (level - ({at} - 1.5::DOUBLE)) / 3.0::DOUBLE)) AS t{i}"
+
+
+def _bands_sql(c: int) -> str:
+    x = f"{codes.QUIET[c]}::DOUBLE"
+    for i, band in enumerate(codes.BANDS):
+        x = f"({x} * (1 - {SMOOTH.format(i=i)}) + {band[c + 1]}::DOUBLE * {SMOOTH.format(i=i)})"
+    return f"round({x}, 6)"
+
+
+def _rgb(column):
+    return [F.round(column[i], 6).alias(c) for i, c in enumerate(("red", "green", "blue"))]
+
+
+@query(f"""WITH l AS (SELECT event_id, value / 8 - 50 AS level FROM events), t AS (SELECT *, {', '.join(BAND_SQL.format(i=i, at=b[0]) for i, b in enumerate(codes.BANDS))} FROM l)
+SELECT event_id, {', '.join(f'{_bands_sql(c)} AS {n}' for c, n in enumerate(('red', 'green', 'blue')))} FROM t""")
+def loudness_colors(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", *_rgb(codes.loudness_color(F.col("value") / 8 - 50)))
+
+
+@query("""WITH e AS (SELECT event_id, (event_id * 37) % 12000 AS f, (event_id * 101) % 16384 AS d FROM events),
+h AS (SELECT *, ln(greatest(20, least(10000, f)) / 20.0::DOUBLE) / ln(500.0::DOUBLE) * 0.78::DOUBLE * 6 AS h, pow(d / 16383.0::DOUBLE, 0.65::DOUBLE) AS m FROM e),
+s AS (SELECT *, floor(h)::INTEGER AS i, h - floor(h) AS w FROM h),
+q AS (SELECT *, 0.08::DOUBLE AS p, 1 - 0.92::DOUBLE * w AS down, 1 - 0.92::DOUBLE * (1 - w) AS up FROM s),
+c AS (SELECT *, CASE i WHEN 0 THEN 1 WHEN 1 THEN down WHEN 2 THEN p WHEN 3 THEN p WHEN 4 THEN up ELSE 1 END AS r, CASE i WHEN 0 THEN up WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN down ELSE p END AS g, CASE i WHEN 0 THEN p WHEN 1 THEN p WHEN 2 THEN up WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE down END AS b FROM q)
+SELECT event_id, round(CASE WHEN f = 0 THEN 0.43::DOUBLE ELSE 0.43::DOUBLE + (r - 0.43::DOUBLE) * m END, 6) AS red, round(CASE WHEN f = 0 THEN 0.92::DOUBLE ELSE 0.92::DOUBLE + (g - 0.92::DOUBLE) * m END, 6) AS green, round(CASE WHEN f = 0 THEN 0.67::DOUBLE ELSE 0.67::DOUBLE + (b - 0.67::DOUBLE) * m END, 6) AS blue FROM c""")
+def spectral_colors(spark, sf_dir):
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", *_rgb(codes.spectral_color(codes.pack_spectral(e * 37 % 12000, e * 101 % 16384))))
+
+
+@query("""SELECT event_id, round(pow(greatest(0, least(1, (((event_id % 4096) - 4095.5::DOUBLE) * (10 / (88.92179516969081::DOUBLE * ln(10.0::DOUBLE))) + 90) / 90.0::DOUBLE)), 0.8::DOUBLE), 6) AS level FROM events""")
+def display_levels(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.round(codes.display_level(F.col("event_id") % 4096, -90.0, 0.0, 0.8), 6).alias("level"))
+
+
+@query("SELECT event_id, (SELECT min(1::BIGINT << i::INTEGER) FROM range(0, 40) r(i) WHERE (1::BIGINT << i::INTEGER) >= event_id * event_id) AS size FROM events")
+def powers_of_two(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", codes.next_power_of_two(F.col("event_id") * F.col("event_id")).alias("size"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'media' ELSE substr(repeat(page_id::VARCHAR, 80), 1, 224) END || '.' || substr(sha256(url), 1, 24) || '.peaks' AS name FROM pages")
+def central_names(spark, sf_dir):
+    name = F.when(F.col("page_id") % 7 == 0, "").otherwise(F.expr("repeat(cast(page_id as string), 80)"))
+    return table(spark, sf_dir, "pages").select("page_id", codes.central_name(F.col("url"), name).cast("string").alias("name"))
+
+
+@query("""WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 128)::INTEGER % 256)[1:16] AS b FROM embeddings)
+SELECT vec_id, array_to_string(list_transform(b, lambda x: printf('%02x', x)), ' ') AS digits, array_to_string(list_transform(b, lambda x: CASE WHEN x BETWEEN 32 AND 126 THEN chr(x) ELSE '.' END), '') AS shown FROM p""")
+def payload_previews(spark, sf_dir):
+    b = F.transform("embedding", lambda x: F.lpad(F.hex(F.pmod(F.floor((x.cast("double") + 1) * 128), F.lit(256))), 2, "0"))
+    digits, shown = codes.preview(F.unhex(F.array_join(b, "")), 16)
+    return table(spark, sf_dir, "embeddings").select("vec_id", digits.alias("digits"), shown.alias("shown"))

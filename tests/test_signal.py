@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigstrata.operators import dsp, rollups, wave
+from sigstrata.operators import dsp, generate, rollups, wave
 from sigstrata.plans.signal_queries import ORACLE_SQL, QUERIES
 from sigstrata.sources import cache, container
 from sigstrata.streaming.incremental import streaming_extrema
@@ -173,3 +173,45 @@ def test_stateful_stream_equals_batch(spark, tmp_path):
     f, d = dsp.spectral_peaks(x, 44100, 147)
     got = sorted((r.record, r.frequency_hz, r.density) for r in spark.table("peaks").collect())
     assert got == [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(f, d, strict=True))]
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_whole_cache_round_trip(spark, wide):
+    """Stereo floats in the mode with all kinds: what is written is read back, and layers follow their rules."""
+    rate, divisions, frames = 44100, [147, 2205, 4410], 30001
+    x = 1.2 * np.random.default_rng(5).standard_normal((frames, 2)).astype(np.float32)
+    s = spark.createDataFrame([(c, i, float(x[i, c])) for c in (0, 1) for i in range(frames)], "channel int, frame long, v float")
+    made = generate.cache_records(s, rate, divisions, "spectrogram", 2, wide=wide)
+    want = {(r.layer_ord, r.record, r.channel): r["values"] for r in made.collect()}
+    files = generate.build_cache(s, "t", rate, divisions, "spectrogram", 2, wide=wide, stamp=(3, 4)).persist()
+    got = {(r.layer_ord, r.record, r.channel): r["values"] for r in cache.read_records(files, slab=7).collect()}
+    assert got.keys() == want.keys()
+    for k, v in want.items():  # sums of the two runs may differ in the last digit of loudness
+        assert got[k] == (pytest.approx(v, rel=1e-6) if k[0] >= 8 else v)
+    assert {r[0] for r in cache.read_records(files, ("loudness",)).select("kind").distinct().collect()} == {"loudness"}
+    h = files.select(*[c.alias(k) for k, c in cache.header(F.col("content")).items()]).first()
+    assert (h.version, h.channels, h.layers, h.sample_rate, h.mtime_low32, h.size_low32) == ("wide" if wide else "unit", 2, 10, rate, 3, 4)
+    index = {r.layer_ord: (r.kind, r.mirrored_division, r.record_count) for r in cache.layer_index(files).collect()}
+    counts = rollups.spectrogram_counts(frames, divisions)
+    assert [index[i] for i in range(3)] == [("wave", d, wave.bucket_count(frames, d, divisions[0])) for d in divisions]
+    assert [index[i] for i in (6, 7)] == [("spectrogram", d, n) for d, n in zip(divisions[1:], counts, strict=True)]
+    base = -(-frames // divisions[1])
+    assert [index[i] for i in (8, 9)] == [("loudness", divisions[1], base), ("loudness", divisions[2], base // 2)]
+    fine = index[3][2]
+    assert [index[i] for i in (3, 4, 5)] == [("spectral", d, fine // (d // 147)) for d in divisions]
+    # the coarse spectrogram against direct means of direct windows
+    for c in (0, 1):
+        n = 1 + (frames - rollups.spectrogram_shift(147) - 256) // 147
+        b = dsp.spectrogram_frames(x[:, c], 0, np.arange(n) * 147 + rollups.spectrogram_shift(147)).astype(np.int64)
+        first = np.array([b[i : i + 15].sum(axis=0) // len(b[i : i + 15]) for i in range(0, n, 15)])
+        assert all(got[6, i, c] == first[i].tolist() for i in range(len(first)))
+        second = [(first[i] + first[i + 1]) // 2 for i in range(0, len(first) - 1, 2)]
+        assert all(got[7, i, c] == v.tolist() for i, v in enumerate(second))
+
+
+def test_cache_of_nothing_and_bad_options(spark):
+    none = spark.createDataFrame([], "channel int, frame long, v float")
+    assert generate.cache_records(none, 48000, [160, 2400]).collect() == []
+    for bad in ({"mode": "x"}, {"channels": 0}, {"divisions": []}, {"divisions": [160, 250], "mode": "spectral"}, {"divisions": [160], "mode": "spectral"}):
+        with pytest.raises(ValueError):
+            generate.check_options(**({"channels": 1, "rate": 48000, "divisions": [160, 2400], "mode": "waveform"} | bad))

@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sigstrata.llm import mixing, quality_rules, secrets, sentencepiece_codec, simhash_dedup
 from sigstrata.llm.common import materialize, table, tokenizer_path
 
-#: Token shares of the mix, of 1.2 times the tokens at hand. With a floor of 1 every document stays, and those
-#: of scarce domains repeat.
+#: Token shares of the mix. With a floor of 1 every document stays, and others repeat until the shares are met.
 MIX = {"good": 0.90, "poor": 0.04, "toxic": 0.06}
 
 
@@ -25,7 +24,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs, table(spark, sf_dir, "labels"), materialize, MIX, floor=1.0, budget=1.2)
+    return mixing.mixed(docs, table(spark, sf_dir, "labels"), materialize, MIX, floor=1.0)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

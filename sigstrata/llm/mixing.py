@@ -13,6 +13,10 @@ rounds suffice; a step that does not lessen the residual is halved. Each round i
 and K(K+1)/2 products over the table of posteriors. The sum of all steps is a vector of K numbers, so the rates
 are a short expression of the posteriors, and nothing is collected or shuffled but those sums.
 
+With a floor of 1 no document goes, so the weights can only be met in more tokens than there are: at least
+max_k have_k / weight_k, and somewhat more as soft members of scarce domains bring tokens of others with them.
+The budget is found from the data, from that bound on; shares that no budget meets are logged as a warning.
+
 Null and empty texts have no tokens, uniform evidence (posterior = prior) and rates like others. Labels that
 are null or contradict each other are not learned from. Domains without labelled documents, or without
 tokens, keep what they have. Repeated rows are rows of their own. Empty tables give empty results.
@@ -20,15 +24,19 @@ tokens, keep what they have. Repeated rows are rows of their own. Empty tables g
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
 FIT_ROWS = 8_000
-ROUNDS = 16
+ROUNDS = 40
 #: The fit ends when token shares are this close to the targets.
-CLOSE = 1e-4
+CLOSE = 1e-6
+#: With a floor the budget starts so far above its lower bound, and grows by GROWTH where it is too small, so often at most.
+ABOVE, GROWTH, TRIES = 1.02, 1.1, 12
 SHARPNESS = 4.0
 #: Weights of the production mix.
 TARGETS = {"good": 0.85, "poor": 0.12, "toxic": 0.03}
@@ -119,16 +127,17 @@ class Rates:
         return F.greatest(F.lit(self.floor), self.point())
 
     @classmethod
-    def fit(cls, scored: DataFrame, weights: np.ndarray, floor: float = 0.0, budget: float = 1.0, rounds: int = ROUNDS) -> Rates:
+    def fit(cls, scored: DataFrame, weights: np.ndarray, floor: float = 0.0, budget: float | None = None, rounds: int = ROUNDS) -> Rates:
         """scored: __n and __p of every document. Targets: weights of budget times all tokens.
 
         A round is one aggregation: the residual, and the Gram matrix of the documents that are not at the floor.
+        Without a budget it is 1 for floors below 1, and else the least tried one that meets the weights.
         """
         k = len(weights)
         p = [F.element_at("__p", i + 1) for i in range(k)]
         pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
-        def residual(rates: Rates) -> tuple[np.ndarray, np.ndarray]:
+        def tokens(rates: Rates) -> tuple[np.ndarray, np.ndarray]:
             free = F.when(F.col("__z") >= floor, F.col("__n")).otherwise(0.0)
             got = scored.withColumn("__z", rates.point()).withColumn("__r", F.greatest(F.lit(floor), F.col("__z"))).agg(
                 *[F.coalesce(F.sum(F.col("__n") * F.col("__r") * x), F.lit(0.0)) for x in p],
@@ -139,29 +148,45 @@ class Rates:
                 gram[i, j] = gram[j, i] = x
             return np.array(got[:k], dtype=float), gram
 
-        now, best = cls(floor, np.zeros(k)), None
-        have, gram = residual(cls(0.0, np.zeros(k)))
-        total, size = have.sum(), np.inf
+        def descend(target: np.ndarray) -> tuple[Rates, np.ndarray, bool]:
+            """Rates, the tokens by domain that they give, and whether those are the target."""
+            now, (got, gram), best = start, first, None
+            size, scale = np.inf, 1.0
+            for left in range(rounds, -1, -1):
+                miss = float(np.linalg.norm(got - target))
+                if miss < size:
+                    best, size, scale = (now, got, gram), miss, 1.0
+                else:  # a step too far: half of it, from the best point
+                    scale /= 2
+                if size < CLOSE * target.sum() or scale < 1e-3 or not left:
+                    break
+                at, reached, g = best
+                step = np.linalg.solve(g + 1e-6 * (np.trace(g) + 1.0) * np.eye(k), reached - target)
+                now = cls(floor, at.move + scale * step)
+                got, gram = tokens(now)
+            return best[0], best[1], size < CLOSE * target.sum()
+
+        start = cls(floor, np.zeros(k))
+        first = tokens(start)
+        have = first[0] / max(floor, 1.0)  # all rates are max(floor, 1) at the start
+        total = have.sum()
         share = np.where(have > 0, weights, 0.0)
         if not total or not share.sum():
-            return now
-        target = budget * total * share / share.sum()
-        scale = 1.0
-        e, _ = residual(now) if floor > 1 else (have, gram)
-        e = e - target
-        for _ in range(rounds):
-            if best is None or np.linalg.norm(e) < size:
-                best, size, scale = (now, e, gram), float(np.linalg.norm(e)), 1.0
-            else:  # a step too far: half of it, from the best point
-                scale /= 2
-            if size < CLOSE * total or scale < 0.05:
-                break
-            at, err, g = best
-            step = np.linalg.solve(g + 1e-6 * (np.trace(g) + 1.0) * np.eye(k), err)
-            now = cls(floor, at.move + scale * step)
-            e, gram = residual(now)
-            e = e - target
-        return best[0]
+            return start
+        share = share / share.sum()
+        if budget is not None or floor < 1:
+            return descend((1.0 if budget is None else budget) * total * share)[0]
+        least = floor * float((have[share > 0] / share[share > 0]).max())
+        best, off = start, float(np.abs(first[0] / first[0].sum() - share).max())
+        for i in range(TRIES):
+            rates, got, met = descend(least * ABOVE * GROWTH**i * share)
+            if met:
+                return rates
+            miss = float(np.abs(got / got.sum() - share).max())
+            if miss < off - CLOSE:  # of equals, the one of fewest tokens
+                best, off = rates, miss
+        logging.getLogger(__name__).warning("no budget tried meets the weights %s: shares are off by up to %.4f", share.tolist(), off)
+        return best
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, write, targets: dict[str, float] | None = None) -> DataFrame:
@@ -177,11 +202,11 @@ def mix_documents(docs: DataFrame, labels: DataFrame, write, targets: dict[str,
     )
 
 
-def mixed(docs: DataFrame, labels: DataFrame, write, targets: dict[str, float] | None = None, floor: float = 0.0, budget: float = 1.0) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, write, targets: dict[str, float] | None = None, floor: float = 0.0, budget: float | None = None) -> DataFrame:
     """docs with each row repeated by its rate: the whole part, and one more with the chance of the rest.
 
     The chance is a hash of doc_id, so that a rerun repeats the same rows. With a floor of 1 no row goes, and
-    domains that have more than their target stay as they are; budget bounds what the others grow to.
+    other domains grow until the weights are met (see Rates.fit); a budget bounds that and can leave them unmet.
     Posteriors for the fit are written without texts; those of the result are computed anew beside the text.
     """
     targets = targets or TARGETS

@@ -1,7 +1,9 @@
 """The pipeline's stages one after the other against brute force."""
 
+import numpy as np
+
 import corpus_pipeline
-from sigstrata.llm import quality_rules
+from sigstrata.llm import mixing, quality_rules
 from sigstrata.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -25,3 +27,21 @@ def test_stages(spark):
             assert docs.columns == columns
     assert counts[1] < counts[0] and counts[2] < counts[1] and counts[5] == counts[4]
     assert corpus_pipeline.run(spark, SF).count() == counts[-1]
+
+
+def test_mix_meets_its_shares(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    names = sorted(corpus_pipeline.MIX)
+    model = mixing.Classifier.fit(docs, mixing.domains(labels), names)
+    mixed = materialize(corpus_pipeline.mix(spark, docs, sf))
+    got = model.apply(mixed).select("__n", "__p").toPandas()
+    tokens = got["__n"].to_numpy() @ np.array(got["__p"].tolist())
+    assert np.abs(tokens / tokens.sum() - [corpus_pipeline.MIX[n] for n in names]).max() < 0.01
+    assert mixed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_unreachable_shares_are_told(spark, caplog):
+    scored = spark.createDataFrame([(10.0, [0.5, 0.5])] * 4, "__n double, __p array<double>")
+    rates = mixing.Rates.fit(scored, np.array([0.9, 0.1]), floor=1.0)
+    assert "meets the weights" in caplog.text and not rates.move.any()

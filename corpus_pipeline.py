@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigstrata.llm import mixing, quality_rules, secrets, sentencepiece_codec, simhash_dedup
+from sigstrata.llm import mixing, near_dedup, quality_rules, secrets, sentencepiece_codec
 from sigstrata.llm.common import materialize, table, tokenizer_path
 
 #: Token shares of the mix. With a floor of 1 every document stays, and others repeat until the shares are met.
@@ -16,7 +16,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,5 +49,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: EM, BK-trees and the encoder have no SQL equivalent; tests/llm holds the stages against brute force.
+#: EM, shingle sets and the encoder have no SQL equivalent; tests/llm holds the stages against brute force.
 ORACLE_SQL = None

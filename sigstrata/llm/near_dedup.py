@@ -1,0 +1,135 @@
+"""Near-duplicates by shared word shingles: Jaccard similarity of at least 4/5 of the sets of 5-word shingles.
+
+A text is the set of XXH64 hashes of its shingles (ASCII letters lowered, words split at ASCII white space; a
+shorter text is one shingle). Equal sets collapse first, under a hash of the set. Candidates share at least one
+of BANDS groups of ROWS minima of linear permutations: a pair at similarity 0.8 is missed with chance 5e-5, at
+0.85 with 2e-7. Every link is then verified on the sets themselves, by a join and never by an estimate.
+
+In a bucket all sets meet its smallest first; only pairs that are still in different components meet after that,
+so that a large group of near copies costs its size and not its square. Sets that share a bucket but are not
+similar all meet. A text without words has the empty set and links to its like alone.
+
+Null and repeated ids and rows are as in simhash_dedup.
+"""
+
+from __future__ import annotations
+
+from itertools import accumulate
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sigstrata.llm.common import components, discard, map_texts, materialize
+from sigstrata.llm.simhash_dedup import SEED, component_ids, keep_rows
+
+WORDS = 5
+BANDS, ROWS = 25, 5
+_rng = np.random.default_rng(SEED)
+FACTORS = _rng.integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+OFFSETS = _rng.integers(0, 2**64, (BANDS * ROWS, 1), dtype=np.uint64)
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Distinct hashes of a text's shingles, sorted."""
+    import xxhash
+
+    parts = text.encode().lower().split() if text else []
+    if not parts:
+        return np.zeros(0, dtype=np.uint64)
+    data = b" ".join(parts)
+    ends = list(accumulate((len(p) + 1 for p in parts), initial=0))
+    digest = xxhash.xxh64_intdigest
+    span = min(words, len(parts))
+    return np.unique(np.fromiter((digest(data[a : b - 1], SEED) for a, b in zip(ends, ends[span:], strict=False)), dtype=np.uint64))
+
+
+def set_key(hashes: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
+
+
+def buckets(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band; none for the empty set."""
+    import xxhash
+
+    if not len(hashes):
+        return np.zeros(0, dtype=np.int64)
+    low = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(hashes), 4096):  # bounded memory for very long texts
+        low = np.minimum(low, (FACTORS * hashes[at : at + 4096] + OFFSETS).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(low.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
+
+
+def _signatures(texts: list) -> list:
+    sets = [shingles(t) for t in texts]
+    return [[set_key(s) for s in sets], [len(s) for s in sets], [buckets(s) for s in sets]]
+
+
+def _sets(texts: list) -> list:
+    sets = [shingles(t) for t in texts]
+    return [[set_key(s) for s in sets], [s.view(np.int64) for s in sets]]
+
+
+def _similar(a: str, b: str, both: str) -> str:
+    """SQL: both / (a + b - both) >= 4/5."""
+    return f"9 * {both} >= 4 * ({a} + {b})"
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. Sets move by shuffle, which splits at hot ones, whatever their size."""
+    left = sets.select(F.col("__key").alias("ka"), F.col("__set").alias("sa"))
+    right = sets.select(F.col("__key").alias("kb"), F.col("__set").alias("sb"))
+    joined = pairs.join(left.hint("merge"), F.col("a") == F.col("ka")).join(right.hint("merge"), F.col("b") == F.col("kb"))
+    return joined.where(_similar("size(sa)", "size(sb)", "size(array_intersect(sa, sb))")).select("a", "b")
+
+
+def similar_links(docs: DataFrame, signed: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Verified links (a, b) between set keys, whose components are those of all links found.
+
+    signed: __fp (the set's key), __size and __bands of each row; distinct: each key as fp, and its smallest id as rep.
+    """
+    one = materialize(signed.groupBy("__fp").agg(F.first("__size").alias("n"), F.first("__bands").alias("bands")))
+    rows = one.select(F.col("__fp").alias("fp"), "n", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = shared.select(F.col("bucket").alias("__b"), "low")
+    met = materialize(rows.join(shared.hint("merge"), F.col("bucket") == F.col("__b")).select("bucket", "fp", "n", "low"))
+
+    need = materialize(met.select(F.col("fp").alias("__need")).distinct().join(distinct, F.col("__need") == F.col("fp")).select("__need", "rep"))
+    named = need.where("rep is not null").hint("merge")
+    texts = docs.join(named, docs["doc_id"] == named["rep"], "left_semi").select("text")
+    # an id that occurs twice gives sets that are not asked for, or one set twice: neither makes a wrong link
+    fields = [T.StructField("__key", T.LongType()), T.StructField("__set", T.ArrayType(T.LongType()))]
+    texts = texts.unionByName(docs.where("doc_id is null").select("text"))
+    sets = materialize(map_texts(texts, _sets, fields, keep=[]))
+
+    near = "5 * least(n, n2) >= 4 * greatest(n, n2)"
+    low = met.select(F.col("fp").alias("b"), F.col("n").alias("n2")).distinct()
+    first = met.where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"), "n").distinct()
+    first = materialize(first.join(low, "b").where(near).select("a", "b"))
+    links = materialize(verified(first, sets))
+
+    labels = materialize(components(links))
+    now = met.join(labels, met["fp"] == labels["id"], "left").select("bucket", "fp", "n", F.coalesce("label", "fp").alias("label"))
+    now = materialize(now)
+    apart = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    left = now.join(apart, "bucket", "left_semi")
+    right = left.select("bucket", F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
+    pairs = left.join(right, "bucket").where(f"label < label2 and {near}")
+    pairs = pairs.select(F.greatest("fp", "fp2").alias("a"), F.least("fp", "fp2").alias("b")).distinct()
+    pairs = materialize(pairs.join(first, ["a", "b"], "left_anti"))
+    more = materialize(verified(pairs, sets))
+    for x in (one, met, need, sets, first, labels, now, pairs):
+        discard(x)
+    return links.unionByName(more)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of docs for each component of similar texts: the one with its smallest doc_id (of repeated rows, one)."""
+    fields = [T.StructField("__fp", T.LongType()), T.StructField("__size", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))]
+    signed = materialize(map_texts(docs.select("doc_id", "text"), _signatures, fields, keep=["doc_id"]))
+    comp = component_ids(signed, lambda distinct: similar_links(docs, signed, distinct))
+    discard(signed)
+    return keep_rows(docs, comp)

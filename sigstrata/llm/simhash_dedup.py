@@ -16,7 +16,7 @@ rows are kept and share a component. Empty tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -169,10 +169,13 @@ def link_forest(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(_links, "a long, b long")
 
 
-def component_ids(docs_fp: DataFrame) -> DataFrame:
-    """(fp, component_id, rep) for each distinct `__fp`, from rows (doc_id, __fp): rep is its smallest doc_id."""
+def component_ids(docs_fp: DataFrame, links: Callable[[DataFrame], DataFrame] = link_forest) -> DataFrame:
+    """(fp, component_id, rep) for each distinct `__fp`, from rows (doc_id, __fp): rep is its smallest doc_id.
+
+    links gives the edges between the distinct (fp, rep).
+    """
     distinct = materialize(docs_fp.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("rep")))
-    labels = materialize(components(link_forest(distinct)))
+    labels = materialize(components(links(distinct)))
     named = materialize(labels.join(distinct, labels["id"] == distinct["fp"]).select("id", "label", "rep"))
     low = named.groupBy("label").agg(F.min("rep").alias("low"))
     linked = materialize(named.join(low, "label").select("id", "low"))
@@ -201,7 +204,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     are kept.
     """
     fps = materialize(fingerprints(docs.select("doc_id", "text"), keep=["doc_id"]))
-    comp = component_ids(fps)
+    return keep_rows(docs, component_ids(fps))
+
+
+def keep_rows(docs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows of docs that stand for the components of comp, which component_ids made."""
     # a component's kept document has the component's id, so the ids to keep are the distinct component ids
     keep = materialize(comp.where("component_id is not null").select(F.col("component_id").alias("__keep")).distinct())
     # always by shuffle, which splits and spills, whatever the tables' sizes: texts move once

@@ -1,10 +1,13 @@
 """The pipeline's stages one after the other against brute force."""
 
+import re
+from collections import Counter
+
 import numpy as np
 
 import corpus_pipeline
 from sigstrata.llm import mixing, quality_rules
-from sigstrata.llm.common import materialize
+from sigstrata.llm.common import find, materialize, union
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +48,54 @@ def test_unreachable_shares_are_told(spark, caplog):
     scored = spark.createDataFrame([(10.0, [0.5, 0.5])] * 4, "__n double, __p array<double>")
     rates = mixing.Rates.fit(scored, np.array([0.9, 0.1]), floor=1.0)
     assert "meets the weights" in caplog.text and not rates.move.any()
+
+
+def brute_kept(rows, words=5):
+    """Ids that stay if texts of Jaccard similarity 4/5 and more, on sets of 5-word shingles, are linked."""
+    sets = []
+    for _, t in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    parent, holders, links = np.arange(len(rows)), {}, 0
+    for i, s in enumerate(sets):
+        common = Counter(j for x in s for j in holders.get(x, ()))
+        near = [j for j, n in common.items() if 5 * n >= 4 * (len(s) + len(sets[j]) - n)]
+        near += [j for j in range(i) if not s and not sets[j]][:1]
+        union(parent, np.full(len(near), i), np.array(near, dtype=np.int64))
+        links += len(near)
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    root = find(parent, np.arange(len(rows)))
+    low = {}
+    for (d, _), r in zip(rows, root.tolist(), strict=True):
+        low[r] = min(low.get(r, d), d)
+    return sorted(low.values()), links
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = np.random.default_rng(11)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    for size, edits in ((100, 1), (100, 2), (200, 4), (300, 6), (300, 7), (200, 5), (100, 3), (60, 1), (60, 2)):
+        for _ in range(12):  # from near copies to pairs just below the similarity
+            base = fresh(size)
+            copy = list(base)
+            for at in rng.choice(size, edits, replace=False):
+                copy[at] = "changed"
+            rows += [(10**6 + len(rows), " ".join(base)), (10**6 + len(rows) + 1, " ".join(copy))]
+    base = fresh(120)
+    for _ in range(150):  # one large group, where copies need not be similar to each other
+        copy = list(base)
+        for at in rng.choice(120, rng.integers(0, 4), replace=False):
+            copy[at] = fresh(1)[0]
+        rows.append((10**6 + len(rows), " ".join(copy)))
+    line = fresh(80)
+    rows += [(10**6 + len(rows) + i, " ".join(line + fresh(60))) for i in range(60)]  # a common passage, not similar
+    rows += [(10**7 + i, t) for i, t in enumerate((None, "", " \n", "a", "A", "a b", "É", "é"))]
+    want, links = brute_kept(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert links > 500 and got == want
+    odd = spark.createDataFrame([(None, rows[0][1]), (1, "x y"), (1, "x y"), (2, "X y")], "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.near_duplicates(spark, odd, SF).collect()) == ["1", "None"]
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), SF).count() == 0

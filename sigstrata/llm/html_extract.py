@@ -1,7 +1,8 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's HTML parser streams events into blocks (paragraphs, headings, list items, cells).
-Boilerplate elements are left out by their tag, role or class. Each block is a line with a text-to-tag
+Boilerplate elements are left out by their tag, role or class; by class or id alone never an article, heading
+or paragraph, nor an element that holds most of the page's text outside links. Each block is a line with a text-to-tag
 ratio; the ratios are smoothed with a Gaussian, and two-means clustering of their logarithms sets the
 threshold above which lines are content. The content region is then the innermost sectioning element that
 holds most of the content lines' text (an article before others): its blocks are the result, short ones
@@ -53,12 +54,18 @@ SIGMA = 2.0
 
 #: First words of a class that says what a page has, and not what the element is.
 ABOUT = frozenset("has with no without layout".split())
+#: Elements that are not left out by a class or an id.
+TEXT = frozenset("html body main article h1 h2 h3 h4 h5 h6 p".split())
+#: Classes that say what a post is about or allows.
+POST = re.compile(r"(category|tag)-.*|.*-open", re.S)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 @lru_cache(maxsize=4096)
 def _names_boilerplate(name: str) -> bool:
     """Whether a class or an id ("cookie-notice", "userComments", "ad_2") names boilerplate."""
+    if POST.fullmatch(name):
+        return False
     words = [w.lower() for w in PARTS.findall(name)]
     return bool(words) and words[0] not in ABOUT and not WORDS.isdisjoint(words)
 
@@ -66,7 +73,7 @@ def _names_boilerplate(name: str) -> bool:
 class Blocks(HTMLParser):
     """Collects (text, tags, path) of each block; path numbers the sectioning elements that are open."""
 
-    def __init__(self) -> None:
+    def __init__(self, spared: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
         self.kinds: list[str] = []
@@ -74,6 +81,10 @@ class Blocks(HTMLParser):
         self.skipped = 0
         self.text: list[str] = []
         self.tags = 0
+        self.spared, self.seen = spared, 0  # numbers of start tags that no name leaves out; start tags so far
+        self.named = -1  # number of the outermost element, if its name alone leaves it out
+        self.lost: dict[int, int] = {}  # characters outside links, by such an element
+        self.kept = 0
 
     def parse_html_declaration(self, i: int) -> int:
         try:
@@ -91,6 +102,7 @@ class Blocks(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
+        self.seen += 1
         if tag in BLOCKS:
             self.flush()
         elif tag == "br":
@@ -124,12 +136,25 @@ class Blocks(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.skipped:
             self.text.append(data)
+        if (not self.skipped or self.skipped == 1 and self.named >= 0) and not any(t == "a" for t, _, _ in self.open):
+            n = len("".join(data.split()))
+            if self.skipped:
+                self.lost[self.named] = self.lost.get(self.named, 0) + n
+            else:
+                self.kept += n
+
+    def mostly(self) -> int:
+        """The element left out by its name alone that holds most of the page's text outside links, or -1."""
+        at = max(self.lost, key=self.lost.__getitem__, default=-1)
+        return at if at >= 0 and 2 * self.lost[at] > self.kept + sum(self.lost.values()) else -1
 
     def _pop(self) -> str:
         if self.open[-1][2] >= 0 or self.open[-1][1]:
             self.flush()
         tag, out, _ = self.open.pop()
         self.skipped -= out
+        if not self.skipped:
+            self.named = -1
         return tag
 
     def _left_out(self, tag: str, attrs: list) -> bool:
@@ -139,17 +164,21 @@ class Blocks(HTMLParser):
             return not any(n >= 0 and self.kinds[n] in ("article", "main") for _, _, n in self.open)
         if tag in ("html", "body", "main"):
             return False
+        named = False
         for k, v in attrs:
             if k in ("class", "id"):
-                if any(map(_names_boilerplate, (v or "").split())):
-                    return True
+                named = named or any(map(_names_boilerplate, (v or "").split()))
                 continue
             v = (v or "").lower()
             if k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "role" and v in ROLES):
                 return True
             if k == "style" and "display:none" in v.replace(" ", ""):
                 return True
-        return False
+        if not named or tag in TEXT or self.seen in self.spared:
+            return False
+        if not self.skipped:
+            self.named = self.seen
+        return True
 
 
 def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -198,10 +227,16 @@ def region(blocks: list, kinds: list[str]) -> int:
 
 
 def extract(html: str | None) -> str:
-    parser = Blocks()
-    parser.feed(html or "")
-    parser.close()
-    parser.flush()
+    spared: frozenset[int] = frozenset()
+    while True:  # each round spares one more element
+        parser = Blocks(spared)
+        parser.feed(html or "")
+        parser.close()
+        parser.flush()
+        at = parser.mostly()
+        if at < 0:
+            break
+        spared |= {at}
     if not parser.blocks:
         return ""
     at = region(parser.blocks, parser.kinds)

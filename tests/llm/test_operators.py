@@ -247,6 +247,23 @@ def test_html(html, want):
     assert html_extract.extract(html) == want
 
 
+LONG = "A long paragraph of the article, with many words in it."
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<article class='post comments-open category-social tag-search'><p>{LONG}</article><div class=comments>c</div>", LONG),
+        (f"<article><h2 id='related-work'>Work</h2><p class='social'>{LONG}</article>", f"Work\n\n{LONG}"),
+        (f"<div class='content sidebar-right'><p>{LONG}</p><div class=comments>c</div></div><div class=ad>d</div>", LONG),
+        (f"<section id='search-results'><p>{LONG}</section><div class=menu><a href=x>{LONG * 3}</a></div>", LONG),
+        (f"<div class='category-social'><p>{LONG}</div><div class='ad'>d</div>", LONG),
+    ],
+)
+def test_html_ordinary_class_names(html, want):
+    assert html_extract.extract(html) == want
+
+
 def test_html_never_fails():
     rng = np.random.default_rng(0)
     bits = ["<p>", "</p>", "<div class=ad>", "</div>", "<![", "<!", "<!--", "-->", "]]>", "<?", "&", "&#x", ";", "<", ">", "text ", "<article>", "</article>", "<script>", "</script>", "<b", '"', "=", "é"]

@@ -1,9 +1,14 @@
 """Token counts by prefix dynamic programming over a word-ended BPE vocabulary.
 
-The tokenizer splits a normalised text into pieces and encodes each on its own, so the exact count of any
-prefix is the count at the last piece that ends in it plus the count of the begun piece. `PrefixCounter`
-keeps both: counts at the ends of pieces, for a text, and the count of every prefix of a piece, in a table
-shared by all texts. Truncation and budgets then read the table; nothing is encoded again.
+The tokenizer splits a normalised text into pieces and merges each on its own. `Merges` fills a table for each
+piece: entry i is the exact token count of its first i characters as a text. The table needs no encoding of
+prefixes: a sequence of tokens is the encoding of its string if and only if each two neighbours stay apart when
+they are merged alone, so the last token of every prefix follows from the last tokens of shorter ones. Each
+prefix is settled once, in time linear in the piece.
+
+A text's table is its pieces' tables and the running count at their ends. It gives the count of any prefix and the
+longest prefix within a budget; nothing is encoded again. The query reads counts and cuts from these tables, and
+the library serves only to normalise what is not plain text.
 
 Special strings in a text count as their one token, as the library does by default. Null text counts as
 empty (0 tokens). Repeated rows are counted each; an empty table gives an empty result.
@@ -11,7 +16,10 @@ empty (0 tokens). Repeated rows are counted each; an empty table gives an empty
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+import json
+from array import array
+from bisect import bisect_right
+from collections.abc import Sequence
 from itertools import accumulate
 
 import regex
@@ -19,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigstrata.llm.common import map_texts
+from sigstrata.llm.common import Cache, map_texts
 
 #: The pieces of the vocabulary's pre-tokenizer (fixed pattern of its file).
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -28,84 +36,231 @@ PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-įı-ňŊ-ž‐-‧]*")
 LIMIT = 2048
 MODEL = "word_bpe_49k.json"
-CACHE = 400_000
+#: Pairs of tokens whose verdict a worker holds.
+PAIRS = 400_000
+
+
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: visible ones for themselves, the others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in shown)}
+    return [chr(rest.get(b, b)) for b in range(256)]
+
+
+class Merges:
+    """Tables of counts at every prefix of a piece, from the vocabulary's merges (in order of rank)."""
+
+    NEVER = 1 << 40
+
+    def __init__(self, vocabulary: dict[str, int], merges: list[Sequence[str]], suffix: str):
+        self.size = 1 + max(vocabulary.values())
+        self.rank: dict[int, int] = {}
+        self.made: dict[int, tuple[int, int, int]] = {}
+        for r, (x, y) in enumerate(merges):
+            a, b, t = vocabulary[x], vocabulary[y], vocabulary[x + y]
+            self.rank.setdefault(a * self.size + b, r)
+            self.made.setdefault(t, (a, b, r))
+        self.lefts: dict[int, tuple] = {}
+        self.rights: dict[int, tuple] = {}
+        self.apart: dict[int, bool] = {}
+        self.symbols = byte_symbols()
+        self.inner, self.last, self.heads = {}, {}, set()
+        for name, t in vocabulary.items():
+            if not self.whole(t):
+                continue
+            body = name.removesuffix(suffix)
+            (self.last if body != name else self.inner)[body] = t
+            self.heads.update(body[:i] for i in range(1, len(body) + 1))
+
+    def whole(self, t: int) -> bool:
+        """Whether merging a token's symbols gives the token."""
+        if t not in self.made:
+            return True
+        a, b, _ = self.made[t]
+        return self.whole(a) and self.whole(b) and not self._meet(a, b)
+
+    def _edge(self, t: int, side: int) -> tuple[list[int], list[int]]:
+        """The tokens at one edge (0 left, 1 right) while t is merged, from its symbol to itself, and the rank that ends each."""
+        held = (self.lefts, self.rights)[side]
+        if t not in held:
+            names, ends, now = [t], [self.NEVER], t
+            while now in self.made:
+                ends.append(self.made[now][2])
+                now = self.made[now][side]
+                names.append(now)
+            held[t] = names[::-1], ends[::-1]
+        return held[t]
+
+    def _meet(self, a: int, b: int) -> bool:
+        """Whether a merge reaches across the cut between a and b before both are whole."""
+        left, left_end = self._edge(a, 1)
+        right, right_end = self._edge(b, 0)
+        i = j = 0
+        while left_end[i] != self.NEVER or right_end[j] != self.NEVER:
+            r = self.rank.get(left[i] * self.size + right[j])
+            # of equal ranks the leftmost pair merges first: that inside a goes before the cut, that inside b after it
+            if r is not None and r < left_end[i] and r <= right_end[j]:
+                return True
+            if left_end[i] <= right_end[j]:
+                i += 1
+            else:
+                j += 1
+        return False
+
+    def stay_apart(self, a: int, b: int) -> bool:
+        key = a * self.size + b
+        known = self.apart.get(key)
+        if known is None:
+            if len(self.apart) > PAIRS:
+                self.apart.clear()
+            known = self.apart[key] = key not in self.rank and not self._meet(a, b)
+        return known
+
+    def table(self, piece: str) -> Sequence[int]:
+        """Entry i: the token count of the first i characters of a piece."""
+        if piece.isascii() and piece.isprintable():
+            s, ends = piece, None
+        else:
+            data = piece.encode()
+            s = "".join([self.symbols[b] for b in data])
+            ends = [i for i in range(1, len(data) + 1) if i == len(data) or data[i] & 0xC0 != 0x80]
+        n, heads, inner, last, apart = len(s), self.heads, self.inner, self.last, self.stay_apart
+        tail, count, closed = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        for j in range(n):
+            before, more = tail[j], count[j] + 1
+            for i in range(j + 1, n + 1):
+                t = s[j:i]
+                if t not in heads:
+                    break
+                if tail[i] < 0:
+                    x = inner.get(t)
+                    if x is not None and (not j or apart(before, x)):
+                        tail[i], count[i] = x, more
+                if not closed[i]:
+                    x = last.get(t)
+                    if x is not None and (not j or apart(before, x)):
+                        closed[i] = more
+        if ends:
+            closed = [0, *[closed[i] for i in ends]]
+        return bytes(closed) if n < 256 else array("q", closed)
 
 
 class PrefixCounter:
+    """Prefix tables of pieces (held, bounded by bytes) and of texts."""
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = regex.compile("|".join(regex.escape(t.content) for t in added)) if added else None
-        self.marks = tuple(t.content for t in added)
-        self.counts: dict[str, int] = {}
-        self.prefixes: dict[str, list[int]] = {}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.merges = Merges(model["vocab"], merges, model["end_of_word_suffix"])
+        self.marks = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = regex.compile("|".join(map(regex.escape, self.marks))) if self.marks else None
+        self.tables: Cache = Cache()
+
+    def segments(self, text: str) -> list[tuple[str, bool]]:
+        """The text cut at special strings: (part, whether it is one)."""
+        if not self.marks or not any(m in text for m in self.marks):
+            return [(text, False)]
+        out, at = [], 0
+        for m in self.special.finditer(text):
+            out += [(text[at : m.start()], False), (m[0], True)]
+            at = m.end()
+        return [*out, (text[at:], False)]
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text, in order; a special string is a piece."""
-        if self.marks and any(m in text for m in self.marks):
-            out, at = [], 0
-            for m in self.special.finditer(text):
-                out += [*self._plain(text[at : m.start()]), m[0]]
-                at = m.end()
-            return out + self._plain(text[at:])
-        return self._plain(text)
+        out: list[str] = []
+        for part, special in self.segments(text):
+            out += [part] if special else self._plain(part)
+        return out
 
     def _plain(self, text: str) -> list[str]:
         if not text.isascii() and not PLAIN.fullmatch(text):
             text = self.tokenizer.normalizer.normalize_str(text)
-            return PIECE.findall(text) if PLAIN.fullmatch(text) else [x for x in self._split(text)]
+            return PIECE.findall(text) if PLAIN.fullmatch(text) else [text[a:b] for a, b in self._cuts(text)]
         return PIECE.findall(text.lower())
 
-    def _split(self, text: str) -> list[str]:
-        found = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
-        return [text[a:b] for _, (a, b) in found]
-
-    def learn(self, pieces: set[str]) -> None:
-        """Count pieces not seen before, in one call of the library."""
-        if len(self.counts) > CACHE:
-            self.counts.clear()
-        new = sorted(pieces.difference(self.counts))
-        for piece, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.counts[piece] = len(e.ids)
-
-    def ends(self, pieces: list[str]) -> list[int]:
-        """The exact token count at the end of each piece."""
-        self.learn(set(pieces))
-        return list(accumulate(map(self.counts.__getitem__, pieces)))
-
-    def within(self, piece: str) -> list[int]:
-        """Entry i: the exact token count of the first i characters of a piece."""
-        if piece not in self.prefixes:
-            if len(self.prefixes) > CACHE // 10:
-                self.prefixes.clear()
-            heads = [piece[:i] for i in range(len(piece) + 1)]
-            self.prefixes[piece] = [len(e.ids) for e in self.tokenizer.encode_batch(heads, add_special_tokens=False)]
-        return self.prefixes[piece]
-
-    def table(self, text: str) -> tuple[str, list[int], list[int]]:
-        """(normalised text, ends of pieces in it, counts there): with within(), the count at every prefix."""
-        text = self.tokenizer.normalizer.normalize_str(text)
-        pieces, at, stops = self.pieces(text), 0, []
-        for p in pieces:
-            at = text.index(p, at) + len(p)
-            stops.append(at)
-        return text, stops, self.ends(pieces)
-
-    def count_at(self, table: tuple[str, list[int], list[int]], chars: int) -> int:
-        """The token count of the first `chars` characters of the normalised text."""
-        text, stops, counts = table
-        i = bisect_right(stops, chars)
-        done = counts[i - 1] if i else 0
-        begun = text[stops[i - 1] if i else 0 : chars].lstrip() if i < len(stops) else ""
-        return done + (self.within(begun)[-1] if begun else 0)
-
-    def truncate(self, table: tuple[str, list[int], list[int]], budget: int) -> int:
-        """The most leading characters of the normalised text, ended at a piece, that fit in a budget of tokens."""
-        _, stops, counts = table
-        i = bisect_right(counts, budget)
-        return stops[i - 1] if i else 0
+    def _cuts(self, text: str) -> list[tuple[int, int]]:
+        """Start and end of each piece of a normalised text; a character's bytes are not parted by the pattern."""
+        return [span for _, span in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def within(self, piece: str) -> Sequence[int]:
+        """Entry i: the exact token count of the first i characters of a piece, as a text of its own."""
+        known = self.tables.get(piece)
+        if known is None:
+            known = self._within(piece)
+            if len(piece) <= self.tables.longest:
+                self.tables.keep(piece, known, len(known))
+        return known
+
+    def _within(self, piece: str) -> Sequence[int]:
+        if piece in self.marks or (piece[0] == "'" and len(piece) > 1 and piece[1].isalpha()):
+            # the beginnings of a special string or of a contraction fall into pieces of their own
+            heads = [PIECE.findall(piece[:i]) for i in range(len(piece))]
+            return [*[sum(self.merges.table(p)[-1] for p in ps) for ps in heads], 1 if piece in self.marks else self.merges.table(piece)[-1]]
+        return self.merges.table(piece)
+
+    def counts(self, pieces: list[str]) -> list[int]:
+        get, held = self.within, self.tables
+        return [(held.get(p) or get(p))[-1] for p in pieces]
+
+    def table(self, text: str) -> TextTable:
+        """The prefix table of a text."""
+        parts, spans, at = [], [], 0
+        for part, special in self.segments(text):
+            if special:
+                spans.append((at, at + len(part), True))
+            else:
+                part = self.tokenizer.normalizer.normalize_str(part)
+                spans += [(at + a, at + b, False) for a, b in self._cuts(part)]
+            parts.append(part)
+            at += len(part)
+        return TextTable(self, "".join(parts), spans)
+
+
+class TextTable:
+    """Exact counts at every prefix of a normalised text, and the longest prefix within a budget."""
+
+    def __init__(self, counter: PrefixCounter, text: str, spans: list[tuple[int, int, bool]]):
+        self.counter, self.text, self.spans = counter, text, spans
+        self.stops = [b for _, b, _ in spans]
+        self.done = [0, *accumulate(counter.counts([text[a:b] for a, b, _ in spans]))]
+
+    def _before(self, i: int) -> int:
+        """The start of the piece that a cut inside piece i falls back to: for a special string that is cut, what stands
+        before it joins with its beginning, back to the special string before it."""
+        while i and not self.spans[i - 1][2]:
+            i -= 1
+        return i
+
+    def _begun(self, i: int, chars: int) -> int:
+        """The count of the first `chars` characters, of which the last lies inside piece i."""
+        start, _, special = self.spans[i]
+        if not special:
+            return self.done[i] + self.counter.within(self.text[start : self.spans[i][1]])[chars - start]
+        j = self._before(i)
+        return self.done[j] + sum(self.counter.counts(PIECE.findall(self.text[self.spans[j][0] : chars])))
+
+    def count_at(self, chars: int) -> int:
+        """The token count of the first `chars` characters."""
+        i = bisect_right(self.stops, chars)
+        if i == len(self.spans) or chars <= self.spans[i][0]:
+            return self.done[i]
+        return self._begun(i, chars)
+
+    def truncate(self, budget: int) -> int:
+        """The most leading characters that fit in a budget of tokens."""
+        i = bisect_right(self.done, budget) - 1  # pieces that fit whole
+        if i == len(self.spans):
+            return len(self.text)
+        start, stop, special = self.spans[i]
+        if special:
+            return next((c for c in range(stop - 1, start, -1) if self._begun(i, c) <= budget), start)
+        begun = self.counter.within(self.text[start:stop])
+        return next((start + k for k in range(stop - start - 1, 0, -1) if self.done[i] + begun[k] <= budget), start)
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -121,27 +276,27 @@ def counter(path: str) -> PrefixCounter:
 FIELDS = [
     T.StructField("n_bytes", T.LongType()),
     T.StructField("n_tokens", T.LongType()),
-    T.StructField("fit_pieces", T.LongType()),
+    T.StructField("limit_chars", T.LongType()),
 ]
 
 
 def _counting(path: str, limit: int):
     def count(texts: list) -> list:
         c = counter(path)
-        split = [c.pieces(t) if t else [] for t in texts]
-        c.learn(set().union(*split) if split else set())
-        get, out = c.counts.__getitem__, ([], [], [])
-        for t, pieces in zip(texts, split, strict=True):
-            n = sum(map(get, pieces))
+        c.tables.room()
+        out: tuple[list, list, list] = ([], [], [])
+        for t in texts:
+            n = sum(c.counts(c.pieces(t))) if t else 0
             out[0].append(len(t.encode()) if t else 0)
             out[1].append(n)
-            # the prefix table answers how many pieces fit in the limit
-            out[2].append(len(pieces) if n <= limit else bisect_left(list(accumulate(map(get, pieces))), limit + 1))
+            out[2].append(c.table(t).truncate(limit) if n > limit else None)
         return list(out)
 
     return count
 
 
 def count_documents(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit, and limit_chars: the leading characters of the normalised text that fit in
+    the limit, null where all do."""
     counted = map_texts(docs.select("doc_id", "text"), _counting(path, limit), FIELDS, keep=["doc_id"])
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fit_pieces")
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "limit_chars")

@@ -1,22 +1,34 @@
 """SimHash near-duplicates over BK-trees.
 
-A fingerprint has a bit set if more than half of the XXH64 hashes (seed 42) of the text's 4-word shingles
-have it. Equal fingerprints collapse first. Two fingerprints that differ in at most RADIUS bits agree on
-at least one of RADIUS + 1 bands of bits, so each (band, value) is a shard that misses no link. A shard's
-distinct fingerprints form one BK-tree: children are keyed by their Hamming distance to the parent, and a
-query at distance d from a node follows the edges d - RADIUS to d + RADIUS alone. Trees go to the
-fingerprints of their own shard by one shuffle and not by broadcast, as a shard has no size bound. What a
-shard gives is a spanning forest of its links (fewer edges than fingerprints), never all pairs; components
-of the forests' union are those of all links.
-
-Null text counts as empty; a text without words has fingerprint zero and links like any other. Rows with a
-null doc_id count, but a component's id is its smallest non-null doc_id (null if there is none). Repeated
-rows are kept and share a component. Empty tables give empty results.
+A fingerprint has a bit set if more than half of the XXH64 hashes (seed 42) of the text's word shingles have it.
+Equal fingerprints collapse first. Two fingerprints that differ in at most RADIUS bits agree on at least one of
+RADIUS + 1 bands of bits, so each (band, value) is a shard that misses no link. A shard of more than SHARD
+fingerprints is cut again by as many bands of the bits it leaves open, up to DEPTH times; what is still larger is cut
+into blocks, each two of which meet. So no task holds more than about twice SHARD fingerprints of a group, whatever
+they have in common.
+
+A shard's distinct fingerprints form one BK-tree: children are keyed by their Hamming distance to the parent, and a
+query at distance d from a node follows the edges d - RADIUS to d + RADIUS alone. Trees go to the fingerprints of
+their own shard by one shuffle and not by broadcast, as the fingerprints of all documents have no size bound. What a
+shard gives is a spanning forest of its links (fewer edges than fingerprints), never all pairs; components of the
+forests' union are those of all links.
+
+`keep_one` is near-duplicate removal for corpora: texts are linked if the Jaccard similarity of their sets of 5-word
+shingles is 4/5 or more, which 64-bit fingerprints alone can't tell. Sets share a shard if one of BANDS groups of
+ROWS minima of linear permutations is equal (a pair at similarity 0.8 is missed with chance 5e-5); a BK-tree over
+the shard's fingerprints leaves candidates within WIDE bits (a pair at 0.8 is missed with chance 3e-5); each
+candidate is then verified on the sets themselves. In a shard all sets meet its smallest first; only sets that are
+still in different components meet after that, so that a large group of near copies costs its size and not its square.
+
+Null text counts as empty; a text without words has fingerprint zero (or the empty set) and links like any other. Rows
+with a null doc_id count, but a component's id is its smallest non-null doc_id (null if there is none). Repeated
+rows share a component; keep_one keeps one row of a component: of its smallest doc_id (null last), and of several
+texts or rows under it that of the smallest hash. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import accumulate
 
 import numpy as np
@@ -25,70 +37,85 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigstrata.llm.common import components, discard, map_texts, materialize, union
+from sigstrata.llm.common import components, discard, map_texts, materialize, row, union
 
 RADIUS = 4
 WORDS = 4
 SEED = 42
+SHARD, DEPTH = 2048, 3
+#: Near-duplicates by verified similarity: words of a shingle, groups of minima and minima in each, and bits.
+SET_WORDS, BANDS, ROWS, WIDE = 5, 25, 5, 22
+_rng = np.random.default_rng(SEED)
+FACTORS = _rng.integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+OFFSETS = _rng.integers(0, 2**64, (BANDS * ROWS, 1), dtype=np.uint64)
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """64-bit fingerprint of a text, unsigned."""
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, repeats included, in stretches that bound the memory of very long texts."""
     import xxhash
 
     parts = text.encode().lower().split() if text else []  # bytes: lowers A-Z, splits at ASCII white space
     if not parts:
-        return 0
+        return
     data = b" ".join(parts)
     ends = list(accumulate((len(p) + 1 for p in parts), initial=0))
     span = min(words, len(parts))
-    digest = xxhash.xxh64_intdigest
-    counts, n = np.zeros(64, dtype=np.int64), len(parts) - span + 1
-    for at in range(0, n, 1 << 14):  # bounded memory for very long texts
+    digest, n = xxhash.xxh64_intdigest, len(parts) - span + 1
+    for at in range(0, n, 1 << 14):
         stop = min(n, at + (1 << 14))
-        h = np.array([digest(data[a : b - 1], SEED) for a, b in zip(ends[at:stop], ends[at + span : stop + span])], dtype="<u8")
+        yield np.array([digest(data[a : b - 1], SEED) for a, b in zip(ends[at:stop], ends[at + span : stop + span])], dtype="<u8")
+
+
+def majority(parts: Iterator[np.ndarray]) -> int:
+    """The bits that more than half of the hashes have; zero for none."""
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for h in parts:
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(texts: list) -> list:
-    return [[f - (1 << 64) if f >> 63 else f for f in map(fingerprint, texts)]]
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """64-bit fingerprint of a text, unsigned."""
+    return majority(shingle_hashes(text, words))
 
 
-def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
-    return map_texts(docs, _fingerprints, [T.StructField("__fp", T.LongType())], keep=keep)
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def bands(radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 1 bands that cover 64 bits."""
-    n = radius + 1
-    cuts = [round(64 * i / n) for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+def _fingerprints(texts: list) -> list:
+    return [[_signed(fingerprint(t)) for t in texts]]
+
+
+def bands(bits: Sequence[int], n: int) -> list[list[int]]:
+    """Bits dealt to n bands of like size."""
+    cuts = [round(len(bits) * i / n) for i in range(n + 1)]
+    return [list(bits[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 class Forest:
-    """BK-trees of several shards side by side: group[i] is the shard of fps[i], and groups are contiguous.
+    """BK-trees of several shards side by side: group[i] is the shard of fps[i], and groups are contiguous, their
+    members (which form the tree; the others only ask) first.
 
     The first of a group is its root; the others at distance d from it form the subtree behind edge d,
     whose root is their first, and so on. That is the tree that inserting them in order gives.
     """
 
-    def __init__(self, fps: np.ndarray, group: np.ndarray):
+    def __init__(self, fps: np.ndarray, group: np.ndarray, member: np.ndarray):
         n = len(fps)
         self.fps = fps
         parent = np.full(n, -1, dtype=np.int64)
         edge = np.zeros(n, dtype=np.int64)
-        order, key = np.arange(n), group.astype(np.int64)
-        self.root = np.zeros(n, dtype=np.int64)
+        first = np.searchsorted(group, group)
+        self.root = np.where(member[first], first, -1) if n else first
+        order = np.flatnonzero(member)
+        key = group[order].astype(np.int64)
         above = np.full(n, -1, dtype=np.int64)
-        first_level = True
         while len(order):
             head = np.concatenate([[True], key[1:] != key[:-1]])
             roots = order[head]
             mine = roots[np.cumsum(head) - 1]
-            if first_level:
-                self.root[order] = mine
-                first_level = False
             parent[roots] = above[roots]
             rest = ~head
             order, mine = order[rest], mine[rest]
@@ -105,6 +132,7 @@ class Forest:
     def within(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query, node) pairs with at most `radius` differing bits, node before query, level by level."""
         q, node = queries, self.root[queries]
+        q, node = q[node >= 0], node[node >= 0]
         while len(q):
             d = np.bitwise_count(self.fps[q] ^ self.fps[node]).astype(np.int64)
             hit = (d <= radius) & (node < q)
@@ -117,13 +145,18 @@ class Forest:
             node = self.children[np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(q))]
 
 
-def shard_links(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def near(fps: np.ndarray, group: np.ndarray, member: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places in shards within the radius, each once."""
+    forest = Forest(fps, group, member)
+    for at in range(0, len(fps), 512):  # bounds the frontier
+        yield from forest.within(np.arange(at, min(at + 512, len(fps))), radius)
+
+
+def shard_links(fps: np.ndarray, group: np.ndarray, member: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (fp, fp of its root) of links within shards."""
-    forest = Forest(fps, group)
     parent = np.arange(len(fps))
-    for at in range(0, len(fps), 512):  # bounds the frontier
-        for a, b in forest.within(np.arange(at, min(at + 512, len(fps))), radius):
-            union(parent, a, b)
+    for a, b in near(fps, group, member, radius):
+        union(parent, a, b)
     low = parent[parent]
     while (low != parent).any():
         parent, low = low, low[low]
@@ -131,93 +164,247 @@ def shard_links(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tup
     return fps[linked], fps[parent[linked]]
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, value, fp) come sorted; a shard that goes on in the next batch is carried over."""
-    held: list[np.ndarray] = []
-
-    def made(rows: np.ndarray) -> pa.RecordBatch:
-        group = np.concatenate([[0], np.cumsum((np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0))])
-        a, b = shard_links(rows[:, 2].view(np.uint64), group)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-    for batch in batches:
-        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
-        if not len(rows):
-            continue
-        last = (rows[:, 0] == rows[-1, 0]) & (rows[:, 1] == rows[-1, 1])
-        if last.all() and held and (held[-1][-1, :2] == rows[-1, :2]).all():
-            held.append(rows)
-            continue
-        done = np.concatenate([*held, rows[~last]])
-        held = [rows[last]]
-        if len(done) and (done[-1, :2] == rows[-1, :2]).all():  # the carried shard ends here
-            done, held = done[:0], [done, *held]
-        if len(done):
-            yield made(np.ascontiguousarray(done))
-    if held:
-        yield made(np.ascontiguousarray(np.concatenate(held)))
-
-
-def link_forest(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+def by_shard(keys: int, made: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]):
+    """A function of batches whose first `keys` columns name a shard and come sorted: made gives edges of whole shards.
+
+    A shard that goes on in the next batch is carried over.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out(parts: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = made(np.ascontiguousarray(np.concatenate(parts)))
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+            if not len(rows):
+                continue
+            last = (rows[:, :keys] == rows[-1, :keys]).all(axis=1)
+            if last.all() and held and (held[-1][-1, :keys] == rows[-1, :keys]).all():
+                held.append(rows)
+                continue
+            if held or not last.all():  # before the last shard of the batch all are whole
+                yield out([*held, rows[~last]])
+            held = [rows[last]]
+        if held:
+            yield out(held)
+
+    return run
+
+
+def shard_numbers(rows: np.ndarray, keys: int) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum((np.diff(rows[:, :keys], axis=0) != 0).any(axis=1))])
+
+
+def _forests(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """rows: path, value, block, asks, fp."""
+    return shard_links(rows[:, 4].view(np.uint64), shard_numbers(rows, 3), rows[:, 3] == 0)
+
+
+def in_blocks(rows: DataFrame, hot: DataFrame, keys: list[str], by: str, most: int) -> DataFrame:
+    """rows of the keys in hot (with their count), dealt to blocks of about `most` by a hash of `by`: columns block and asks.
+
+    Block i * n + j, i <= j, holds the parts i and j of n; part i forms its tree, and part j asks it.
+    """
+    n = F.ceil(F.col("count") / most)
+    dealt = rows.join(hot, keys).withColumn("of", n).withColumn("home", F.pmod(F.xxhash64(F.col(by), F.lit(1)), F.col("of")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+    block = F.least("home", "other") * F.col("of") + F.greatest("home", "other")
+    return dealt.withColumn("block", block).withColumn("asks", (F.col("other") < F.col("home")).cast("int")).drop("of", "home", "other", "count")
+
+
+def link_forest(distinct: DataFrame, radius: int = RADIUS, most: int = SHARD, depth: int = DEPTH) -> DataFrame:
     """Edges (a, b) of a forest whose components are those of all links between distinct fingerprints `fp`."""
-    parts = [
-        F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1).alias("value"))
-        for i, (shift, width) in enumerate(bands(radius))
-    ]
-    rows = distinct.select("fp", F.explode(F.array(*parts)).alias("k")).select("k.band", "k.value", "fp")
-    dealt = rows.repartition("band", "value").sortWithinPartitions("band", "value", "fp")
-    return dealt.mapInArrow(_links, "a long, b long")
+    n = radius + 1
+    mask = lambda bits: _signed(sum(1 << b for b in bits))
+    paths: list[tuple[list[int], list[int]]] = [([], list(range(64)))]  # bits that a shard agrees on, and bits it leaves open
+    rows, done, made = distinct.select("fp", F.lit(0).alias("path"), F.lit(0).cast("long").alias("value")), [], []
+    for level in range(1, depth + 1):
+        below = [[([*agreed, *band], [b for b in rest if b not in band]) for band in bands(rest, n)] for agreed, rest in paths]
+        children = F.array(*[
+            F.array(*[F.struct(F.lit(i * n + j).alias("path"), F.col("fp").bitwiseAND(F.lit(mask(a)).cast("long")).alias("value")) for j, (a, _) in enumerate(kids)])
+            for i, kids in enumerate(below)
+        ])
+        rows = rows.select("fp", F.explode(children[F.col("path")]).alias("k")).select(F.col("k.path").alias("path"), F.col("k.value").alias("value"), "fp")
+        paths = [kid for kids in below for kid in kids]
+        hot = materialize(rows.groupBy("path", "value").count().where(F.col("count") > most))
+        made.append(hot)
+        level_rows = rows.withColumn("path", F.col("path") + sum(n**i for i in range(1, level)))
+        cold = lambda df: df.select("path", "value", F.lit(0).cast("long").alias("block"), F.lit(0).alias("asks"), "fp")
+        if hot.isEmpty():
+            done.append(cold(level_rows))
+            break
+        keys = hot.select((F.col("path") + sum(n**i for i in range(1, level))).alias("path"), "value", "count")
+        done.append(cold(level_rows.join(keys, ["path", "value"], "left_anti")))
+        if level == depth:
+            done.append(in_blocks(level_rows, keys, ["path", "value"], "fp", most).select("path", "value", "block", "asks", "fp"))
+        else:
+            rows = materialize(rows.join(hot, ["path", "value"], "left_semi"))
+            made.append(rows)
+    every = done[0]
+    for x in done[1:]:
+        every = every.unionByName(x)
+    dealt = every.repartition("path", "value", "block").sortWithinPartitions("path", "value", "block", "asks", "fp")
+    links = materialize(dealt.mapInArrow(by_shard(3, _forests), "a long, b long"))
+    for x in made:
+        discard(x)
+    return links
 
 
 def component_ids(docs_fp: DataFrame, links: Callable[[DataFrame], DataFrame] = link_forest) -> DataFrame:
-    """(fp, component_id, rep) for each distinct `__fp`, from rows (doc_id, __fp): rep is its smallest doc_id.
+    """(fp, low) for each distinct `fp`, from rows (rep, fp): low is the smallest rep of its component.
 
     links gives the edges between the distinct (fp, rep).
     """
-    distinct = materialize(docs_fp.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("rep")))
-    labels = materialize(components(links(distinct)))
+    distinct = materialize(docs_fp.groupBy("fp").agg(F.min("rep").alias("rep")))
+    forest = links(distinct)
+    labels = materialize(components(forest))
     named = materialize(labels.join(distinct, labels["id"] == distinct["fp"]).select("id", "label", "rep"))
     low = named.groupBy("label").agg(F.min("rep").alias("low"))
     linked = materialize(named.join(low, "label").select("id", "low"))
     out = distinct.join(linked, distinct["fp"] == linked["id"], "left").select(
-        "fp", F.when(F.col("id").isNull(), F.col("rep")).otherwise(F.col("low")).alias("component_id"), "rep"
+        "fp", F.when(F.col("id").isNull(), F.col("rep")).otherwise(F.col("low")).alias("low")
     )
     out = materialize(out)
-    for x in (labels, named, linked, distinct):
+    for x in (forest, labels, named, linked, distinct):
         discard(x)
     return out
 
 
 def find_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id of every row."""
-    fps = materialize(fingerprints(docs.select("doc_id", "text"), keep=["doc_id"]))
-    comp = component_ids(fps)
-    return fps.join(comp, fps["__fp"] == comp["fp"]).select(
-        "doc_id", F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id"
+    fps = materialize(map_texts(docs.select(F.col("doc_id").alias("rep"), "text"), _fingerprints, [T.StructField("fp", T.LongType())], keep=["rep"]))
+    comp = component_ids(fps).withColumnRenamed("fp", "of")
+    return fps.join(comp, fps["fp"] == comp["of"]).select(
+        F.col("rep").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("low").alias("component_id")
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component: the one with its smallest doc_id (of repeated rows, one).
+def shingle_set(text: str | None, words: int = SET_WORDS) -> np.ndarray:
+    """Distinct hashes of a text's shingles, sorted."""
+    parts = list(shingle_hashes(text, words))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+
+
+def set_key(hashes: np.ndarray) -> int:
+    """A hash of the whole set, signed."""
+    import xxhash
+
+    return _signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+
+
+def buckets(hashes: np.ndarray) -> np.ndarray:
+    """A key for each group of minima; none for the empty set."""
+    import xxhash
+
+    if not len(hashes):
+        return np.zeros(0, dtype=np.int64)
+    low = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(hashes), 4096):  # bounded memory for very long texts
+        low = np.minimum(low, (FACTORS * hashes[at : at + 4096] + OFFSETS).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(low.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
+
+
+def _signatures(texts: list) -> list:
+    sets = [shingle_set(t) for t in texts]
+    return [[set_key(s) for s in sets], [len(s) for s in sets], [buckets(s) for s in sets], [_signed(majority(iter([s]))) for s in sets]]
+
 
-    Only ids and fingerprints are shuffled to find the components. Rows whose component has no id at all
-    are kept.
+def _sets(texts: list) -> list:
+    sets = [shingle_set(t) for t in texts]
+    return [[set_key(s) for s in sets], [s.view(np.int64) for s in sets]]
+
+
+SIGNATURE = [
+    T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("sim", T.LongType()),
+]
+
+
+def alike(sizes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether sets of these sizes can have a similarity of 4/5."""
+    a, b = sizes
+    return 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
+
+
+def _candidates(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """rows: bucket, block, asks, sim, fp, n, label. Candidates of different labels."""
+    out_a, out_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for a, b in near(rows[:, 3].view(np.uint64), shard_numbers(rows, 2), rows[:, 2] == 0, WIDE):
+        good = (rows[a, 6] != rows[b, 6]) & alike((rows[a, 5], rows[b, 5]))
+        out_a.append(rows[a[good], 4])
+        out_b.append(rows[b[good], 4])
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. Sets move by shuffle, which splits at hot ones, whatever their size."""
+    left = sets.select(F.col("key").alias("ka"), F.col("members").alias("sa"))
+    right = sets.select(F.col("key").alias("kb"), F.col("members").alias("sb"))
+    joined = pairs.join(left.hint("merge"), F.col("a") == F.col("ka")).join(right.hint("merge"), F.col("b") == F.col("kb"))
+    both = F.size(F.array_intersect("sa", "sb"))  # both / (a + b - both) >= 4/5
+    return joined.where(9 * both >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+
+
+def similar_links(docs: DataFrame, signed: DataFrame, distinct: DataFrame, most: int = SHARD) -> DataFrame:
+    """Verified links (a, b) between set keys, whose components are those of all links found.
+
+    docs: (id, h, text); signed: SIGNATURE of each row; distinct: each key as fp, and its smallest (none, id, h) as rep.
     """
-    fps = materialize(fingerprints(docs.select("doc_id", "text"), keep=["doc_id"]))
-    return keep_rows(docs, component_ids(fps))
+    one = materialize(signed.groupBy("fp").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("sim").alias("sim")))
+    rows = one.select("fp", "n", "sim", F.explode("buckets").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = shared.select(F.col("bucket").alias("of"), "low")
+    met = materialize(rows.join(shared.hint("merge"), F.col("bucket") == F.col("of")).select("bucket", "fp", "n", "sim", "low"))
+
+    need = met.select(F.col("fp").alias("need")).distinct().join(distinct, F.col("need") == F.col("fp")).select("rep.id", "rep.h")
+    need = materialize(need.select(F.col("id").alias("need_id"), F.col("h").alias("need_h")))
+    texts = docs.join(need.hint("merge"), docs["id"].eqNullSafe(need["need_id"]) & (docs["h"] == need["need_h"]), "left_semi").select("text")
+    fields = [T.StructField("key", T.LongType()), T.StructField("members", T.ArrayType(T.LongType()))]
+    sets = materialize(map_texts(texts, _sets, fields, keep=[]).groupBy("key").agg(F.first("members").alias("members")))  # repeated rows give a set again
+
+    lows = met.select(F.col("fp").alias("b"), F.col("n").alias("n2")).distinct()
+    first = met.where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"), "n").distinct()
+    first = materialize(first.join(lows, "b").where("5 * least(n, n2) >= 4 * greatest(n, n2)").select("a", "b"))
+    links = materialize(verified(first, sets))
+
+    labels = materialize(components(links))
+    now = met.join(labels, met["fp"] == labels["id"], "left").select("bucket", "sim", "fp", "n", F.coalesce("label", "fp").alias("label"))
+    now = materialize(now)
+    apart = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("count")).where("x <> y").select("bucket", "count")
+    apart = materialize(apart)
+    hot = apart.where(F.col("count") > most)
+    names = ["bucket", "block", "asks", "sim", "fp", "n", "label"]
+    few = now.join(apart.where(F.col("count") <= most), "bucket", "left_semi").withColumn("block", F.lit(0).cast("long")).withColumn("asks", F.lit(0))
+    dealt = few.select(*names).unionByName(in_blocks(now, hot, ["bucket"], "fp", most).select(*names))
+    dealt = dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "asks", "sim", "fp")
+    pairs = dealt.mapInArrow(by_shard(2, _candidates), "a long, b long")
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = materialize(pairs.join(first, ["a", "b"], "left_anti"))
+    more = materialize(verified(pairs, sets).unionByName(links))
+    for x in (one, met, need, sets, first, links, labels, now, apart, pairs):
+        discard(x)
+    return more
 
 
-def keep_rows(docs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The rows of docs that stand for the components of comp, which component_ids made."""
-    # a component's kept document has the component's id, so the ids to keep are the distinct component ids
-    keep = materialize(comp.where("component_id is not null").select(F.col("component_id").alias("__keep")).distinct())
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of docs for each component of similar texts (see above)."""
+    rows = row(docs).select("row", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("h"))
+    texts = rows.select("id", "h", F.col("row.text").alias("text"))
+    signed = materialize(map_texts(texts, _signatures, SIGNATURE, keep=["id", "h"]))
+    rep = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    comp = component_ids(signed.select(rep.alias("rep"), "fp"), lambda distinct: similar_links(texts, signed, distinct))
+    keep = materialize(comp.select("low").distinct().select(F.col("low.id").alias("keep_id"), F.col("low.h").alias("keep_h")))
+    again = materialize(signed.groupBy("id", "h").count().where("count > 1").select(F.col("id").alias("again_id"), F.col("h").alias("again_h")))
     # always by shuffle, which splits and spills, whatever the tables' sizes: texts move once
-    kept = docs.join(keep.hint("merge"), docs["doc_id"] == keep["__keep"], "left_semi")
-    # rows repeated under one id: number them where an id occurs twice, which is a rare and small table
-    twice = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
-    twice = materialize(twice)
-    w = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    again = kept.join(twice, kept["doc_id"] == twice["__twice"], "left_semi")
-    single = kept.join(twice, kept["doc_id"] == twice["__twice"], "left_anti")
-    first = again.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    return single.unionByName(first).unionByName(docs.where("doc_id is null"))
+    kept = rows.join(keep.hint("merge"), rows["id"].eqNullSafe(keep["keep_id"]) & (rows["h"] == keep["keep_h"]), "left_semi")
+    # rows repeated with one id and text are numbered, where there are any: a rare and small table
+    is_again = rows["id"].eqNullSafe(again["again_id"]) & (rows["h"] == again["again_h"])
+    rest = F.to_json(F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_")))
+    w = Window.partitionBy("id", "h").orderBy(F.xxhash64(rest), rest)
+    first = kept.join(again, is_again, "left_semi").withColumn("number", F.row_number().over(w)).where("number = 1").select("row")
+    single = kept.join(again, is_again, "left_anti").select("row")
+    for x in (signed, comp):
+        discard(x)
+    return single.unionByName(first).select("row.*")

@@ -13,9 +13,11 @@ rounds suffice; a step that does not lessen the residual is halved. Each round i
 and K(K+1)/2 products over the table of posteriors. The sum of all steps is a vector of K numbers, so the rates
 are a short expression of the posteriors, and nothing is collected or shuffled but those sums.
 
-With a floor of 1 no document goes, so the weights can only be met in more tokens than there are: at least
-max_k have_k / weight_k, and somewhat more as soft members of scarce domains bring tokens of others with them.
-The budget is found from the data, from that bound on; shares that no budget meets are logged as a warning.
+The budget says how many tokens the mix has, as a multiple of those at hand. With a floor of 0 any weights can be met:
+documents of domains with more than their weight are thinned, others repeated. With a floor of 1 no document goes, so
+the weights can only be met in more tokens than there are: at least max_k have_k / weight_k, and somewhat more as
+soft members of scarce domains bring tokens of others with them. Then the budget is found from the data, from
+that bound on. Shares that are missed by more than OFF are logged as a warning, or refused where that is asked for.
 
 Null and empty texts have no tokens, uniform evidence (posterior = prior) and rates like others. Labels that
 are null or contradict each other are not learned from. Domains without labelled documents, or without
@@ -30,11 +32,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigstrata.llm.common import discard, row
+
 BUCKETS = 4096
 FIT_ROWS = 8_000
 ROUNDS = 40
 #: The fit ends when token shares are this close to the targets.
 CLOSE = 1e-6
+#: A share that is off by more is told.
+OFF = 0.01
 #: With a floor the budget starts so far above its lower bound, and grows by GROWTH where it is too small, so often at most.
 ABOVE, GROWTH, TRIES = 1.02, 1.1, 12
 SHARPNESS = 4.0
@@ -102,45 +108,56 @@ class Classifier:
 
         return F.array(*[F.lit(float(x)) + scale * total(t) for x, t in zip(self.prior, tables, strict=True)])
 
-    def apply(self, docs: DataFrame) -> DataFrame:
-        """docs with __n (words, double) and __p (posteriors, in the order of names)."""
-        out = docs.withColumn("__ev", self.evidence(F.col("text")))
-        out = out.withColumn("__l", self.posterior(F.col("__ev")))
-        out = out.withColumn("__e", F.transform("__l", lambda x: F.exp(x - F.array_max("__l"))))
-        total = F.aggregate("__e", F.lit(0.0), lambda a, x: a + x)
-        out = out.withColumn("__p", F.transform("__e", lambda x: x / total)).withColumn("__n", F.col("__ev.n"))
-        return out.drop("__ev", "__l", "__e")
+    def apply(self, rows: DataFrame, text: str = "text") -> DataFrame:
+        """rows with n (words, double) and p (posteriors, in the order of names) of a text column."""
+        out = rows.withColumn("evidence", self.evidence(F.col(text)))
+        out = out.withColumn("log_p", self.posterior(F.col("evidence")))
+        out = out.withColumn("raw_p", F.transform("log_p", lambda x: F.exp(x - F.array_max("log_p"))))
+        total = F.aggregate("raw_p", F.lit(0.0), lambda a, x: a + x)
+        out = out.withColumn("p", F.transform("raw_p", lambda x: x / total)).withColumn("n", F.col("evidence.n"))
+        return out.drop("evidence", "log_p", "raw_p")
 
 
 class Rates:
-    """Fitted rates: max(floor, 1 - sum_k move_k * p_k), an expression over __p."""
+    """Fitted rates: max(floor, 1 - sum_k move_k * p_k), an expression over p."""
 
     def __init__(self, floor: float, move: np.ndarray):
         self.floor, self.move = floor, move
 
     def point(self) -> Column:
         """1 less the steps, before the projection."""
-        step = sum((F.lit(float(x)) * F.element_at("__p", k + 1) for k, x in enumerate(self.move)), F.lit(0.0))
+        step = sum((F.lit(float(x)) * F.element_at("p", k + 1) for k, x in enumerate(self.move)), F.lit(0.0))
         return F.lit(1.0) - step
 
     def column(self) -> Column:
         return F.greatest(F.lit(self.floor), self.point())
 
     @classmethod
-    def fit(cls, scored: DataFrame, weights: np.ndarray, floor: float = 0.0, budget: float | None = None, rounds: int = ROUNDS) -> Rates:
-        """scored: __n and __p of every document. Targets: weights of budget times all tokens.
+    def fit(cls, scored: DataFrame, weights: np.ndarray, floor: float = 0.0, budget: float | None = None, rounds: int = ROUNDS, strict: bool = False) -> Rates:
+        """scored: n and p of every document. Targets: weights of budget times all tokens.
 
         A round is one aggregation: the residual, and the Gram matrix of the documents that are not at the floor.
         Without a budget it is 1 for floors below 1, and else the least tried one that meets the weights.
+        strict: shares that are off by more than OFF raise a ValueError.
         """
+
+        def told(rates: Rates, got: np.ndarray) -> Rates:
+            miss = np.abs(got / got.sum() - share).max() if got.sum() else 1.0
+            if miss > OFF:
+                said = f"the rates do not meet the weights {np.round(share, 4).tolist()}: shares are off by up to {miss:.4f}"
+                if strict:
+                    raise ValueError(said)
+                logging.getLogger(__name__).warning(said)
+            return rates
+
         k = len(weights)
-        p = [F.element_at("__p", i + 1) for i in range(k)]
+        p = [F.element_at("p", i + 1) for i in range(k)]
         pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
         def tokens(rates: Rates) -> tuple[np.ndarray, np.ndarray]:
-            free = F.when(F.col("__z") >= floor, F.col("__n")).otherwise(0.0)
-            got = scored.withColumn("__z", rates.point()).withColumn("__r", F.greatest(F.lit(floor), F.col("__z"))).agg(
-                *[F.coalesce(F.sum(F.col("__n") * F.col("__r") * x), F.lit(0.0)) for x in p],
+            free = F.when(F.col("z") >= floor, F.col("n")).otherwise(0.0)
+            got = scored.withColumn("z", rates.point()).withColumn("r", F.greatest(F.lit(floor), F.col("z"))).agg(
+                *[F.coalesce(F.sum(F.col("n") * F.col("r") * x), F.lit(0.0)) for x in p],
                 *[F.coalesce(F.sum(free * p[i] * p[j]), F.lit(0.0)) for i, j in pairs],
             ).first()
             gram = np.zeros((k, k))
@@ -175,18 +192,18 @@ class Rates:
             return start
         share = share / share.sum()
         if budget is not None or floor < 1:
-            return descend((1.0 if budget is None else budget) * total * share)[0]
+            rates, got, _ = descend((1.0 if budget is None else budget) * total * share)
+            return told(rates, got)
         least = floor * float((have[share > 0] / share[share > 0]).max())
-        best, off = start, float(np.abs(first[0] / first[0].sum() - share).max())
+        best, shares = start, first[0]
         for i in range(TRIES):
             rates, got, met = descend(least * ABOVE * GROWTH**i * share)
             if met:
                 return rates
-            miss = float(np.abs(got / got.sum() - share).max())
-            if miss < off - CLOSE:  # of equals, the one of fewest tokens
-                best, off = rates, miss
-        logging.getLogger(__name__).warning("no budget tried meets the weights %s: shares are off by up to %.4f", share.tolist(), off)
-        return best
+            # of equals, the one of fewest tokens
+            if np.abs(got / got.sum() - share).max() < np.abs(shares / shares.sum() - share).max() - CLOSE:
+                best, shares = rates, got
+        return told(best, shares)
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, write, targets: dict[str, float] | None = None) -> DataFrame:
@@ -194,29 +211,31 @@ def mix_documents(docs: DataFrame, labels: DataFrame, write, targets: dict[str,
     targets = targets or TARGETS
     names = sorted(targets)
     model = Classifier.fit(docs, domains(labels), names)
-    scored = write(model.apply(docs.select("doc_id", "text")).select("doc_id", "__n", "__p"))
+    scored = write(model.apply(docs.select("doc_id", "text")).select("doc_id", "n", "p"))
     rates = Rates.fit(scored, np.array([targets[n] for n in names]))
     return scored.select(
-        "doc_id", F.col("__n").cast("long").alias("n_tokens"),
-        *[F.element_at("__p", i + 1).alias(f"p_{n}") for i, n in enumerate(names)], rates.column().alias("rate"),
+        "doc_id", F.col("n").cast("long").alias("n_tokens"),
+        *[F.element_at("p", i + 1).alias(f"p_{n}") for i, n in enumerate(names)], rates.column().alias("rate"),
     )
 
 
-def mixed(docs: DataFrame, labels: DataFrame, write, targets: dict[str, float] | None = None, floor: float = 0.0, budget: float | None = None) -> DataFrame:
+def mixed(
+    docs: DataFrame, labels: DataFrame, write, targets: dict[str, float] | None = None, floor: float = 0.0, budget: float | None = None, strict: bool = False,
+) -> DataFrame:
     """docs with each row repeated by its rate: the whole part, and one more with the chance of the rest.
 
-    The chance is a hash of doc_id, so that a rerun repeats the same rows. With a floor of 1 no row goes, and
-    other domains grow until the weights are met (see Rates.fit); a budget bounds that and can leave them unmet.
+    The chance is a hash of doc_id and text, so that a rerun repeats the same rows. See Rates.fit for floor and budget.
     Posteriors for the fit are written without texts; those of the result are computed anew beside the text.
     """
     targets = targets or TARGETS
     names = sorted(targets)
     model = Classifier.fit(docs, domains(labels), names)
-    scored = write(model.apply(docs.select("text")).select("__n", "__p"))
-    rates = Rates.fit(scored, np.array([targets[n] for n in names]), floor, budget)
-    chance = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit("mix")), 11).cast("double") / float(1 << 53)
+    scored = write(model.apply(docs.select("text")).select("n", "p"))
+    rates = Rates.fit(scored, np.array([targets[n] for n in names]), floor, budget, strict=strict)
+    discard(scored)
+    chance = F.shiftrightunsigned(F.xxhash64(F.col("row.doc_id"), F.col("row.text"), F.lit("mix")), 11).cast("double") / float(1 << 53)
     copies = F.floor(rates.column() + chance).cast("int")
-    out = model.apply(docs).withColumn("__copies", copies)
+    out = model.apply(row(docs), "row.text").withColumn("copies", copies)
     # explode_outer, as a filter on copies would be pushed below the posteriors and compute them again and again
-    out = out.withColumn("__copy", F.explode_outer(F.array_repeat(F.lit(1), F.col("__copies"))))
-    return out.where("__copy is not null").select(*docs.columns)
+    out = out.withColumn("copy", F.explode_outer(F.array_repeat(F.lit(1), F.col("copies"))))
+    return out.where("copy is not null").select("row.*")

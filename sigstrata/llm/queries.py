@@ -48,7 +48,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(sentencepiece_codec.MODEL))
+    return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), tokenizer_path(sentencepiece_codec.MODEL))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

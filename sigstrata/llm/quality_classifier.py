@@ -5,8 +5,9 @@ characters or of other visible ones, and a pair of equal tokens is a feature of
 scaled by the log ratio of their smoothed class counts, and a linear model with hinge loss is fitted by
 dual coordinate descent. A logistic curve fitted to rows left out of the descent turns margins into scores.
 
-The model is fitted on at most FIT_ROWS labelled rows, taken in the order of a hash of doc_id, among those
-whose crc32(doc_id as text) mod 4 is not 2; everything else reads all rows. Only texts are inputs of a
+The model is fitted on at most FIT_ROWS labelled documents of at most FIT_VALUES features in all, taken in the order
+of a hash of doc_id, among those whose crc32(doc_id as text) mod 4 is not 2 (of several texts under one id, that of
+the smallest hash); everything else reads all rows. Only texts are inputs of a
 score. A doc_id whose labels contradict each other, or are null, is not learned from. Null and empty texts
 have no features: their score is that of the bias. Without any labelled rows of both classes the score is 0.5.
 Repeated rows are scored each; empty tables give empty results.
@@ -21,15 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigstrata.llm.common import map_texts
+from sigstrata.llm.common import Cache, discard, map_texts, materialize
 
 BUCKETS = 1 << 18
 FIT_ROWS = 6_000
+FIT_VALUES = 16_000_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 CUT = 0.7
 C = 0.1
-_CACHE = 300_000
-_hashes: dict[str, int] = {}
+_hashes = Cache()
 
 
 def features(text: str | None) -> np.ndarray:
@@ -39,11 +40,12 @@ def features(text: str | None) -> np.ndarray:
     tokens = TOKEN.findall(text or "")
     if not tokens:
         return np.zeros(0, dtype=np.int64)
-    if len(_hashes) > _CACHE:
-        _hashes.clear()
-    for t in set(tokens).difference(_hashes):
-        _hashes[t] = crc32(t.encode())
-    h = np.array([_hashes[t] for t in tokens], dtype=np.uint64)
+    _hashes.room()
+    short, long = _hashes.split(set(tokens))
+    for t in short:
+        _hashes.keep(t, crc32(t.encode()))
+    here = {t: crc32(t.encode()) for t in long}
+    h = np.array([_hashes[t] if t in _hashes else here[t] for t in tokens], dtype=np.uint64)
     pair = np.where(h[1:] == h[:-1], np.uint64(0x5BD1E995), h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
     both = np.concatenate([h * np.uint64(0xFF51AFD7ED558CCD), pair]) >> np.uint64(64 - 18)
     return np.unique(both.astype(np.int64))
@@ -137,14 +139,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> t
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("__id"), F.col("quality").alias("__quality"))
     )
     known = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
+    # one text an id, by a partial aggregation, before anything is gathered
+    known = known.groupBy(F.col("__id").alias("id"), F.col("__quality").alias("quality")).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
     field = [T.StructField("f", T.ArrayType(T.IntegerType()))]
-    got = map_texts(known, lambda texts: [[features(t).tolist() for t in texts]], field, keep=["doc_id", "__quality"])
-    got = got.toArrow()  # at most `rows` rows
-    ids, at = np.unique(got["doc_id"].to_numpy(), return_index=True)
-    order = at[np.random.default_rng(11).permutation(len(ids))]
+    made = map_texts(known.select("id", "quality", F.col("t.text").alias("text")), lambda texts: [[features(t).tolist() for t in texts]], field, keep=["id", "quality"])
+    made = materialize(made.withColumn("values", F.size("f")))
+    held, ids = 0, []
+    for r in made.orderBy(F.xxhash64("id"), "id").select("id", "values").collect():  # at most `rows` rows
+        held += r["values"]
+        if held > FIT_VALUES:
+            break
+        ids.append(r.id)
+    if not ids:
+        discard(made)
+        return [], np.zeros(0, dtype=np.int64)
+    got = made.join(F.broadcast(made.sparkSession.createDataFrame([(i,) for i in ids], "id long")), "id").select("id", "quality", "f").toArrow()
+    discard(made)
+    order = np.argsort(got["id"].to_numpy())[np.random.default_rng(11).permutation(len(ids))]
     lists = got["f"].combine_chunks()
     flat, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
-    return [flat[cuts[i] : cuts[i + 1]].astype(np.int64) for i in order], got["__quality"].to_numpy()[order]
+    return [flat[cuts[i] : cuts[i + 1]].astype(np.int64) for i in order], got["quality"].to_numpy()[order]
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

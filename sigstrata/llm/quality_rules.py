@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigstrata.llm.common import map_texts
+from sigstrata.llm.common import map_texts, row
 
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
@@ -24,7 +24,7 @@ KEEP = 0.5
 
 FIELDS = [
     T.StructField(n, T.LongType())
-    for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "__votes")
+    for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "votes")
 ]
 #: Each rule compares one ratio of counts with two bounds, between which it abstains (see measure).
 RULES = ("length", "symbols", "repeats", "dup_lines", "capitals", "shouts", "word_length", "variety", "marks")
@@ -88,8 +88,8 @@ def _measured(texts: list) -> list:
     return list(map(list, zip(*map(measure, texts), strict=True))) if texts else [[] for _ in FIELDS]
 
 
-def measured(docs: DataFrame, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
-    return map_texts(docs, _measured, [T.StructField(prefix + f.name, f.dataType) for f in FIELDS], keep=keep)
+def measured(docs: DataFrame, keep: list[str] | None = None, column: str = "text") -> DataFrame:
+    return map_texts(docs, _measured, FIELDS, column=column, keep=keep)
 
 
 def fit(patterns: dict[int, int], rounds: int = 100) -> dict[int, float]:
@@ -122,17 +122,15 @@ def fit(patterns: dict[int, int], rounds: int = 100) -> dict[int, float]:
 
 def posteriors(stats: DataFrame) -> dict[int, float]:
     """Fit over all documents; at most 3**len(RULES) counts come to the driver."""
-    return fit({r["__votes"]: r["count"] for r in stats.groupBy("__votes").count().collect()})
+    return fit({r["votes"]: r["count"] for r in stats.groupBy("votes").count().collect()})
 
 
-def verdicts(post: dict[int, float], prefix: str = "") -> tuple[Column, Column, Column]:
-    """base_failed, posterior and kept, as columns over FIELDS. post is bounded by the number of patterns."""
-    words, repeats = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
-    failed = (words < 50) | (100 * repeats > 50 * words)
-    codes = sorted(post)
-    at = F.array_position(F.split(F.lit(",".join(map(str, codes))), ",").cast("array<bigint>"), F.col(f"{prefix}__votes"))
-    value = F.try_element_at(F.split(F.lit(",".join(repr(post[c]) for c in codes)), ",").cast("array<double>"), at.cast("int"))
-    posterior = F.coalesce(value, F.lit(0.0)) if codes else F.lit(0.0)
+def verdicts(post: dict[int, float]) -> tuple[Column, Column, Column]:
+    """base_failed, posterior and kept, as columns over FIELDS. The posteriors are one constant array by pattern."""
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    every = ",".join(repr(post.get(c, 0.0)) for c in range(3 ** len(RULES))) if post else "0.0"
+    value = F.try_element_at(F.split(F.lit(every), ",").cast("array<double>"), (F.col("votes") + 1).cast("int"))
+    posterior = F.coalesce(value, F.lit(0.0))
     return failed, posterior, ~failed & (posterior >= KEEP)
 
 
@@ -149,4 +147,4 @@ def judge_documents(docs: DataFrame, write) -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their columns. Texts are measured in two passes instead of written out."""
     post = posteriors(measured(docs.select("text"), keep=[]))
-    return measured(docs, prefix="__q_").where(verdicts(post, "__q_")[2]).select(*docs.columns)
+    return measured(row(docs), column="row.text").where(verdicts(post)[2]).select("row.*")

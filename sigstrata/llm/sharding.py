@@ -79,8 +79,10 @@ def slots(df: DataFrame, write, shard: str = "shard", order: tuple[str, ...] = (
     shards that meet in it, and no shard's rows come together in one task.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cols = [shard, *order]
-    dealt = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    # repeated rows are equal in all of these: a last key of their place in the input lets a range end between them
+    cols = [shard, *order, "__salt"]
+    salted = df.withColumn("__salt", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = salted.repartitionByRange(n, *cols).sortWithinPartitions(*cols).drop("__salt")
     dealt = write(dealt.withColumn("__id", F.monotonically_increasing_id()))
     part = F.shiftright("__id", 33).alias("__part")
     first = dealt.groupBy(part, F.col(shard)).agg(F.count(F.lit(1)).alias("c"), F.min("__id").alias("first")).collect()

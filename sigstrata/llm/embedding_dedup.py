@@ -16,7 +16,8 @@
    first one both share. Blocks give sums of multiplicities and a spanning forest, never pairs.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do vectors
-of different length. Repeated rows are vectors of their own. Empty tables give empty results. Nodes are
+of different length. Repeated rows are vectors of their own. A null vec_id counts as a vector; a component's id is its
+smallest other vec_id, null if there is none, and then all its vectors are kept. Empty tables give empty results. Nodes are
 named by a 64-bit hash of the vector (two different vectors of a billion share one with chance 0.03).
 """
 
@@ -316,5 +317,5 @@ def find_links(vectors: DataFrame, radius: float = RADIUS) -> DataFrame:
     out = vectors.join(result, vectors["embedding"] == result["v"], "left")
     component = F.when(F.col("v").isNull(), F.col("vec_id")).otherwise(F.col("c"))
     return out.select(
-        "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept")
+        "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept")
     )

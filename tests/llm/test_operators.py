@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -133,10 +134,34 @@ def test_simhash(docs, texts, odd):
     union(parent, *np.nonzero(np.bitwise_count(f[:, None] ^ f[None]) <= 4))
     low = dict(zip(ids, np.array(ids)[find(parent, np.arange(len(ids)))], strict=True))
     assert {r.doc_id: r.component_id for r in rows} == low
-    kept = sorted(r.doc_id for r in simhash_dedup.keep_one(docs).collect())
-    assert kept == sorted(set(low.values()))
     once = simhash_dedup.keep_one(odd)
-    assert once.columns == odd.columns and once.where("doc_id = 5").count() == 1 and once.where("doc_id is null").count() == 1
+    assert once.columns == odd.columns and once.where("doc_id = 5").count() == 1 and once.where("doc_id is null").count() == 0
+
+
+def test_no_distinct_text_is_lost(spark):
+    rows = [(0, "b " * 9), (1, "a " * 9), (1, "b " * 9), (5, "c c"), (None, "c c"), (None, "c c"), (None, "d"), (None, "d"), (7, None), (7, None)]
+    docs = spark.createDataFrame([(*r, {"k": 1}, "x", 3) for r in rows], "doc_id long, text string, `__n` map<string,int>, fps string, h int")
+    kept = simhash_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, (r.text or "").strip()) for r in kept.collect()), key=str)
+    assert got == sorted([(0, ("b " * 9).strip()), (1, ("a " * 9).strip()), (5, "c c"), (None, "d"), (7, "")], key=str)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_hot_shards_are_cut_and_lose_no_link(spark, depth):
+    rng = np.random.default_rng(depth)
+    near = np.uint64(0x0123456789ABCDEF) ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (900, 3), dtype=np.uint64), axis=1)
+    low = rng.integers(0, 2**20, 900, dtype=np.uint64) | np.uint64(0xABCDE << 40)  # most bands alike
+    fps = np.unique(np.concatenate([near, low, rng.integers(0, 2**63, 200, dtype=np.uint64)]))
+    parent = np.arange(len(fps))
+    union(parent, *np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None]) <= 4))
+    root = find(parent, np.arange(len(fps)))
+    d = materialize(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"))
+    got = {r.id: r.label for r in components(simhash_dedup.link_forest(d, most=50, depth=depth)).collect()}
+    groups = {}
+    for x, r in zip(fps.view(np.int64).tolist(), root.tolist(), strict=True):
+        groups.setdefault(r, set()).add(x)
+    assert got == {x: min(g) for g in groups.values() if len(g) > 1 for x in g}
 
 
 def test_bk_trees_find_all(spark):
@@ -192,12 +217,30 @@ def test_token_counts(docs, texts):
         n = len(t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids)
         assert (r.n_tokens, r.over_limit, r.n_bytes) == (n, n > 2048, len((texts[r.doc_id] or "").encode()))
     c = token_counts.counter(path)
-    for text in ("don't stop!! Believing 123 <|endoftext|> x's é", "a  b\n\nc"):
-        table = c.table(text)
-        for i in range(len(table[0]) + 1):
-            assert c.count_at(table, i) == len(t.encode(table[0][:i], add_special_tokens=False).ids)
-        cut = c.truncate(table, 5)
-        assert c.count_at(table, cut) <= 5
+    rng = np.random.default_rng(2)
+    bits = ["don't", "'ll", " ", "  ", "\n", "é", "İ", "Σας", "<|endoftext|>", "<|startoftext|>", "!!", "'", "1", "23", "日本", "ﬁ", "😀", "aaaaaa", "the", "ing", "\x00", "ß", "-_"]
+    for text in ["don't stop!! Believing 123 <|endoftext|> x's é", "a  b\n\nc", *("".join(bits[i] for i in rng.integers(0, len(bits), 8)) for _ in range(120))]:
+        table = c.table(text)  # every prefix and every budget
+        counts = [len(e.ids) for e in t.encode_batch([table.text[:i] for i in range(len(table.text) + 1)], add_special_tokens=False)]
+        assert [table.count_at(i) for i in range(len(counts))] == counts
+        assert [table.truncate(b) for b in range(max(counts) + 2)] == [max(i for i, n in enumerate(counts) if n <= b) for b in range(max(counts) + 2)]
+
+
+def test_prefix_tables_of_long_pieces_and_limits(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path(token_counts.MODEL)
+    t, c = Tokenizer.from_file(path), token_counts.counter(path)
+    piece = "".join(np.random.default_rng(0).choice(list("abcdefgh"), 20000))
+    began = time.perf_counter()
+    table = c.within(piece)
+    assert time.perf_counter() - began < 2  # linear in the piece
+    assert [table[i] for i in (1, 7, 100, 20000)] == [len(t.encode(piece[:i], add_special_tokens=False).ids) for i in (1, 7, 100, 20000)]
+    text = "Many words, and more than the limit. " * 500
+    r = token_counts.count_documents(spark.createDataFrame([(1, text), (2, "few")], "doc_id long, text string"), path).orderBy("doc_id").collect()
+    cut = r[0].limit_chars
+    low = t.normalizer.normalize_str(text)
+    assert r[1].limit_chars is None and len(t.encode(low[:cut], add_special_tokens=False).ids) <= 2048 < len(t.encode(low[: cut + 1], add_special_tokens=False).ids)
 
 
 def test_sentencepiece(docs, texts):
@@ -206,14 +249,29 @@ def test_sentencepiece(docs, texts):
     path = tokenizer_path(sentencepiece_codec.MODEL)
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     c = sentencepiece_codec.codec(path)
-    for r in sentencepiece_codec.encode_documents(docs, path).collect():
+    for r in sentencepiece_codec.digests(docs, path).collect():
         text = texts[r.doc_id] or ""
         ids = sp.encode(text, add_bos=True, add_eos=True)
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
-        start, end = c.spans(text, np.array(ids[1:-1], dtype=np.int64))
+    clash = docs.withColumn("ids", F.lit("x"))
+    for r in sentencepiece_codec.encode_documents(clash, path).collect():
+        text = texts[r.doc_id] or ""
         raw = text.encode()
-        assert b"".join(raw[a:b] for a, b in zip(start, end, strict=True)) == raw
+        assert r.text == texts[r.doc_id] and r.ids == sp.encode(text, add_bos=True, add_eos=True) and r.n_tokens == len(r.ids) == len(r.starts) == len(r.ends)
+        assert b"".join(raw[a:b] for a, b in zip(r.starts, r.ends, strict=True)) == raw
+
+
+def test_segments_too_long_to_keep():
+    import sentencepiece
+
+    path = tokenizer_path(sentencepiece_codec.MODEL)
+    sp, c = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.codec(path)
+    text = "日本語\n" * 400 + " short " + "x" * 200
+    segments, _ = c.prepare(text)
+    ids, decoded = c.encode(segments, c.learn(set(segments)))
+    assert np.frombuffer(ids, "<u4").tolist() == sp.encode(text, add_bos=True, add_eos=True) and decoded == sp.decode(sp.encode(text))
+    assert max(map(len, c.known)) <= c.known.longest
 
 
 def test_longest_prefix_of_a_character_map():

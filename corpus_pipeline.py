@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigstrata.llm import mixing, near_dedup, quality_rules, secrets, sentencepiece_codec
-from sigstrata.llm.common import materialize, table, tokenizer_path
+from sigstrata.llm import mixing, quality_rules, secrets, sentencepiece_codec, simhash_dedup
+from sigstrata.llm.common import discard, materialize, scratch, table, tokenizer_path
 
-#: Token shares of the mix. With a floor of 1 every document stays, and others repeat until the shares are met.
-MIX = {"good": 0.90, "poor": 0.04, "toxic": 0.06}
+#: Token shares of the mix, and its tokens as a multiple of those at hand: with these a document that is mostly of the
+#: domain that is short of its share is not thinned.
+MIX = {"good": 0.90, "poor": 0.06, "toxic": 0.04}
+BUDGET = 1.25
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.keep_one(docs)
+    return simhash_dedup.keep_one(docs)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs, table(spark, sf_dir, "labels"), materialize, MIX, floor=1.0)
+    return mixing.mixed(docs, table(spark, sf_dir, "labels"), materialize, MIX, budget=BUDGET, strict=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +43,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through all stages. Tables between stages, and those within, go when the next one is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialize(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch() as keep:
+            made = keep(materialize(stage(spark, docs, sf_dir)))
+        discard(docs)
+        docs = made
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: EM, shingle sets and the encoder have no SQL equivalent; tests/llm holds the stages against brute force.

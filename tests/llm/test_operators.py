@@ -1,12 +1,15 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables."""
 
 import hashlib
+import html as html_module
+import math
 import re
 import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -322,6 +325,83 @@ def test_html_ordinary_class_names(html, want):
     assert html_extract.extract(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<nav><a href=x>Home</a></nav><article><div class='article-header'><h1>The title</h1></div><p>{LONG}</p></article><footer>f</footer>", f"The title\n\n{LONG}"),
+        (f"<nav><a href=x>Home</a></nav><article><p>{LONG}</p><div class='side-by-side'><p>{LONG}</p></div></article>", f"{LONG}\n\n{LONG}"),
+        (f"<nav><a href=x>Home</a></nav><article><p>{LONG}</p><div class='notice-of-death'>{LONG}</div></article>", f"{LONG}\n\n{LONG}"),
+        (f"<nav><a href=x>Home</a></nav><div><section id='search-results'><p>{LONG}</p></section></div>", LONG),
+        (f"<div><a href=a>A</a></div><div><a href=b>B</a></div><div><a href=c>C</a></div><div><h2>T</h2><p>{LONG}</p><p>Short.</p></div><div><a href=d>D</a></div>", f"T\n\n{LONG}\n\nShort."),
+        (f"<article><p>{LONG}</p><section class=comments><p>{LONG * 3}</p><p>{LONG}</p></section><p>{LONG}</p><p>a<script>x</script>b</p></article>", f"{LONG}\n\n{LONG}\n\nab"),
+        (f"<div class=ad>{LONG}</div><article><h1>Few</h1><p>Few words.<br></article><footer>f</footer>", "Few\n\nFew words."),
+        (f"<form><nav><a href=x>Home</a></nav><h1>T</h1><p>{LONG}</p><p>{LONG}</p></form>", f"T\n\n{LONG}\n\n{LONG}"),
+    ],
+)
+def test_html_marks_do_not_drop_the_article(html, want):
+    assert html_extract.extract(html) == want
+
+
+def brute_content(x, marked):
+    """Content lines, written out: a Gaussian of 13 taps in stretches alike marked, and the two means nearest by turns."""
+    if all(marked):
+        return [False] * len(x)
+    soft = []
+    for i in range(len(x)):
+        a, b = i, i
+        while a and marked[a - 1] == marked[i]:
+            a -= 1
+        while b + 1 < len(x) and marked[b + 1] == marked[i]:
+            b += 1
+        taps = [(math.exp(-0.5 * (k / 2.0) ** 2), x[min(max(i + k, a), b)]) for k in range(-6, 7)]
+        soft.append(sum(w * v for w, v in taps) / sum(w for w, _ in taps))
+    if max(soft) - min(soft) <= 0.3:
+        return [True] * len(x)
+    lo, hi = min(soft), max(soft)
+    for _ in range(50):
+        low, high = [v for v in soft if v <= (lo + hi) / 2], [v for v in soft if v > (lo + hi) / 2]
+        if not low or not high:
+            break
+        lo, hi = sum(low) / len(low), sum(high) / len(high)
+    return [v >= (lo + hi) / 2 for v in soft]
+
+
+def test_ratios_decide_what_is_content(monkeypatch):
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n = int(rng.integers(1, 40))
+        marked = np.cumsum(rng.random(n) < 0.2) % 2 == 1
+        x = np.where(rng.random(n) < 0.5, rng.random(n), 3 + 3 * rng.random(n))
+        got = html_extract.content_lines(x, marked)
+        want = brute_content(x.tolist(), marked.tolist())
+        assert (got == want).mean() > 0.99 and len(got) == n
+    page = html_extract.Lines()
+    page.feed("<p>One <b>two</b><br>three <a href=x>four</a></p><nav><p>abc</p></nav>")
+    page.close()
+    page.flush()
+    marked = html_extract.marked_lines(page.lines, page.marks)
+    assert np.allclose(html_extract.ratios(page.lines, marked), [math.log1p(11 / 4), math.log1p(3) / 10])
+    pages = [r for r in pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist()]
+    texts = [html_extract.extract(h) for h in pages]
+    for html, text in zip(pages, texts, strict=True):  # these pages are articles with a menu, an advert and a footer
+        assert text.split() == unescape_article(html).split()
+    monkeypatch.setattr(html_extract, "content_lines", lambda x, marked: np.ones(len(x), dtype=bool))
+    assert sum(html_extract.extract(h) != t for h, t in zip(pages, texts, strict=True)) > 0.9 * len(pages)
+
+
+def unescape_article(html):
+    """The words of the article element, by patterns alone."""
+    body = html[html.index("<article>") : html.index("</article>")]
+    return html_module.unescape(re.sub("<[^>]*>", " ", body))
+
+
+@pytest.mark.parametrize("page", ["<div>text" * 8000, "<p><b>text" * 8000, "<b>" * 8000 + "<p>x" * 8000, "<div class=ad>" * 8000, "<a>" * 4000 + "</b>" * 4000])
+def test_html_takes_time_in_proportion(page):
+    began = time.perf_counter()
+    html_extract.extract(page)
+    assert time.perf_counter() - began < 2
+
+
 def test_html_never_fails():
     rng = np.random.default_rng(0)
     bits = ["<p>", "</p>", "<div class=ad>", "</div>", "<![", "<!", "<!--", "-->", "]]>", "<?", "&", "&#x", ";", "<", ">", "text ", "<article>", "</article>", "<script>", "</script>", "<b", '"', "=", "é"]

@@ -9,8 +9,8 @@ from sigstrata.llm.common import discard, materialize, scratch, table, tokenizer
 
 #: Token shares of the mix, and its tokens as a multiple of those at hand: with these a document that is mostly of the
 #: domain that is short of its share is not thinned.
-MIX = {"good": 0.90, "poor": 0.06, "toxic": 0.04}
-BUDGET = 1.25
+MIX = {"good": 0.86, "poor": 0.10, "toxic": 0.04}
+BUDGET = 1.2
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

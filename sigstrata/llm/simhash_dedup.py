@@ -16,9 +16,11 @@ forests' union are those of all links.
 `keep_one` is near-duplicate removal for corpora: texts are linked if the Jaccard similarity of their sets of 5-word
 shingles is 4/5 or more, which 64-bit fingerprints alone can't tell. Sets share a shard if one of BANDS groups of
 ROWS minima of linear permutations is equal (a pair at similarity 0.8 is missed with chance 5e-5); a BK-tree over
-the shard's fingerprints leaves candidates within WIDE bits (a pair at 0.8 is missed with chance 3e-5); each
-candidate is then verified on the sets themselves. In a shard all sets meet its smallest first; only sets that are
-still in different components meet after that, so that a large group of near copies costs its size and not its square.
+the shard's fingerprints leaves candidates within WIDE bits (missed with chance 3e-5), of which sketches of SKETCH nibbles
+of minima leave those that can be similar (missed with chance 1e-5); each is then verified on the sets themselves. That goes
+in three rounds, each between sets that the last left in different components: in a shard all sets meet its smallest;
+a spanning forest of pairs whose sketches are nearly alike; all other candidates. The commonest component of a shard
+does not ask. So a large group of near copies costs about its size and not its square.
 
 Null text counts as empty; a text without words has fingerprint zero (or the empty set) and links like any other. Rows
 with a null doc_id count, but a component's id is its smallest non-null doc_id (null if there is none). Repeated
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigstrata.llm.common import components, discard, map_texts, materialize, row, union
+from sigstrata.llm.common import components, discard, find, map_texts, materialize, row, union
 
 RADIUS = 4
 WORDS = 4
@@ -45,9 +47,11 @@ SEED = 42
 SHARD, DEPTH = 2048, 3
 #: Near-duplicates by verified similarity: words of a shingle, groups of minima and minima in each, and bits.
 SET_WORDS, BANDS, ROWS, WIDE = 5, 25, 5, 22
+#: Nibbles of minima in a sketch, and how many agree in pairs that are likely or can be similar (0.8125 at 0.8).
+SKETCH, LIKELY, POSSIBLE = 1024, 840, 778
 _rng = np.random.default_rng(SEED)
-FACTORS = _rng.integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-OFFSETS = _rng.integers(0, 2**64, (BANDS * ROWS, 1), dtype=np.uint64)
+FACTORS = _rng.integers(0, 2**63, (SKETCH, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+OFFSETS = _rng.integers(0, 2**64, (SKETCH, 1), dtype=np.uint64)
 
 
 def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
@@ -96,7 +100,7 @@ def bands(bits: Sequence[int], n: int) -> list[list[int]]:
 
 class Forest:
     """BK-trees of several shards side by side: group[i] is the shard of fps[i], and groups are contiguous, their
-    members (which form the tree; the others only ask) first.
+    members (which form the tree; what is no member only asks) first.
 
     The first of a group is its root; the others at distance d from it form the subtree behind edge d,
     whose root is their first, and so on. That is the tree that inserting them in order gives.
@@ -145,25 +149,41 @@ class Forest:
             node = self.children[np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(q))]
 
 
-def near(fps: np.ndarray, group: np.ndarray, member: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places in shards within the radius, each once."""
-    forest = Forest(fps, group, member)
-    for at in range(0, len(fps), 512):  # bounds the frontier
-        yield from forest.within(np.arange(at, min(at + 512, len(fps))), radius)
+#: Part of a row in its shard.
+HELD, BOTH, ASKS = 0, 1, 2
 
 
-def shard_links(fps: np.ndarray, group: np.ndarray, member: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (fp, fp of its root) of links within shards."""
-    parent = np.arange(len(fps))
-    for a, b in near(fps, group, member, radius):
-        union(parent, a, b)
+def near(fps: np.ndarray, group: np.ndarray, part: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (asking, held) of places in shards within the radius, each once. Rows of a shard come in the order of their parts."""
+    forest = Forest(fps, group, part < ASKS)
+    asking = np.flatnonzero(part > HELD)
+    for at in range(0, len(asking), 512):  # bounds the frontier
+        yield from forest.within(asking[at : at + 512], radius)
+
+
+def roots(parent: np.ndarray) -> np.ndarray:
     low = parent[parent]
     while (low != parent).any():
         parent, low = low, low[low]
+    return parent
+
+
+def shard_links(fps: np.ndarray, group: np.ndarray, part: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (fp, fp of its root) of links within shards."""
+    parent = np.arange(len(fps))
+    for a, b in near(fps, group, part, radius):
+        union(parent, a, b)
+    parent = roots(parent)
     linked = np.flatnonzero(parent != np.arange(len(fps)))
     return fps[linked], fps[parent[linked]]
 
 
+def _columns(column: pa.Array) -> np.ndarray:
+    """A column of numbers, or of lists of the same length, as columns of whole numbers."""
+    flat = column.flatten() if pa.types.is_list(column.type) else column
+    return flat.to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), -1)
+
+
 def by_shard(keys: int, made: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]):
     """A function of batches whose first `keys` columns name a shard and come sorted: made gives edges of whole shards.
 
@@ -178,9 +198,9 @@ def by_shard(keys: int, made: Callable[[np.ndarray], tuple[np.ndarray, np.ndarra
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-            if not len(rows):
+            if not batch.num_rows:
                 continue
+            rows = np.concatenate([_columns(c) for c in batch.columns], axis=1)
             last = (rows[:, :keys] == rows[-1, :keys]).all(axis=1)
             if last.all() and held and (held[-1][-1, :keys] == rows[-1, :keys]).all():
                 held.append(rows)
@@ -199,20 +219,23 @@ def shard_numbers(rows: np.ndarray, keys: int) -> np.ndarray:
 
 
 def _forests(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """rows: path, value, block, asks, fp."""
-    return shard_links(rows[:, 4].view(np.uint64), shard_numbers(rows, 3), rows[:, 3] == 0)
+    """rows: path, value, block, part, fp."""
+    return shard_links(rows[:, 4].view(np.uint64), shard_numbers(rows, 3), rows[:, 3])
 
 
 def in_blocks(rows: DataFrame, hot: DataFrame, keys: list[str], by: str, most: int) -> DataFrame:
-    """rows of the keys in hot (with their count), dealt to blocks of about `most` by a hash of `by`: columns block and asks.
+    """rows (with a part, HELD or BOTH) of the keys in hot (with their count), dealt to blocks of about `most` by a hash of `by`.
 
-    Block i * n + j, i <= j, holds the parts i and j of n; part i forms its tree, and part j asks it.
+    Block i * n + j holds the parts i and j of n: those of i form its tree, those of j that ask do so.
     """
     n = F.ceil(F.col("count") / most)
     dealt = rows.join(hot, keys).withColumn("of", n).withColumn("home", F.pmod(F.xxhash64(F.col(by), F.lit(1)), F.col("of")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
-    block = F.least("home", "other") * F.col("of") + F.greatest("home", "other")
-    return dealt.withColumn("block", block).withColumn("asks", (F.col("other") < F.col("home")).cast("int")).drop("of", "home", "other", "count")
+    held = F.struct((F.col("home") * F.col("of") + F.col("other")).alias("block"), F.when(F.col("home") == F.col("other"), F.col("part")).otherwise(HELD).alias("part"))
+    asks = F.struct((F.col("other") * F.col("of") + F.col("home")).alias("block"), F.lit(ASKS).alias("part"))
+    both = F.when((F.col("home") != F.col("other")) & (F.col("part") == BOTH), F.array(held, asks)).otherwise(F.array(held))
+    dealt = dealt.withColumn("dealt", F.explode(both)).drop("part", "of", "home", "other", "count")
+    return dealt.withColumn("block", F.col("dealt.block")).withColumn("part", F.col("dealt.part")).drop("dealt")
 
 
 def link_forest(distinct: DataFrame, radius: int = RADIUS, most: int = SHARD, depth: int = DEPTH) -> DataFrame:
@@ -232,21 +255,21 @@ def link_forest(distinct: DataFrame, radius: int = RADIUS, most: int = SHARD, de
         hot = materialize(rows.groupBy("path", "value").count().where(F.col("count") > most))
         made.append(hot)
         level_rows = rows.withColumn("path", F.col("path") + sum(n**i for i in range(1, level)))
-        cold = lambda df: df.select("path", "value", F.lit(0).cast("long").alias("block"), F.lit(0).alias("asks"), "fp")
+        cold = lambda df: df.select("path", "value", F.lit(0).cast("long").alias("block"), F.lit(BOTH).alias("part"), "fp")
         if hot.isEmpty():
             done.append(cold(level_rows))
             break
         keys = hot.select((F.col("path") + sum(n**i for i in range(1, level))).alias("path"), "value", "count")
         done.append(cold(level_rows.join(keys, ["path", "value"], "left_anti")))
         if level == depth:
-            done.append(in_blocks(level_rows, keys, ["path", "value"], "fp", most).select("path", "value", "block", "asks", "fp"))
+            done.append(in_blocks(level_rows.withColumn("part", F.lit(BOTH)), keys, ["path", "value"], "fp", most).select("path", "value", "block", "part", "fp"))
         else:
             rows = materialize(rows.join(hot, ["path", "value"], "left_semi"))
             made.append(rows)
     every = done[0]
     for x in done[1:]:
         every = every.unionByName(x)
-    dealt = every.repartition("path", "value", "block").sortWithinPartitions("path", "value", "block", "asks", "fp")
+    dealt = every.repartition("path", "value", "block").sortWithinPartitions("path", "value", "block", "part", "fp")
     links = materialize(dealt.mapInArrow(by_shard(3, _forests), "a long, b long"))
     for x in made:
         discard(x)
@@ -295,21 +318,44 @@ def set_key(hashes: np.ndarray) -> int:
     return _signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
 
 
-def buckets(hashes: np.ndarray) -> np.ndarray:
-    """A key for each group of minima; none for the empty set."""
+def minima(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The least of each of the first n permutations of a set."""
+    low = np.full(n, 2**64 - 1, dtype=np.uint64)
+    step = (1 << 19) // n  # bounded memory for very long texts
+    for at in range(0, len(hashes), step):
+        low = np.minimum(low, (FACTORS[:n] * hashes[at : at + step] + OFFSETS[:n]).min(axis=1))
+    return low
+
+
+def _signatures(texts: list) -> list:
+    """The set's key, its size, a key for each group of minima (none for the empty set), its fingerprint."""
     import xxhash
 
-    if not len(hashes):
-        return np.zeros(0, dtype=np.int64)
-    low = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
-    for at in range(0, len(hashes), 4096):  # bounded memory for very long texts
-        low = np.minimum(low, (FACTORS * hashes[at : at + 4096] + OFFSETS).min(axis=1))
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(low.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
+    out: tuple[list, ...] = ([], [], [], [])
+    for t in texts:
+        s = shingle_set(t)
+        low = minima(s, BANDS * ROWS).reshape(BANDS, ROWS)
+        keys = [_signed(xxhash.xxh64_intdigest(x.tobytes(), i)) for i, x in enumerate(low)] if len(s) else []
+        for column, value in zip(out, (set_key(s), len(s), keys, _signed(majority(iter([s])))), strict=True):
+            column.append(value)
+    return list(out)
 
 
-def _signatures(texts: list) -> list:
-    sets = [shingle_set(t) for t in texts]
-    return [[set_key(s) for s in sets], [len(s) for s in sets], [buckets(s) for s in sets], [_signed(majority(iter([s]))) for s in sets]]
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The last four bits of each permutation's least, as words."""
+    nibbles = (minima(hashes, SKETCH) & np.uint64(15)).astype(np.uint8)
+    return (nibbles[::2] << 4 | nibbles[1::2]).view("<i8")
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """(key, sketch) of (key, members)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [sketch(b.column(1)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)) for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, type=pa.list_(pa.int64()))], names=["key", "sketch"])
+
+    return sets.select("key", "members").mapInArrow(run, "key long, sketch array<long>")
 
 
 def _sets(texts: list) -> list:
@@ -328,14 +374,50 @@ def alike(sizes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
 
 
-def _candidates(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """rows: bucket, block, asks, sim, fp, n, label. Candidates of different labels."""
-    out_a, out_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    for a, b in near(rows[:, 3].view(np.uint64), shard_numbers(rows, 2), rows[:, 2] == 0, WIDE):
-        good = (rows[a, 6] != rows[b, 6]) & alike((rows[a, 5], rows[b, 5]))
-        out_a.append(rows[a[good], 4])
-        out_b.append(rows[b[good], 4])
-    return np.concatenate(out_a), np.concatenate(out_b)
+#: Columns of a row in a shard of sets, before those of its sketch.
+SET_ROW = ("bucket", "block", "part", "sim", "fp", "n", "label")
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many nibbles of sketches agree."""
+    x = a.view(np.uint8) ^ b.view(np.uint8)
+    return ((x & 15) == 0).sum(axis=1) + (x < 16).sum(axis=1)
+
+
+def set_pairs(least: int, forest: bool):
+    """Candidates (fp, fp) of shards of sets of different labels whose sketches agree in `least` nibbles; of a forest,
+    those that join labels."""
+
+    def run(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = len(SET_ROW)
+        fp, n, label, sketch = rows[:, 4], rows[:, 5], rows[:, 6], np.ascontiguousarray(rows[:, k:])
+        known, place = np.unique(label, return_inverse=True)
+        parent, out_a, out_b = np.arange(len(known)), [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for a, b in near(rows[:, 3].view(np.uint64), shard_numbers(rows, 2), rows[:, 2], WIDE):
+            good = (label[a] != label[b]) & alike((n[a], n[b]))
+            a, b = a[good], b[good]
+            for at in range(0, len(a), 1 << 14):
+                p, q = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
+                good = agreeing(sketch[p], sketch[q]) >= least
+                p, q = p[good], q[good]
+                if forest and len(p):
+                    # one pair for each two labels that are not yet joined: fewer than labels, as each joins some
+                    while len(p):
+                        x, y = find(parent, place[p]), find(parent, place[q])
+                        apart = x != y
+                        p, q, x, y = p[apart], q[apart], x[apart], y[apart]
+                        if not len(p):
+                            break
+                        first = np.unique(np.maximum(x, y), return_index=True)[1]
+                        out_a.append(fp[p[first]])
+                        out_b.append(fp[q[first]])
+                        union(parent, x[first], y[first])
+                elif len(p):
+                    out_a.append(fp[p])
+                    out_b.append(fp[q])
+        return np.concatenate(out_a), np.concatenate(out_b)
+
+    return run
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -347,16 +429,38 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(9 * both >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
+def meeting(met: DataFrame, labels: DataFrame, drawn: DataFrame, least: int, forest: bool, most: int) -> DataFrame:
+    """Candidates (a, b) in shards (bucket, fp) whose sets have different labels: see set_pairs. drawn: (fp, n, sim, sketch)."""
+    now = met.join(labels, met["fp"] == labels["id"], "left").select("bucket", met["fp"], F.coalesce("label", "fp").alias("label"))
+    now = materialize(now)
+    each = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("rows"))
+    # the commonest label of a bucket, which does not ask, and the bucket's rows
+    apart = each.groupBy("bucket").agg(F.max(F.struct("rows", "label")).alias("top"), F.count(F.lit(1)).alias("labels"), F.sum("rows").alias("count"))
+    apart = materialize(apart.where("labels > 1").select("bucket", F.col("top.label").alias("common"), "count"))
+    rows = now.join(apart.select("bucket", "common"), "bucket").withColumn("part", F.when(F.col("label") == F.col("common"), HELD).otherwise(BOTH)).drop("common")
+    few = rows.join(apart.where(F.col("count") <= most).select("bucket"), "bucket", "left_semi").withColumn("block", F.lit(0).cast("long"))
+    hot = apart.where(F.col("count") > most).select("bucket", "count")
+    names = ["bucket", "block", "part", "fp", "label"]
+    dealt = few.select(*names).unionByName(in_blocks(rows, hot, ["bucket"], "fp", most).select(*names))
+    dealt = dealt.join(drawn, "fp").select(*SET_ROW, "sketch")
+    dealt = dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "part", "sim", "fp")
+    pairs = dealt.mapInArrow(by_shard(2, set_pairs(least, forest)), "a long, b long")
+    pairs = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    discard(now)
+    discard(apart)
+    return pairs
+
+
 def similar_links(docs: DataFrame, signed: DataFrame, distinct: DataFrame, most: int = SHARD) -> DataFrame:
     """Verified links (a, b) between set keys, whose components are those of all links found.
 
     docs: (id, h, text); signed: SIGNATURE of each row; distinct: each key as fp, and its smallest (none, id, h) as rep.
     """
-    one = materialize(signed.groupBy("fp").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("sim").alias("sim")))
-    rows = one.select("fp", "n", "sim", F.explode("buckets").alias("bucket"))
+    one = materialize(signed.groupBy("fp").agg(*[F.first(f.name).alias(f.name) for f in SIGNATURE[1:]]))
+    rows = one.select("fp", F.explode("buckets").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1")
     shared = shared.select(F.col("bucket").alias("of"), "low")
-    met = materialize(rows.join(shared.hint("merge"), F.col("bucket") == F.col("of")).select("bucket", "fp", "n", "sim", "low"))
+    met = materialize(rows.join(shared.hint("merge"), F.col("bucket") == F.col("of")).select("bucket", "fp", "low"))
 
     need = met.select(F.col("fp").alias("need")).distinct().join(distinct, F.col("need") == F.col("fp")).select("rep.id", "rep.h")
     need = materialize(need.select(F.col("id").alias("need_id"), F.col("h").alias("need_h")))
@@ -364,28 +468,22 @@ def similar_links(docs: DataFrame, signed: DataFrame, distinct: DataFrame, most:
     fields = [T.StructField("key", T.LongType()), T.StructField("members", T.ArrayType(T.LongType()))]
     sets = materialize(map_texts(texts, _sets, fields, keep=[]).groupBy("key").agg(F.first("members").alias("members")))  # repeated rows give a set again
 
-    lows = met.select(F.col("fp").alias("b"), F.col("n").alias("n2")).distinct()
-    first = met.where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"), "n").distinct()
-    first = materialize(first.join(lows, "b").where("5 * least(n, n2) >= 4 * greatest(n, n2)").select("a", "b"))
+    size = one.select(F.col("fp").alias("of"), "n")
+    first = met.where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
+    first = first.join(size, F.col("a") == F.col("of")).select("a", "b", F.col("n").alias("n2"))
+    first = first.join(size, F.col("b") == F.col("of")).where("5 * least(n, n2) >= 4 * greatest(n, n2)").select("a", "b")
     links = materialize(verified(first, sets))
-
-    labels = materialize(components(links))
-    now = met.join(labels, met["fp"] == labels["id"], "left").select("bucket", "sim", "fp", "n", F.coalesce("label", "fp").alias("label"))
-    now = materialize(now)
-    apart = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("count")).where("x <> y").select("bucket", "count")
-    apart = materialize(apart)
-    hot = apart.where(F.col("count") > most)
-    names = ["bucket", "block", "asks", "sim", "fp", "n", "label"]
-    few = now.join(apart.where(F.col("count") <= most), "bucket", "left_semi").withColumn("block", F.lit(0).cast("long")).withColumn("asks", F.lit(0))
-    dealt = few.select(*names).unionByName(in_blocks(now, hot, ["bucket"], "fp", most).select(*names))
-    dealt = dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "asks", "sim", "fp")
-    pairs = dealt.mapInArrow(by_shard(2, _candidates), "a long, b long")
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = materialize(pairs.join(first, ["a", "b"], "left_anti"))
-    more = materialize(verified(pairs, sets).unionByName(links))
-    for x in (one, met, need, sets, first, links, labels, now, apart, pairs):
+    drawn = materialize(sketches(sets).join(one.select(F.col("fp").alias("key"), "n", "sim"), "key").withColumnRenamed("key", "fp"))
+    for least, forest in ((LIKELY, True), (POSSIBLE, False)):
+        labels = materialize(components(links))
+        pairs = meeting(met, labels, drawn, least, forest, most)
+        more = materialize(verified(pairs, sets).unionByName(links))
+        for x in (labels, pairs, links):
+            discard(x)
+        links = more
+    for x in (one, met, need, sets, drawn):
         discard(x)
-    return more
+    return links
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

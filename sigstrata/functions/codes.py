@@ -56,6 +56,11 @@ def from_wide_code(c: Column) -> Column:
     return F.when(c < 0, -size).otherwise(size).cast("float")
 
 
+def from_code(encoding: Column, c: Column) -> Column:
+    """The value of a code by its encoding, "unit" or "wide"; null for another."""
+    return F.when(encoding == "unit", from_unit_code(c)).when(encoding == "wide", from_wide_code(c))
+
+
 def divisions(rate: Column, peaks_per_second: Column) -> Column:
     """array(fine, mid, coarse): the densest whole division, then nested ones of at most 20 and 1 records a second."""
     r = F.greatest(rate.cast("long"), F.lit(1))
@@ -121,7 +126,9 @@ def u32_at(content: Column, offset: Column) -> Column:
 
 
 def pack12(bins: Column) -> Column:
-    """Hex of 12-bit pairs: high byte of the first, both low nibbles, high byte of the second."""
+    """Hex of 12-bit pairs: high byte of the first, both low nibbles, high byte of the second. A code of more bits is refused."""
+    far = F.exists(bins, lambda x: (x < 0) | (x > 4095))
+    bins = F.when(far, F.raise_error(F.lit("a code has more than 12 bits")).cast("array<int>")).otherwise(bins)
     pair = lambda i: F.concat(
         F.lpad(F.hex(F.shiftright(F.element_at(bins, 2 * i + 1), 4)), 2, "0"),
         F.lpad(F.hex(F.element_at(bins, 2 * i + 1).bitwiseAND(15) * 16 + F.element_at(bins, 2 * i + 2).bitwiseAND(15)), 2, "0"),
@@ -144,6 +151,14 @@ def unpack12(text: Column) -> Column:
     return F.flatten(pairs)
 
 
+def bin_code(frame: Column, i: int) -> Column:
+    """One 12-bit number of a packed binary frame."""
+    byte = lambda k: F.conv(F.hex(F.substring(frame, i // 2 * 3 + k, 1)), 16, 10).cast("int")
+    if i % 2 == 0:
+        return byte(1) * 16 + F.shiftright(byte(2), 4)
+    return byte(3) * 16 + byte(2).bitwiseAND(15)
+
+
 #: Fixed values of the display: colours of silence and of loudness bands (threshold, red, green, blue).
 NEUTRAL, FADED = (0.43, 0.92, 0.67), (0.58, 0.58, 0.58)
 QUIET = (0.18, 0.48, 0.32)

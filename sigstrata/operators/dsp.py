@@ -1,19 +1,23 @@
 """Frequency analysis and filters: what built-in expressions cannot say, in numpy over Arrow groups.
 
 A spectrogram's windows are independent: stretches of records, each with the samples its windows reach, are
-groups. Filters and the phase-following spectral analysis are recurrences: a channel is one group.
+groups. Filters and the phase-following spectral analysis are recurrences: a lane's samples go in the order of frames
+through an object that keeps the state, batch by batch, so that a task holds no more than a batch of a lane.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigstrata.operators.rollups import spectrogram_shift
+from sigstrata.sources.signals import lanes, lengths
 
 ANALYSIS_RATE = 22050.0
 N = 1024
@@ -58,25 +62,45 @@ def spectrogram_frames(x: np.ndarray, first: int, starts: np.ndarray) -> np.ndar
     return power_codes(spectrum.real**2 + spectrum.imag**2)
 
 
-def spectrogram_base(samples: DataFrame, frames: int, division: int, stretch: int = 512) -> DataFrame:
-    """(channel, record, bin, code) of all base windows. v is float, or 16-bit scaled by 1/32768."""
-    shift = spectrogram_shift(division)
-    count = 0 if frames < shift + 256 else 1 + (frames - shift - 256) // division
-    scale = 1.0 / 32768.0 if dict(samples.dtypes)["v"] == "smallint" else 1.0
+def scale_of(samples: DataFrame) -> float:
+    """16-bit samples count as fractions of full scale."""
+    return 1.0 / 32768.0 if dict(samples.dtypes)["v"] == "smallint" else 1.0
+
+
+def lane_types(samples: DataFrame) -> str:
+    return ", ".join(f"{c} {dict(samples.dtypes)[c]}" for c in lanes(samples))
+
+
+def spectrogram_base(samples: DataFrame, division: int, stretch: int = 512) -> DataFrame:
+    """(lane, record, bin, code) of all base windows. v is float, or 16-bit scaled by 1/32768."""
+    shift, scale, keys = spectrogram_shift(division), scale_of(samples), lanes(samples)
     # the stretches whose windows may reach a frame; first and last differ by one at most
     lo = F.greatest(F.floor((F.floor((F.col("frame") - shift - 255) / division)) / stretch), F.lit(0))
     hi = F.greatest(F.floor(F.floor((F.col("frame") - shift) / division) / stretch), F.lit(0))
-    dealt = samples.select("channel", "frame", F.col("v").cast("float").alias("v"), F.explode(F.sequence(lo, hi)).alias("part"))
+    dealt = samples.select(*keys, "frame", F.col("v").cast("float").alias("v"), F.explode(F.sequence(lo, hi)).alias("part"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
-        part, first = int(pdf["part"].iloc[0]), int(pdf["frame"].iloc[0])
-        records = np.arange(part * stretch, min((part + 1) * stretch, count))
+        part, first, last = int(pdf["part"].iloc[0]), int(pdf["frame"].iloc[0]), int(pdf["frame"].iloc[-1])
+        records = np.arange(part * stretch, (part + 1) * stretch)
+        # a window must end within the track; a stretch has all frames that its windows reach, where there are any
+        records = records[records * division + shift + 256 <= last + 1]
         codes = spectrogram_frames(pdf["v"].to_numpy(np.float32) * np.float32(scale), first, records * division + shift)
         r, b = np.divmod(np.arange(codes.size), 128)
-        return pd.DataFrame({"channel": pdf["channel"].iloc[0], "record": records[r], "bin": b, "code": codes.ravel()})
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "record": records[r], "bin": b, "code": codes.ravel()})
+
+    return dealt.groupBy(*keys, "part").applyInPandas(run, f"{lane_types(samples)}, record long, bin int, code int")
 
-    return dealt.groupBy("channel", "part").applyInPandas(run, "channel int, record long, bin int, code int")
+
+def product(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Coefficients of the product of two polynomials, each summed from the first of p on: the order shows in the last digit."""
+    out = []
+    for n in range(len(p) + len(q) - 1):
+        total = 0.0
+        for i in range(max(0, n - len(q) + 1), min(n, len(p) - 1) + 1):
+            total += float(p[i]) * float(q[n - i])
+        out.append(total)
+    return np.array(out)
 
 
 def k_weighting(rate: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +118,7 @@ def k_weighting(rate: int) -> tuple[np.ndarray, np.ndarray]:
     vh = 10 ** (gain / 20)
     vb = vh**power
     num = np.array([(vh + vb * k / q + k * k) / a0, 2 * (k * k - vh) / a0, (vh - vb * k / q + k * k) / a0])
-    return np.convolve(num, [1.0, -2.0, 1.0]), np.convolve(shelf, section(*HIGH_PASS)[2])
+    return product(num, np.array([1.0, -2.0, 1.0])), product(shelf, section(*HIGH_PASS)[2])
 
 
 def k_filter_from(x: np.ndarray, rate: int, state: tuple[float, float, float, float]) -> tuple[np.ndarray, tuple[float, float, float, float]]:
@@ -105,7 +129,7 @@ def k_filter_from(x: np.ndarray, rate: int, state: tuple[float, float, float, fl
     s1, s2, s3, s4 = state
     out = np.empty(len(x))
     for i, v in enumerate(x.tolist()):
-        v -= a1 * s1 + a2 * s2 + a3 * s3 + a4 * s4
+        v = v - a1 * s1 - a2 * s2 - a3 * s3 - a4 * s4  # in this order: long tails show the last digit
         out[i] = b0 * v + b1 * s1 + b2 * s2 + b3 * s3 + b4 * s4
         s4, s3, s2, s1 = s3, s2, s1, v
     return out, (s1, s2, s3, s4)
@@ -115,15 +139,62 @@ def k_filter(x: np.ndarray, rate: int) -> np.ndarray:
     return k_filter_from(x, rate, (0.0, 0.0, 0.0, 0.0))[0]
 
 
+class KFilter:
+    """The K-weighting of a lane whose samples come in pieces."""
+
+    def __init__(self, rate: int):
+        self.rate, self.state = rate, (0.0, 0.0, 0.0, 0.0)
+
+    def push(self, x: np.ndarray) -> np.ndarray:
+        y, self.state = k_filter_from(x, self.rate, self.state)
+        return y.reshape(-1, 1)
+
+
+def through(samples: DataFrame, start: Callable[[], object], columns: str, number: str = "record") -> DataFrame:
+    """(lane, number, columns): what an object's push gives for a lane's samples, in the order of frames, numbered from 0.
+
+    start() makes the object of a lane; its push takes a piece of samples and gives rows of numbers (or a tuple of
+    columns). Lanes are dealt to tasks and their rows sorted, which spills; a task holds one batch and one state.
+    """
+    keys, scale = lanes(samples), scale_of(samples)
+    names = [c.split()[0] for c in columns.split(", ")]
+    types = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+    kinds = [types[c.split()[1]] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, meter, done = None, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lane = [batch.column(i).dictionary_encode() for i in range(len(keys))]
+            ids = np.stack([x.indices.to_numpy() for x in lane])
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(ids, axis=1) != 0).any(axis=0)) + 1, [batch.num_rows]])
+            v = batch.column(len(keys)).to_numpy(zero_copy_only=False).astype(np.float64) * scale
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                key = tuple(batch.column(i)[a].as_py() for i in range(len(keys)))
+                if key != now:
+                    now, meter, done = key, start(), 0
+                made = meter.push(v[a:b])
+                made = np.stack(made, axis=1) if isinstance(made, tuple) else made
+                if not len(made):
+                    continue
+                ahead = [pa.array([k] * len(made), type=batch.schema.field(i).type) for i, k in enumerate(now)]
+                body = [pa.array(np.ascontiguousarray(made[:, i])).cast(t, safe=False) for i, t in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*ahead, pa.array(np.arange(done, done + len(made))), *body], names=[*keys, number, *names])
+                done += len(made)
+
+    dealt = samples.select(*keys, F.col("v").cast("double").alias("v"), "frame").repartition(*keys).sortWithinPartitions(*keys, "frame")
+    return dealt.drop("frame").mapInArrow(run, f"{lane_types(samples)}, {number} long, {columns}")
+
+
 def k_weighted(samples: DataFrame, rate: int) -> DataFrame:
-    """(channel, frame, v double): each channel filtered in the order of its frames."""
-    scale = 1.0 / 32768.0 if dict(samples.dtypes)["v"] == "smallint" else 1.0
+    """(lane, frame, v double): each lane filtered in the order of its frames, which count from 0."""
+    return through(samples, lambda: KFilter(rate), "v double", "frame")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        return pdf.assign(v=k_filter(pdf["v"].to_numpy(np.float64) * scale, rate))
 
-    return samples.select("channel", "frame", F.col("v").cast("double").alias("v")).groupBy("channel").applyInPandas(run, "channel int, frame long, v double")
+def loudness(samples: DataFrame, rate: int) -> DataFrame:
+    """(lane, block, momentary, short_term) after each whole block, in the format's order of operations."""
+    return through(samples, lambda: LoudnessMeter(rate), "momentary double, short_term double", "block")
 
 
 class LowPass:
@@ -190,25 +261,35 @@ class SpectralAnalyzer:
         self.rest, self.first = x[drop:], self.first + drop
         return y
 
+    def stops(self, n: int, limit: int | None = None) -> list[tuple[int, int]]:
+        """(samples taken, samples since the record before) of each record that n more samples complete.
+
+        The phase grows by repeated addition, as the format's does; a record's stretch of it is one running sum.
+        """
+        out: list[tuple[int, int]] = []
+        at = 0
+        while at < n and (limit is None or len(out) < limit):
+            left = min(n - at, max(int(self.hop - self.phase), 0) + 2)
+            phases = np.cumsum(np.concatenate([[self.phase], np.ones(left)]))[1:]
+            hit = int(np.searchsorted(phases, self.hop))
+            taken = min(hit + 1, left)
+            at, self.elapsed, self.phase = at + taken, self.elapsed + taken, float(phases[taken - 1])
+            while self.phase >= self.hop and (limit is None or len(out) < limit):
+                out.append((at, self.elapsed))
+                self.elapsed = 0
+                self.phase -= self.hop
+        return out
+
     def push(self, x: np.ndarray, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(frequency_hz, density) of the records that x completes."""
         y = self.resampled(np.asarray(x, dtype=np.float64)).astype(np.float32)
         held = np.concatenate([self.ring, y])
-        out = []
-        for j in range(1, len(y) + 1):
-            self.phase += 1.0
-            self.elapsed += 1
-            while self.phase >= self.hop and (limit is None or len(out) < limit):
-                out.append(self._record(held[j : j + self.span]))
-                self.elapsed = 0
-                self.phase -= self.hop
-            if limit is not None and len(out) >= limit:
-                break
+        out = [self._record(held[j : j + self.span], elapsed) for j, elapsed in self.stops(len(y), limit)]
         self.ring = held[len(held) - self.span :]
         made = np.array(out, dtype=np.int64).reshape(-1, 2)
         return made[:, 0], made[:, 1]
 
-    def _record(self, part: np.ndarray) -> tuple[int, int]:
+    def _record(self, part: np.ndarray, elapsed: int) -> tuple[int, int]:
         product = (part * self.window).astype(np.float64)
         folded = np.zeros(N)
         for s in range(0, self.span, N):
@@ -224,12 +305,12 @@ class SpectralAnalyzer:
         if mags[top] <= mags[-1]:
             top = N // 2
         best = float(N // 2)
-        if top != N // 2 and self.elapsed:
+        if top != N // 2 and elapsed:
             old = complex(last[top])
-            turn = (math.atan2(spec[top].imag, spec[top].real) - math.atan2(old.imag, old.real)) / math.pi - 2.0 * (self.elapsed / N) * top
+            turn = (math.atan2(spec[top].imag, spec[top].real) - math.atan2(old.imag, old.real)) / math.pi - 2.0 * (elapsed / N) * top
             turn = math.fmod(turn, 2.0)
             turn += 2.0 if turn <= -1 else -2.0 if turn > 1 else 0.0
-            best = top + N / 2 / self.elapsed * turn
+            best = top + N / 2 / elapsed * turn
         spread = float((mags.astype(np.float32).astype(np.float64) * (np.arange(N // 2 + 1) - best) ** 2).sum())
         frequency = min(max(math.trunc(0.5 + best * ANALYSIS_RATE / N), 0), 32767)
         return frequency, min(max(math.trunc(0.5 + 16383.0 * (1 - 4 * spread / (total * 262144.0))), 0), 16383)
@@ -240,13 +321,25 @@ def spectral_peaks(x: np.ndarray, rate: int, division: int, limit: int | None =
     return SpectralAnalyzer(rate, division).push(x, limit)
 
 
+def analysis_count(frames: int, rate: int, division: int) -> int:
+    """Records of `frames` frames of the resampled signal, by the scheduler alone."""
+    if min(frames, rate, division) < 1:
+        return 0
+    return len(SpectralAnalyzer(rate, division).stops(frames))
+
+
 class LoudnessMeter:
-    """Momentary and short-term energy after each whole block of a channel whose samples come in pieces."""
+    """Momentary and short-term energy after each whole block of a lane whose samples come in pieces.
+
+    Energies are summed in the order of samples; a window's sum takes the new block in and the oldest out, in this order.
+    """
 
     def __init__(self, rate: int):
         self.rate, self.size = rate, max(1, rate // 40)
         self.state, self.rest = (0.0, 0.0, 0.0, 0.0), np.zeros(0)
-        self.ring = np.zeros(120)
+        self.rings = [[0.0] * 16, [0.0] * 120]
+        self.sums, self.blocks = [0.0, 0.0], 0
+        self.spans = 2 * rate // 5, 3 * rate
 
     def push(self, x: np.ndarray) -> np.ndarray:
         """(blocks, 2)."""
@@ -254,25 +347,37 @@ class LoudnessMeter:
         y = np.concatenate([self.rest, y])
         n = len(y) // self.size
         self.rest = y[n * self.size :]
-        energy = np.concatenate([self.ring, (y[: n * self.size].reshape(n, self.size) ** 2).sum(axis=1)])
-        self.ring = energy[len(energy) - 120 :]
-        return np.array([[energy[i + 105 : i + 121].sum() / (2 * self.rate // 5), energy[i + 1 : i + 121].sum() / (3 * self.rate)] for i in range(n)]).reshape(-1, 2)
-
-
-def spectral_fine(samples: DataFrame, rate: int, division: int, rule: str = "analysis", frames: int | None = None) -> DataFrame:
-    """(channel, record, frequency_hz, density). rule: "analysis" counts records of the resampled signal,
-    "source" caps them at (frames - 1024) / division; signals of at most 22,050 Hz give zero records by rule "analysis"."""
-    scale = 1.0 / 32768.0 if dict(samples.dtypes)["v"] == "smallint" else 1.0
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("frame")["v"].to_numpy(np.float64) * scale
-        if rule == "analysis" and rate <= ANALYSIS_RATE:
-            n = 0 if len(x) <= 512 else (len(x) - 512 + division // 2) // division
-            f = d = np.zeros(n, np.int64)
-        else:
-            f, d = spectral_peaks(x, rate, division, max(len(x) - N, 0) // division if rule == "source" else None)
-        return pd.DataFrame({"channel": pdf["channel"].iloc[0], "record": np.arange(len(f)), "frequency_hz": f, "density": d})
-
-    return samples.select("channel", "frame", F.col("v").cast("double").alias("v")).groupBy("channel").applyInPandas(
-        run, "channel int, record long, frequency_hz int, density int"
-    )
+        energies = np.cumsum(y[: n * self.size].reshape(n, self.size) ** 2, axis=1)[:, -1].tolist() if n else []
+        out = []
+        for e in energies:
+            for k, ring in enumerate(self.rings):
+                i = self.blocks % len(ring)
+                self.sums[k] = self.sums[k] + e - ring[i]
+                ring[i] = e
+            self.blocks += 1
+            out.append([s / span for s, span in zip(self.sums, self.spans, strict=True)])
+        return np.array(out).reshape(-1, 2)
+
+
+def spectral_fine(samples: DataFrame, rate: int, division: int, rule: str = "analysis", frames: DataFrame | None = None) -> DataFrame:
+    """(lane, record, frequency_hz, density). rule: "analysis" counts records of the resampled signal, "source" caps
+    them at (frames - 1024) / division; signals of at most 22,050 Hz give zero records by rule "analysis".
+
+    frames: the lengths of the tracks, where they are known.
+    """
+    frames = lengths(samples) if frames is None and (rule == "source" or rate <= ANALYSIS_RATE) else frames
+    keys = [c for c in lanes(samples) if c != "channel"]
+    if rule == "analysis" and rate <= ANALYSIS_RATE:
+        count = F.when(F.col("frames") > 512, F.floor((F.col("frames") - 512 + division // 2) / division)).otherwise(0)
+        some = frames.withColumn("n", count).where("n > 0 and channels > 0")
+        each = some.withColumn("channel", F.explode(F.sequence(F.lit(0), F.col("channels") - 1)))
+        zero = F.lit(0)
+        return each.select(*keys, F.col("channel").cast("int").alias("channel"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("record"), zero.alias("frequency_hz"), zero.alias("density"))
+    made = through(samples, lambda: SpectralAnalyzer(rate, division), "frequency_hz int, density int")
+    if rule != "source":
+        return made
+    most = F.floor(F.greatest(F.col("frames") - N, F.lit(0)) / division)
+    if keys:
+        return made.join(frames.select("track_id", "frames"), "track_id").where(F.col("record") < most).drop("frames")
+    only = frames.first()["frames"]
+    return made.where(F.col("record") < max(only - N, 0) // division)

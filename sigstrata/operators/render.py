@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sigstrata.functions import codes
 from sigstrata.operators.wave import TILE
+from sigstrata.sources.signals import lanes
 
 
 def _hex16(x: Column) -> Column:
@@ -18,16 +19,16 @@ def _hex16(x: Column) -> Column:
 def envelope_rows(peaks: DataFrame) -> DataFrame:
     """(channel, tile, rgba binary): a row of at most TILE pixels, red and green the maximum, blue and alpha the minimum."""
     pixel = F.struct("peak", F.concat(_hex16(F.col("max_code")), _hex16(F.col("min_code"))).alias("p"))
-    rows = peaks.groupBy("channel", F.floor(F.col("peak") / TILE).alias("tile")).agg(F.sort_array(F.collect_list(pixel)).alias("ps"))
-    return rows.select("channel", "tile", F.unhex(F.array_join(F.transform("ps", lambda x: x["p"]), "")).alias("rgba"))
+    rows = peaks.groupBy(*lanes(peaks), F.floor(F.col("peak") / TILE).alias("tile")).agg(F.sort_array(F.collect_list(pixel)).alias("ps"))
+    return rows.select(*[c for c in ("track_id", "channel") if c in rows.columns], "tile", F.unhex(F.array_join(F.transform("ps", lambda x: x["p"]), "")).alias("rgba"))
 
 
 def spectral_rows(records: DataFrame) -> DataFrame:
     """(channel, tile, rgba binary): packed spectral codes as at most TILE pixels, little-endian."""
     code = codes.pack_spectral(F.col("frequency_hz"), F.col("density"))
     word = F.concat(_hex16(code % 65536), _hex16(F.floor(code / 65536)))
-    rows = records.groupBy("channel", F.floor(F.col("record") / TILE).alias("tile")).agg(F.sort_array(F.collect_list(F.struct("record", word.alias("p")))).alias("ps"))
-    return rows.select("channel", "tile", F.unhex(F.array_join(F.transform("ps", lambda x: x["p"]), "")).alias("rgba"))
+    rows = records.groupBy(*lanes(records), F.floor(F.col("record") / TILE).alias("tile")).agg(F.sort_array(F.collect_list(F.struct("record", word.alias("p")))).alias("ps"))
+    return rows.select(*[c for c in ("track_id", "channel") if c in rows.columns], "tile", F.unhex(F.array_join(F.transform("ps", lambda x: x["p"]), "")).alias("rgba"))
 
 
 def bin_tiles(bins: DataFrame, frames: int) -> DataFrame:
@@ -44,7 +45,8 @@ def raster(columns: DataFrame, height: int, channels: int, full_scale: float = 1
     y = lambda c: F.round(center - decode(F.col(c)).cast("double") * scale).cast("int")
     clip = lambda v: F.greatest(F.least(v, F.lit(height - 1)), F.lit(0))
     a, b = y("max_code"), y("min_code")
-    return columns.select("x", F.explode(F.sequence(clip(F.least(a, b)), clip(F.greatest(a, b)))).alias("y")).distinct()
+    track = [c for c in lanes(columns) if c == "track_id"]
+    return columns.select(*track, "x", F.explode(F.sequence(clip(F.least(a, b)), clip(F.greatest(a, b)))).alias("y")).distinct()
 
 
 def draw_plans(windows: DataFrame, point_threshold: float = 3.0) -> DataFrame:

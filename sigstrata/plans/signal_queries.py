@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigstrata.functions import codes
-from sigstrata.operators import dsp, generate, render, rollups, wave
-from sigstrata.sources import cache, container
-from sigstrata.sources.signals import event_samples, pcm24, table, vector_samples
+from sigstrata.operators import catalog, dsp, generate, render, rollups, wave, windows
+from sigstrata.sources import cache, container, wav
+from sigstrata.sources.signals import byte_blocks, event_samples, lengths, pcm24, pcm24_whole, samples_of, table, vector_samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -345,7 +345,7 @@ WIN_SQL = f"{BLOCK_SQL}, w AS (SELECT channel, block, sum(energy) OVER (PARTITIO
 LOW_RATE = 4000
 
 
-def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def block_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.sliding(rollups.block_energy(vectors(spark, sf_dir)[0], LOW_RATE), LOW_RATE)
 
 
@@ -360,7 +360,7 @@ def block_energy(spark, sf_dir):
 
 @query(f"WITH {WIN_SQL} SELECT channel, block, round(momentary, 6) AS momentary, round(short_term, 6) AS short_term FROM w")
 def loudness_windows(spark, sf_dir):
-    return rounded(windows(spark, sf_dir))
+    return rounded(block_windows(spark, sf_dir))
 
 
 RECORD_SQL = f"{WIN_SQL}, n AS (SELECT count(*) * 64 AS n FROM embeddings), r AS (SELECT i AS record, least((i + 1) * 270, n) // 100 - 1 AS block FROM n, range(0, 1000000) t(i) WHERE i < (n + 269) // 270), l AS (SELECT 0 AS channel, record, coalesce(momentary, 0)::FLOAT AS momentary, coalesce(short_term, 0)::FLOAT AS short_term FROM r LEFT JOIN w USING (block))"
@@ -368,27 +368,56 @@ RECORD_SQL = f"{WIN_SQL}, n AS (SELECT count(*) * 64 AS n FROM embeddings), r AS
 
 @query(f"WITH {RECORD_SQL} SELECT channel, record, round(momentary::DOUBLE, 6) AS momentary, round(short_term::DOUBLE, 6) AS short_term FROM l")
 def loudness_records(spark, sf_dir):
-    return rounded(rollups.loudness_records(windows(spark, sf_dir), vectors(spark, sf_dir)[1], 270, LOW_RATE))
+    return rounded(rollups.loudness_records(block_windows(spark, sf_dir), vectors(spark, sf_dir)[1], 270, LOW_RATE))
 
 
 @query(f"WITH {RECORD_SQL} SELECT channel, record // 6 AS record, round(avg(momentary::DOUBLE), 6) AS momentary, round(avg(short_term::DOUBLE), 6) AS short_term FROM l GROUP BY 1, 2 HAVING count(*) = 6")
 def loudness_coarse(spark, sf_dir):
-    return rounded(rollups.loudness_coarse(rollups.loudness_records(windows(spark, sf_dir), vectors(spark, sf_dir)[1], 270, LOW_RATE), 6))
+    return rounded(rollups.loudness_coarse(rollups.loudness_records(block_windows(spark, sf_dir), vectors(spark, sf_dir)[1], 270, LOW_RATE), 6))
 
 
-# -- frequency analysis: no SQL; tests hold these against direct evaluation
+# -- frequency analysis: the phase-following analysis has no SQL, tests hold it against known codes
 
-@query()
+def window_sql(length: int, name: str) -> str:
+    """The window of a spectrogram, computed by its rule and written out."""
+    return "(VALUES " + ", ".join(f"({i}, {float(w)!r}::FLOAT)" for i, w in enumerate(dsp.window256(length))) + f") {name}(i, w)"
+
+
+def k_filter_sql(rate: int) -> str:
+    """The filter's recurrence over frames, in its order of operations."""
+    b, a = (c.tolist() for c in dsp.k_weighting(rate))
+    v = f"x - {a[1]!r}::DOUBLE * s1 - {a[2]!r}::DOUBLE * s2 - {a[3]!r}::DOUBLE * s3 - {a[4]!r}::DOUBLE * s4"
+    return f"""RECURSIVE l AS (SELECT frame, v / 32768.0::DOUBLE AS x FROM s),
+k AS (SELECT 0::BIGINT AS frame, 0.0::DOUBLE AS v, 0.0::DOUBLE AS s1, 0.0::DOUBLE AS s2, 0.0::DOUBLE AS s3, 0.0::DOUBLE AS s4
+UNION ALL SELECT frame + 1, {v}, s1, s2, s3, s4 FROM (SELECT k.frame, x, v AS s1, s1 AS s2, s2 AS s3, s3 AS s4 FROM k JOIN l ON l.frame = k.frame) q),
+y AS (SELECT frame - 1 AS frame, {b[0]!r}::DOUBLE * v + {b[1]!r}::DOUBLE * s1 + {b[2]!r}::DOUBLE * s2 + {b[3]!r}::DOUBLE * s3 + {b[4]!r}::DOUBLE * s4 AS y FROM k WHERE frame > 0)"""
+
+
+@query(f"""WITH {k_filter_sql(RATE16).replace('RECURSIVE ', 'RECURSIVE ' + EVENTS + ', ', 1)},
+e AS (SELECT frame // 1102 AS block, sum(y * y) AS energy FROM y GROUP BY 1 HAVING count(*) = 1102),
+w AS (SELECT block, sum(energy) OVER (ORDER BY block ROWS 15 PRECEDING) / 17640.0::DOUBLE AS momentary, sum(energy) OVER (ORDER BY block ROWS 119 PRECEDING) / 132300.0::DOUBLE AS short_term FROM e),
+n AS (SELECT count(*) AS n FROM events), r AS (SELECT unnest(range(0, (n + 2204) // 2205)) AS record, n FROM n), b AS (SELECT record, least((record + 1) * 2205, n) // 1102 - 1 AS block FROM r)
+SELECT 0 AS channel, record, round(coalesce(momentary, 0)::FLOAT::DOUBLE, 6) AS momentary, round(coalesce(short_term, 0)::FLOAT::DOUBLE, 6) AS short_term FROM b LEFT JOIN w USING (block)""")
 def kweighted_loudness(spark, sf_dir):
     s, n = events(spark, sf_dir)
-    blocks = rollups.block_energy(dsp.k_weighted(s, RATE16), RATE16)
-    return rollups.loudness_records(rollups.sliding(blocks, RATE16), n, FINE16[1], RATE16)
+    return rounded(rollups.loudness_records(dsp.loudness(s, RATE16), n, FINE16[1], RATE16))
 
 
-@query()
+BASE_SQL = f"""p AS (SELECT channel, frame, (v::FLOAT * 0.000030517578125::FLOAT)::FLOAT AS x FROM s), c AS (SELECT max(frame) + 1 AS frames FROM s),
+r AS (SELECT unnest(range(0, (frames - 202) // 147 + 1)) AS record FROM c),
+i AS (SELECT record, i, greatest(record * 147 - 54, 0) + i AS frame, CASE WHEN record = 0 THEN l.w ELSE f.w END AS w
+ FROM r, {window_sql(256, 'f')} LEFT JOIN {window_sql(202, 'l')} USING (i) WHERE i < 202 OR record > 0),
+x AS (SELECT record, channel, i, (x * w)::FLOAT::DOUBLE AS x FROM i JOIN p USING (frame)),
+t AS (SELECT m, cos(2 * pi() * m / 256) AS c, sin(2 * pi() * m / 256) AS s FROM range(0, 256) q(m)),
+z AS (SELECT x.*, k, (i * k) % 256 AS m FROM x, range(1, 129) b(k)),
+d AS (SELECT channel, record, k AS bin, 2 * sum(x * c) AS re, 2 * sum(x * s) AS im FROM z JOIN t USING (m) GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {EVENTS}, {BASE_SQL}
+SELECT channel, record, (bin - 1)::INTEGER AS bin, CASE WHEN re * re + im * im <= 0 THEN 0 WHEN re * re + im * im >= 1 THEN 4095
+ ELSE greatest(trunc(ln(re * re + im * im) * 88.92179516969081::DOUBLE + 4095.5::DOUBLE), 0) END::INTEGER AS code FROM d""")
 def spectrogram_base(spark, sf_dir):
-    s, n = events(spark, sf_dir)
-    return dsp.spectrogram_base(s, n, FINE16[0])
+    return dsp.spectrogram_base(events(spark, sf_dir)[0], FINE16[0])
 
 
 @query()
@@ -396,55 +425,118 @@ def spectral_fine(spark, sf_dir):
     return dsp.spectral_fine(events(spark, sf_dir)[0], RATE16, FINE16[0])
 
 
+ANALYSIS = [(f, r, d) for f in (0, 1, 471, 472, 552, 5000, 44100) for r, d in ((44100, 160), (88200, 320), (22050, 80), (44100, 4096))]
+
+
+@query(f"""SELECT frames, rate, division, greatest(floor((frames + CASE WHEN hop <= 1023 THEN (hop - 1024) / 2.0::DOUBLE ELSE 0 END) / hop), 0)::BIGINT AS n
+FROM (SELECT *, division * 22050 // rate AS hop FROM {values_sql(ANALYSIS, 'frames, rate, division')})""")
+def analysis_counts(spark, sf_dir):
+    return rows(spark, [(*x, dsp.analysis_count(*x)) for x in ANALYSIS], "frames int, rate int, division int, n long")
+
+
 # -- cache files and containers
 
 def cache_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cache for each event type: wave levels and a spectral level."""
+    """A cache of the events: wave levels and a spectral level of a record an event."""
     s, n = events(spark, sf_dir)
     made = wave.levels(s, FINE16, n, lambda p: wave.coded(p, codes.peak16))
     order = F.array_position(F.array(*[F.lit(d).cast("long") for d in FINE16]), F.col("division")).cast("int") - 1
     w = made.select(F.lit("events").alias("track_id"), order.alias("layer_ord"), F.lit("wave").alias("kind"), "division", F.col("peak").alias("record"), "channel", F.array(F.col("max_code").cast("double"), F.col("min_code").cast("double")).alias("values"))
-    g = dsp.spectral_fine(s, RATE16, FINE16[0]).select(F.lit("events").alias("track_id"), F.lit(3).alias("layer_ord"), F.lit("spectral").alias("kind"), F.lit(-115).cast("long").alias("division"), "record", "channel", F.array(F.col("frequency_hz").cast("double"), F.col("density").cast("double")).alias("values"))
+    g = spectral_records(spark, sf_dir).select(F.lit("events").alias("track_id"), F.lit(3).alias("layer_ord"), F.lit("spectral").alias("kind"), F.lit(-115).cast("long").alias("division"), "record", "channel", F.array(F.col("frequency_hz").cast("double"), F.col("density").cast("double")).alias("values"))
     return cache.encode_tracks(w.unionByName(g), "unit", 1, RATE16, (1, n))
 
 
-@query()
+LEVEL_COUNT = "CASE WHEN d = 147 OR n % 147 <> 0 THEN (n + d - 1) // d ELSE n // d END"
+LAYER_SQL = f"""n AS (SELECT count(*) AS n FROM events), l AS (SELECT k, 'wave' AS kind, d AS division, d AS mirror, {LEVEL_COUNT} AS c FROM n, (VALUES (0, 147), (1, 2205), (2, 44100)) t(k, d)
+UNION ALL SELECT 3, 'spectral', -115, 147, n FROM n)"""
+
+
+@query(f"""WITH {LAYER_SQL} SELECT 'events' AS track_id, k AS layer_ord, kind, division::BIGINT AS division, mirror::BIGINT AS mirrored_division, c::BIGINT AS record_count,
+(50 + coalesce(sum(c * 4) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS payload_offset, (c * 4)::BIGINT AS payload_len FROM l""")
 def cache_layer_index(spark, sf_dir):
     return cache.layer_index(cache_files(spark, sf_dir))
 
 
-@query()
+HEX16 = "printf('%02X%02X', ({x}::INTEGER + 65536) % 256, ({x}::INTEGER + 65536) // 256 % 256)"
+
+
+@query(f"""WITH {levels_sql(EVENTS, "(SELECT count(*) FROM events)", FINE16, PEAK16.format(x="hi"), PEAK16.format(x="lo"))[5:].replace("n AS (SELECT (SELECT count(*) FROM events) AS n)", "n AS (SELECT (SELECT count(*) FROM events) AS n), w AS (", 1)})
+SELECT 'events' AS track_id, CASE division WHEN 147 THEN 0 WHEN 2205 THEN 1 ELSE 2 END AS layer_ord,
+string_agg(CASE WHEN peak >= 2 AND peak < 12 THEN {HEX16.format(x="max_code")} || {HEX16.format(x="min_code")} ELSE '' END, '' ORDER BY peak) AS bytes FROM w GROUP BY division""")
 def cache_raw_range(spark, sf_dir):
-    files = cache_files(spark, sf_dir)
-    return cache.raw_range(files, cache.layer_index(files), "wave", 2, 5).select("track_id", "layer_ord", F.hex("bytes").alias("bytes"))
+    return cache.raw_range(cache_files(spark, sf_dir), "wave", 2, 10).select("track_id", "layer_ord", F.hex("bytes").alias("bytes"))
 
 
-@query()
+@query("SELECT 'events' AS track_id, 'unit' AS version, 1 AS channels, 4 AS layers, 44100::BIGINT AS sample_rate, 1::BIGINT AS mtime_low32, count(*)::BIGINT AS size_low32 FROM events")
 def cache_headers(spark, sf_dir):
     return cache_files(spark, sf_dir).select("track_id", *[c.alias(k) for k, c in cache.header(F.col("content")).items()])
 
 
+#: Files of one channel, by their hex: header up to the number of layers, rate and stamp, layer table, payload; and what is wrong.
+RATE_STAMP = "44AC0000" + "0100000002000000"
+BAD = [
+    ("sound", "52504B4E0101" + RATE_STAMP + "9300000001000000" + "01000200", None), ("empty", "52504B4C0100" + RATE_STAMP, None),
+    ("tail", "52504B4E0101" + RATE_STAMP + "9300000001000000" + "01000200" + "FFFF", None), ("short", "52504B4E0101", "truncated header"),
+    ("magic", "52504B5A0100" + RATE_STAMP, "unknown magic"), ("no channels", "52504B4E0000" + RATE_STAMP, "no channels"),
+    ("no rate", "52504B4E0100" + "00000000" + "0100000002000000", "no sample rate"), ("no table", "52504B4E0102" + RATE_STAMP + "9300000001000000", "truncated layer table"),
+    ("token", "52504B4E0101" + RATE_STAMP + "FEFFFFFF01000000" + "01000200", "unknown layer token"),
+    ("odd spectrogram", "52504B4E0101" + RATE_STAMP + "99FFFFFF32000000", "odd count of a spectrogram layer"),
+    ("odd loudness", "52504B4E0101" + RATE_STAMP + "8EFFFFFF03000000", "odd count of a loudness layer"),
+    ("early legacy", "52504B4E0102" + RATE_STAMP + "94FFFFFF00000000" + "9300000000000000", "legacy loudness layer before the last"),
+    ("no mirror", "52504B4E0101" + RATE_STAMP + "8DFFFFFF01000000" + "01000200", "layer without the wave layer it mirrors"),
+    ("cut", "52504B4E0101" + RATE_STAMP + "93000000E8030000" + "0100020001000200", "truncated payload"),
+    ("legacy version", "52504B4D0101" + RATE_STAMP + "9300000001000000" + "0100", None), ("legacy cut", "52504B4D0101" + RATE_STAMP + "9300000002000000" + "0100", "truncated payload"),
+]
+
+
+@query("SELECT track_id, error FROM (VALUES " + ", ".join(f"('{t}', {repr(e) if e else 'NULL'})" for t, _, e in BAD) + ") g(track_id, error)")
+def cache_errors(spark, sf_dir):
+    files = rows(spark, [(t, h) for t, h, _ in BAD], "track_id string, h string").select("track_id", F.unhex("h").alias("content"))
+    return cache.inspected(files).select("track_id", "error")
+
+
 FRESH_SQL = "f AS (SELECT event_id AS path, (event_id * 1000003) % 4294967296 AS size, event_id * 7 AS mtime FROM events), c AS (SELECT event_id AS path, (event_id * 1000003) % 4294967296 AS size, event_id * 7 + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS mtime, event_id % 11 <> 0 AS readable FROM events WHERE event_id % 3 <> 0)"
 
 
-@query(f"WITH {FRESH_SQL} SELECT f.path, coalesce(c.readable AND c.size = f.size AND c.mtime = f.mtime, false) AS fresh FROM f LEFT JOIN c ON f.path = c.path")
+@query(f"""WITH {FRESH_SQL} SELECT f.path, c.path IS NOT NULL AS exists, coalesce(c.readable, false) AS parseable, coalesce(c.readable AND c.size = f.size AND c.mtime = f.mtime, false) AS fresh,
+CASE WHEN c.path IS NULL THEN 'missing' WHEN NOT c.readable THEN 'unknown magic' WHEN c.size = f.size AND c.mtime = f.mtime THEN 'fresh' ELSE 'source metadata mismatch' END AS reason FROM f LEFT JOIN c ON f.path = c.path""")
 def cache_freshness(spark, sf_dir):
-    t = table(spark, sf_dir, "events")
-    size, mtime = codes.stamp32(F.col("event_id") * 1000003), F.col("event_id") * 7
-    files = t.select(F.col("event_id").alias("path"), size.alias("size"), mtime.alias("mtime"))
-    caches = t.where("event_id % 3 <> 0").select(F.col("event_id").alias("c_path"), size.alias("c_size"), (mtime + F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)).alias("c_mtime"), (F.col("event_id") % 11 != 0).alias("readable"))
-    j = files.join(caches, F.col("path") == F.col("c_path"), "left")
-    return j.select("path", F.coalesce(F.col("readable") & (F.col("c_size") == F.col("size")) & (F.col("c_mtime") == F.col("mtime")), F.lit(False)).alias("fresh"))
+    t, e = table(spark, sf_dir, "events"), F.col("event_id")
+    media = t.select(e.alias("path"), (e * 7).alias("mtime"), (e * 1000003).alias("size"))
+    late = F.when(e % 5 == 0, 1).otherwise(0)
+    caches = t.where("event_id % 3 <> 0").select(
+        e.alias("path"), codes.stamp32(e * 7 + late).alias("mtime_low32"), codes.stamp32(e * 1000003).alias("size_low32"), F.when(e % 11 == 0, "unknown magic").alias("error")
+    )
+    return catalog.freshness(media, caches)
+
+
+MEDIA_SQL = "m AS (SELECT '/media//a/./' || event_id || '.wav' AS path, event_id AS e FROM events), n AS (SELECT *, '/media/a/' || e || '.wav' AS norm FROM m)"
+
+
+def media(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Media files, and a map with entries of two in three, of which some have one path alone."""
+    t, e = table(spark, sf_dir, "events"), F.col("event_id")
+    read, write = F.concat(F.lit("/r/"), e.cast("string")), F.concat(F.lit("/w/"), e.cast("string"))
+    mapping = t.where("event_id % 3 <> 0").select(F.concat(F.lit("/media/a/"), e.cast("string"), F.lit(".wav")).alias("media"), F.when(e % 4 == 0, "").otherwise(read).alias("read"), F.when(e % 5 == 0, "").otherwise(write).alias("write"))
+    return t.select(F.concat(F.lit("/media//a/./"), e.cast("string"), F.lit(".wav")).alias("path")), mapping
+
 
+@query(f"WITH {MEDIA_SQL} SELECT path, CASE WHEN e % 3 = 0 THEN NULL WHEN e % 4 <> 0 THEN '/r/' || e WHEN e % 5 <> 0 THEN '/w/' || e END AS cache FROM n")
+def media_map(spark, sf_dir):
+    return catalog.mapped(*media(spark, sf_dir))
 
-@query("""WITH k AS (SELECT event_id, unnest(['mapped', 'sidecar', 'subdir', 'central']) AS place, unnest([0, 1, 2, 3]) AS prio FROM events),
-x AS (SELECT * FROM k WHERE (event_id * 31 + prio * 17) % 7 < 2)
-SELECT event_id, arg_min(place, prio) AS place FROM x GROUP BY 1""")
+
+@query(f"""WITH {MEDIA_SQL}, c AS (SELECT path, e, 0 AS prio, 'mapped' AS place, CASE WHEN e % 3 = 0 THEN NULL WHEN e % 4 <> 0 THEN '/r/' || e WHEN e % 5 <> 0 THEN '/w/' || e END AS cache FROM n
+UNION ALL SELECT path, e, 1, 'sidecar', norm || '.peaks' FROM n UNION ALL SELECT path, e, 3, 'subdir', '/media/a/peaks/' || e || '.wav.peaks' FROM n
+UNION ALL SELECT path, e, 5, 'central', '/central/' || e || '.wav.' || substr(sha256(path), 1, 24) || '.peaks' FROM n),
+x AS (SELECT * FROM c WHERE cache IS NOT NULL AND (e * 31 + prio * 17) % 7 < 3) SELECT path, arg_min(place, prio) AS place, arg_min(cache, prio) AS cache FROM x GROUP BY 1""")
 def cache_candidates(spark, sf_dir):
-    places = F.array(*map(F.lit, ("mapped", "sidecar", "subdir", "central")))
-    each = table(spark, sf_dir, "events").select("event_id", F.posexplode(places).alias("prio", "place"))
-    there = each.where((F.col("event_id") * 31 + F.col("prio") * 17) % 7 < 2)  # stands for the files that exist
-    return there.groupBy("event_id").agg(F.min_by("place", "prio").alias("place"))
+    files, mapping = media(spark, sf_dir)
+    tried = catalog.candidates(files, mapping, "/central")
+    # a listing of some of the files that could be
+    e = F.regexp_extract("path", "([0-9]+).wav$", 1).cast("long")
+    listing = tried.where(((e * 31 + F.col("prio") * 17) % 7 < 3) & F.col("prio").isin(0, 1, 3, 5)).select(F.col("candidate").alias("file"))
+    return catalog.resolved(tried, listing)
 
 
 ENTRY_SQL = "e AS (SELECT doc_id % 50 AS file_id, doc_id // 50 AS ord, source AS namespace, lang AS kind, octet_length(encode(text))::BIGINT AS payload_len FROM documents), k AS (SELECT DISTINCT doc_id % 50 AS file_id, source AS namespace, lang AS kind, 7::BIGINT AS payload_len FROM documents WHERE doc_id % 6 = 1 UNION SELECT DISTINCT doc_id % 50, 'new', lang, 9::BIGINT FROM documents WHERE doc_id % 6 = 2)"
@@ -530,6 +622,180 @@ def pcm24_samples(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", pcm24(e % 256, e * 7 % 256, e * 13 % 256).cast("double").alias("v"))
 
 
+@query("SELECT event_id, ((event_id * 7919) % 16777216 - 8388608) / 8388608.0::DOUBLE AS v FROM events")
+def pcm24_whole_samples(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", pcm24_whole(F.col("event_id") * 7919 % 16777216 - 8388608).cast("double").alias("v"))
+
+
+HEX_OF = "lpad(hex(pmod(cast(v as int), 65536) % 256 * 256 + pmod(cast(v as int), 65536) div 256), 4, '0')"
+
+
+def byte_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interleaved 16-bit stereo of each 1000 events, as bytes."""
+    s = events(spark, sf_dir)[0].withColumn("h", F.expr(HEX_OF))
+    g = s.groupBy(F.concat(F.lit("t"), F.floor(F.col("frame") / 1000).cast("string")).alias("track_id")).agg(F.sort_array(F.collect_list(F.struct("frame", "h"))).alias("x"))
+    return g.select("track_id", F.unhex(F.array_join(F.transform("x", lambda x: x["h"]), "")).alias("content"))
+
+
+@query(f"WITH {EVENTS} SELECT 't' || (frame // 1000) AS track_id, (frame % 2)::INTEGER AS channel, frame % 1000 // 2 AS frame, v FROM s")
+def byte_samples(spark, sf_dir):
+    return samples_of(byte_blocks(byte_files(spark, sf_dir), "pcm16", 2, 64))
+
+
+@query(f"WITH {EVENTS} SELECT 't' || (frame // 1000) AS track_id, (frame % 2)::INTEGER AS channel, frame % 1000 // 2 AS frame, (v / 32768.0::DOUBLE) AS v FROM s WHERE frame % 1000 // 2 >= 100 AND frame % 1000 // 2 < 350")
+def wave_file_range(spark, sf_dir):
+    s = samples_of(byte_blocks(byte_files(spark, sf_dir), "pcm16", 2))
+    files = wav.wave_files(s.withColumn("v", F.col("v").cast("float") / 32768.0), RATE16).withColumnRenamed("track_id", "path")
+    return samples_of(wav.wave_blocks(files, 100, 250, 64)).withColumn("v", F.col("v").cast("double"))
+
+
+@query("SELECT vec_id, (floor((embedding[5]::DOUBLE + 1) * 2000))::INTEGER AS even, (floor((embedding[6]::DOUBLE + 1) * 2000))::INTEGER AS odd FROM embeddings")
+def single_bins(spark, sf_dir):
+    bins = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 2000).cast("int"))
+    t = table(spark, sf_dir, "embeddings").select("vec_id", F.unhex(codes.pack12(bins)).alias("frame"))
+    return t.select("vec_id", codes.bin_code(F.col("frame"), 4).alias("even"), codes.bin_code(F.col("frame"), 5).alias("odd"))
+
+
+@query("""WITH c AS (SELECT i, (i * 257 - 32768)::SMALLINT AS code FROM range(0, 256) r(i)), m AS (SELECT i, code, abs(code::INTEGER)::DOUBLE AS m FROM c)
+SELECT code, round(CASE WHEN i % 3 = 0 THEN (CASE WHEN code < 0 THEN code / 32768.0::DOUBLE ELSE code / 32767.0::DOUBLE END)::FLOAT::DOUBLE
+WHEN i % 3 = 1 THEN (sign(code) * CASE WHEN m <= 24576 THEN m / 24576.0::DOUBLE ELSE pow(2.0::DOUBLE, (m - 24576) / 1024.0::DOUBLE) END)::FLOAT::DOUBLE END, 4) AS value FROM m""")
+def decode_by_encoding(spark, sf_dir):
+    c = spark.range(256).select((F.col("id") * 257 - 32768).cast("short").alias("code"), F.when(F.col("id") % 3 == 0, "unit").when(F.col("id") % 3 == 1, "wide").otherwise("other").alias("encoding"))
+    return c.select("code", F.round(codes.from_code(F.col("encoding"), F.col("code")).cast("double"), 4).alias("value"))
+
+
+@query(f"SELECT view_id, (SELECT d FROM (VALUES (0, 160), (1, 2400), (2, 48000)) t(i, d) ORDER BY abs(ln(d / greatest(desired, 1))), i LIMIT 1)::BIGINT AS division FROM {values_sql(DESIRED, 'view_id, desired')}")
+def nearest_spectral_level(spark, sf_dir):
+    return wave.nearest_division(rows(spark, DESIRED, "view_id int, desired double"), FINE)
+
+
+PAGES = [(i, f, c, ch, t) for i, (f, c, ch, t) in enumerate((f, c, ch, t) for f in (0, 4096, 130_999, 900_000) for c in (1, 4096, 300_000) for ch in (1, 2, 8) for t in (200_000, 1_000_000, 10_000_000))]
+
+
+@query(f"""WITH a AS (SELECT *, least(16777216 // (channels * 4), greatest(count, 1048576 // (channels * 4))) AS size FROM {values_sql(PAGES, 'view_id, first, count, channels, total_frames')}),
+b AS (SELECT *, first // greatest(1, size // 2) * greatest(1, size // 2) AS p FROM a), c AS (SELECT *, CASE WHEN p + size < first + count THEN first + count - size ELSE p END AS q FROM b),
+d AS (SELECT *, least(CASE WHEN total_frames >= size AND q + size > total_frames THEN total_frames - size ELSE q END, total_frames) AS r FROM c)
+SELECT view_id, first::BIGINT AS first, count::BIGINT AS count, channels, total_frames::BIGINT AS total_frames, greatest(0, least(size, greatest(0, total_frames - r)))::BIGINT AS page_count, greatest(0, r)::BIGINT AS page_first FROM d""")
+def sample_pages(spark, sf_dir):
+    return windows.raw_pages(rows(spark, PAGES, "view_id int, first long, count long, channels int, total_frames long"))
+
+
+@query(f"WITH {VECTORS} SELECT channel, (frame - 640) // 32 AS record, max(v) AS hi, min(v) AS lo FROM s WHERE frame >= 640 AND frame < 5640 GROUP BY 1, 2")
+def display_records(spark, sf_dir):
+    s, n = vectors(spark, sf_dir)
+    return windows.display_window(s, 640, 5000, 32, 1, n)[0]
+
+
+@query("SELECT 640::BIGINT AS first, 5000::BIGINT AS count, 32 AS division, 0::BIGINT AS page_first, least(262144, count(*) * 64)::BIGINT AS page_count, 640::BIGINT AS display_first, 5000::BIGINT AS display_frames, 157::BIGINT AS records, 'envelope' AS mode FROM embeddings")
+def display_events(spark, sf_dir):
+    s, n = vectors(spark, sf_dir)
+    return windows.display_window(s, 640, 5000, 32, 1, n)[1].drop("at")
+
+
+# -- many tracks at once
+
+TRACKS = "s AS (SELECT 't' || event_id % 7 AS track_id, (event_id // 7 % 2)::INTEGER AS channel, event_id // 14 AS frame, CAST((CAST(floor(value * 100) AS BIGINT) % 65536) - 32768 AS SMALLINT) AS v FROM events)"
+FINE_T = [10, 50, 200]
+
+
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    v = (F.pmod(F.floor(F.col("value") * 100), F.lit(65536)) - 32768).cast("short")
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("t"), (e % 7).cast("string")).alias("track_id"), (F.floor(e / 7) % 2).cast("int").alias("channel"), F.floor(e / 14).alias("frame"), v.alias("v"))
+
+
+def track_levels_sql() -> str:
+    parts = []
+    for d in FINE_T:
+        keep = f"peak < CASE WHEN {d} = 10 OR n % 10 <> 0 THEN (n + {d} - 1) // {d} ELSE n // {d} END"
+        parts.append(f"SELECT {d}::BIGINT AS division, track_id, channel, peak, {PEAK16.format(x='hi')} AS max_code, {PEAK16.format(x='lo')} AS min_code FROM (SELECT track_id, channel, frame // {d} AS peak, max(v) AS hi, min(v) AS lo FROM s GROUP BY 1, 2, 3) JOIN n USING (track_id) WHERE {keep}")
+    return f"WITH {TRACKS}, n AS (SELECT track_id, max(frame) + 1 AS n FROM s GROUP BY 1) " + " UNION ALL ".join(parts)
+
+
+@query(track_levels_sql())
+def track_levels(spark, sf_dir):
+    t = tracks(spark, sf_dir)
+    return wave.levels(t, FINE_T, lengths(t), lambda p: wave.coded(p, codes.peak16))
+
+
+@query(track_levels_sql())
+def track_caches(spark, sf_dir):
+    r = cache.read_records(generate.build_caches(tracks(spark, sf_dir), RATE16, FINE_T))
+    code = lambda i: F.element_at("values", i).cast("smallint")
+    return r.select("division", "track_id", "channel", F.col("record").alias("peak"), code(1).alias("max_code"), code(2).alias("min_code"))
+
+
+@query(f"WITH {TRACKS} SELECT track_id, (max(frame) + 1)::BIGINT AS frames, (max(channel) + 1)::INTEGER AS channels FROM s GROUP BY 1")
+def track_lengths(spark, sf_dir):
+    return lengths(tracks(spark, sf_dir))
+
+
+TRACK_WINDOWS = f"{TRACKS}, e AS (SELECT track_id, channel, frame // 25 AS block, sum(v::DOUBLE * v::DOUBLE) AS energy FROM s GROUP BY 1, 2, 3 HAVING count(*) = 25)"
+
+
+@query(f"WITH {TRACK_WINDOWS} SELECT track_id, channel, block, sum(energy) OVER (PARTITION BY track_id, channel ORDER BY block ROWS 15 PRECEDING) / 400.0::DOUBLE AS momentary, sum(energy) OVER (PARTITION BY track_id, channel ORDER BY block ROWS 119 PRECEDING) / 3000.0::DOUBLE AS short_term FROM e")
+def track_windows(spark, sf_dir):
+    return rollups.sliding(rollups.block_energy(tracks(spark, sf_dir), 1000), 1000)
+
+
+# -- containers in files
+
+KEYED_SQL = "e AS (SELECT 'f' || doc_id % 20 AS file_id, doc_id // 20 AS ord, lpad(hex(doc_id % 3), 32, '0') AS namespace, lpad(hex(doc_id % 5), 8, '0') AS kind, doc_id % 4 AS version, doc_id % 9 AS flags, lpad(hex(doc_id), 2 * (1 + doc_id % 7)::INTEGER, '0') AS payload FROM documents)"
+
+
+def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    pad = lambda x, n: F.unhex(F.lpad(F.hex(x), n, "0"))
+    e = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("f"), (d % 20).cast("string")).alias("file_id"), F.floor(d / 20).alias("ord"), pad(d % 3, 32).alias("namespace"), pad(d % 5, 8).alias("kind"),
+        (d % 4).alias("version"), (d % 9).alias("flags"), F.expr("unhex(lpad(hex(doc_id), cast(2 * (1 + doc_id % 7) as int), '0'))").alias("payload"),
+    )
+    return e.withColumn("payload_len", F.octet_length("payload").cast("long"))
+
+
+def container_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Caches of one wave layer, with containers of the documents' entries behind."""
+    head = F.unhex(F.lit("52504B4E0101" + RATE_STAMP + "9300000001000000" + "01000200"))
+    stamps = keyed(spark, sf_dir).select("file_id").distinct().withColumn("mtime_low32", F.lit(1).cast("long")).withColumn("size_low32", F.lit(2).cast("long"))
+    return container.packed(keyed(spark, sf_dir), stamps).select(F.col("file_id").alias("track_id"), F.concat(head, "content").alias("content"))
+
+
+OFFSET_SQL = "(30 + 32 + 48 * count(*) OVER (PARTITION BY file_id) + coalesce(sum(length(payload) // 2) OVER (PARTITION BY file_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT"
+
+
+@query(f"WITH {KEYED_SQL} SELECT file_id AS track_id, ord, namespace, kind, version, flags, {OFFSET_SQL} AS payload_offset, (length(payload) // 2)::BIGINT AS payload_len FROM e")
+def container_index(spark, sf_dir):
+    i = container.index(container_files(spark, sf_dir))
+    return i.select("track_id", "ord", F.hex("namespace").alias("namespace"), F.hex("kind").alias("kind"), "version", "flags", "payload_offset", "payload_len")
+
+
+@query(f"WITH {KEYED_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ord) AS r FROM e WHERE namespace = lpad('1', 32, '0') AND kind = lpad('2', 8, '0')) SELECT file_id AS track_id, ord, payload FROM k WHERE r = 1")
+def container_payloads(spark, sf_dir):
+    key = bytes(15) + b"\1", bytes(3) + b"\2"
+    return container.payloads(container_files(spark, sf_dir), *key).select("track_id", "ord", F.hex("payload").alias("payload"))
+
+
+@query(f"WITH {KEYED_SQL} SELECT file_id, count(*) AS entries, sum(length(payload) // 2)::BIGINT AS payload_bytes, (32 + 48 * count(*) + sum(length(payload) // 2))::BIGINT AS total_len FROM e GROUP BY 1")
+def container_info(spark, sf_dir):
+    return container.info(keyed(spark, sf_dir))
+
+
+@query(f"""WITH {KEYED_SQL}, g AS (SELECT *, namespace = lpad('1', 32, '0') AND kind = lpad('2', 8, '0') AS hit, min(CASE WHEN namespace = lpad('1', 32, '0') AND kind = lpad('2', 8, '0') THEN ord END) OVER (PARTITION BY file_id) AS pos FROM e),
+u AS (SELECT file_id, ord, namespace, kind, version, flags, payload FROM g WHERE NOT hit UNION ALL
+SELECT file_id, coalesce(min(pos), 1000000), lpad('1', 32, '0'), lpad('2', 8, '0'), 7, 8, 'ABCDEF' FROM g GROUP BY 1)
+SELECT file_id AS track_id, row_number() OVER (PARTITION BY file_id ORDER BY ord) - 1 AS ord, namespace, kind, version::BIGINT AS version, flags::BIGINT AS flags, payload FROM u""")
+def container_edits(spark, sf_dir):
+    files = container_files(spark, sf_dir)
+    edits = files.select(
+        "track_id", F.lit(0).alias("ord"), F.lit("set").alias("action"), F.unhex(F.lit("1".rjust(32, "0"))).alias("namespace"), F.unhex(F.lit("2".rjust(8, "0"))).alias("kind"),
+        F.lit(7).alias("version"), F.lit(8).alias("flags"), F.unhex(F.lit("ABCDEF")).alias("payload"),
+    )
+    done = container.edited(files, edits).select("track_id", "content")
+    i = container.index(done).join(done, "track_id")
+    payload = F.hex(F.substring("content", (F.col("payload_offset") + 1).cast("int"), F.col("payload_len").cast("int")))
+    return i.select("track_id", "ord", F.hex("namespace").alias("namespace"), F.hex("kind").alias("kind"), "version", "flags", payload.alias("payload"))
+
+
 # -- whole caches, written and read back
 
 @query(levels_sql(EVENTS, "(SELECT count(*) FROM events)", FINE16, PEAK16.format(x="hi"), PEAK16.format(x="lo")))

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigstrata.operators import dsp
+from sigstrata.operators import dsp, wave
+from sigstrata.sources.signals import lanes
 
 
 def streaming_extrema(samples: DataFrame, division: int) -> DataFrame:
-    """(channel, peak, hi, lo), for writeStream in update mode: state is one pair a bucket."""
-    return samples.groupBy("channel", F.floor(F.col("frame") / division).alias("peak")).agg(F.max("v").alias("hi"), F.min("v").alias("lo"))
+    """(lane, peak, hi, lo), for writeStream in update mode: state is one pair a bucket. As in batch, NaN does not count."""
+    return wave.extrema(samples, division)
 
 
 def streaming_blocks(samples: DataFrame, rate: int) -> DataFrame:
     """(channel, block, energy, n): blocks of 25 ms; those with n below the block's size are not yet whole."""
     v = F.col("v").cast("double")
-    return samples.groupBy("channel", F.floor(F.col("frame") / max(1, rate // 40)).alias("block")).agg(F.sum(v * v).alias("energy"), F.count(F.lit(1)).alias("n"))
+    return samples.groupBy(*lanes(samples), F.floor(F.col("frame") / max(1, rate // 40)).alias("block")).agg(F.sum(v * v).alias("energy"), F.count(F.lit(1)).alias("n"))
 
 
 def _stateful(samples: DataFrame, start, columns: str) -> DataFrame:
@@ -30,19 +31,20 @@ def _stateful(samples: DataFrame, start, columns: str) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    names = columns.split(", ")
+    names, keys, scale = columns.split(", "), lanes(samples), dsp.scale_of(samples)
 
     def run(key, parts, state):
         meter, n = pickle.loads(state.get[0]) if state.exists else (start(), 0)
         pdf = pd.concat(list(parts)).sort_values("frame")
-        made = meter.push(pdf["v"].to_numpy(np.float64))
+        made = meter.push(pdf["v"].to_numpy(np.float64) * scale)
         made = np.stack(made, axis=1) if isinstance(made, tuple) else made
         state.update((pickle.dumps((meter, n + len(made))),))
         out = pd.DataFrame({c.split()[0]: made[:, i] for i, c in enumerate(names)})
-        yield pd.concat([pd.DataFrame({"channel": [key[0]] * len(made), "record": np.arange(n, n + len(made))}), out], axis=1)
+        ahead = {k: [v] * len(made) for k, v in zip(keys, key, strict=True)}
+        yield pd.concat([pd.DataFrame({**ahead, "record": np.arange(n, n + len(made))}), out], axis=1)
 
-    return samples.select("channel", "frame", F.col("v").cast("double").alias("v")).groupBy("channel").applyInPandasWithState(
-        run, f"channel int, record long, {columns}", "data binary", "append", "NoTimeout"
+    return samples.select(*keys, "frame", F.col("v").cast("double").alias("v")).groupBy(*keys).applyInPandasWithState(
+        run, f"{dsp.lane_types(samples)}, record long, {columns}", "data binary", "append", "NoTimeout"
     )
 
 

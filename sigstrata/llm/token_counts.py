@@ -38,6 +38,8 @@ LIMIT = 2048
 MODEL = "word_bpe_49k.json"
 #: Pairs of tokens whose verdict a worker holds.
 PAIRS = 400_000
+#: Bytes of the tables that a worker holds.
+HELD = 128 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -64,13 +66,16 @@ class Merges:
         self.rights: dict[int, tuple] = {}
         self.apart: dict[int, bool] = {}
         self.symbols = byte_symbols()
-        self.inner, self.last, self.heads = {}, {}, set()
+        #: by string, of all beginnings of tokens: the token inside a piece and the one at its end (-1 for none)
+        self.tokens: dict[str, tuple[int, int]] = {}
         for name, t in vocabulary.items():
             if not self.whole(t):
                 continue
             body = name.removesuffix(suffix)
-            (self.last if body != name else self.inner)[body] = t
-            self.heads.update(body[:i] for i in range(1, len(body) + 1))
+            inner, last = self.tokens.get(body, (-1, -1))
+            self.tokens[body] = (inner, t) if body != name else (t, last)
+            for i in range(1, len(body)):
+                self.tokens.setdefault(body[:i], (-1, -1))
 
     def whole(self, t: int) -> bool:
         """Whether merging a token's symbols gives the token."""
@@ -124,21 +129,30 @@ class Merges:
             data = piece.encode()
             s = "".join([self.symbols[b] for b in data])
             ends = [i for i in range(1, len(data) + 1) if i == len(data) or data[i] & 0xC0 != 0x80]
-        n, heads, inner, last, apart = len(s), self.heads, self.inner, self.last, self.stay_apart
+        n, find, known, size = len(s), self.tokens.get, self.apart.get, self.size
         tail, count, closed = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        for j in range(n):
-            before, more = tail[j], count[j] + 1
+        for i in range(1, n + 1):  # what one token covers
+            t = find(s[:i])
+            if t is None:
+                break
+            if t[0] >= 0:
+                tail[i], count[i] = t[0], 1
+            if t[1] >= 0:
+                closed[i] = 1
+        for j in range(1, n):
+            before, more = tail[j] * size, count[j] + 1
             for i in range(j + 1, n + 1):
-                t = s[j:i]
-                if t not in heads:
+                t = find(s[j:i])
+                if t is None:
                     break
-                if tail[i] < 0:
-                    x = inner.get(t)
-                    if x is not None and (not j or apart(before, x)):
+                x, y = t
+                if x >= 0 and tail[i] < 0:
+                    apart = known(before + x)
+                    if apart or apart is None and self.stay_apart(tail[j], x):
                         tail[i], count[i] = x, more
-                if not closed[i]:
-                    x = last.get(t)
-                    if x is not None and (not j or apart(before, x)):
+                if y >= 0 and not closed[i]:
+                    apart = known(before + y)
+                    if apart or apart is None and self.stay_apart(tail[j], y):
                         closed[i] = more
         if ends:
             closed = [0, *[closed[i] for i in ends]]
@@ -158,7 +172,7 @@ class PrefixCounter:
         self.merges = Merges(model["vocab"], merges, model["end_of_word_suffix"])
         self.marks = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.special = regex.compile("|".join(map(regex.escape, self.marks))) if self.marks else None
-        self.tables: Cache = Cache()
+        self.tables: Cache = Cache(HELD)
 
     def segments(self, text: str) -> list[tuple[str, bool]]:
         """The text cut at special strings: (part, whether it is one)."""

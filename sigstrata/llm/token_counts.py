@@ -7,8 +7,9 @@ they are merged alone, so the last token of every prefix follows from the last t
 prefix is settled once, in time linear in the piece.
 
 A text's table is its pieces' tables and the running count at their ends. It gives the count of any prefix and the
-longest prefix within a budget; nothing is encoded again. The query reads counts and cuts from these tables, and
-the library serves only to normalise what is not plain text.
+longest prefix within a budget; nothing is encoded again. The query reads counts from the tables' ends, for which
+filling a table stops at the token that ends the piece, and cuts at the limit from the whole table of the piece
+that the cut falls into. The library serves only to normalise what is not plain text.
 
 Special strings in a text count as their one token, as the library does by default. Null text counts as
 empty (0 tokens). Repeated rows are counted each; an empty table gives an empty result.
@@ -17,6 +18,7 @@ empty (0 tokens). Repeated rows are counted each; an empty table gives an empty
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from bisect import bisect_right
 from collections.abc import Sequence
@@ -31,6 +33,8 @@ from sigstrata.llm.common import Cache, map_texts
 
 #: The pieces of the vocabulary's pre-tokenizer (fixed pattern of its file).
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The same in lower-case ASCII.
+ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: Outside these characters, normalisation is left to the library: elsewhere NFC changes nothing and
 #: lower-casing goes character by character.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-įı-ňŊ-ž‐-‧]*")
@@ -38,7 +42,7 @@ LIMIT = 2048
 MODEL = "word_bpe_49k.json"
 #: Pairs of tokens whose verdict a worker holds.
 PAIRS = 400_000
-#: Bytes of the tables that a worker holds.
+#: Bytes of the counts that a worker holds.
 HELD = 128 << 20
 
 
@@ -121,14 +125,44 @@ class Merges:
             known = self.apart[key] = key not in self.rank and not self._meet(a, b)
         return known
 
+    def _symbols(self, piece: str) -> tuple[str, list[int] | None]:
+        """The symbols of a piece, and where its characters end in them (None: each is one)."""
+        if piece.isascii() and piece.isprintable():
+            return piece, None
+        data = piece.encode()
+        return "".join([self.symbols[b] for b in data]), [i for i in range(1, len(data) + 1) if i == len(data) or data[i] & 0xC0 != 0x80]
+
+    def total(self, piece: str) -> int:
+        """The token count of a piece: the last entry of its table, which is filled as far as that needs."""
+        s = self._symbols(piece)[0]
+        n, find, known, size = len(s), self.tokens.get, self.apart.get, self.size
+        t = find(s)
+        if t is not None and t[1] >= 0:
+            return 1
+        tail, count = [-1] * n, [0] * n
+        for j in range(n):
+            before, more = tail[j] * size, count[j] + 1
+            for i in range(j + 1, n):
+                t = find(s[j:i])
+                if t is None:
+                    break
+                x = t[0]
+                if x >= 0 and tail[i] < 0:
+                    if not j:
+                        tail[i], count[i] = x, more
+                        continue
+                    apart = known(before + x)
+                    if apart or apart is None and self.stay_apart(tail[j], x):
+                        tail[i], count[i] = x, more
+            else:
+                t = find(s[j:])
+                if t is not None and t[1] >= 0 and self.stay_apart(tail[j], t[1]):
+                    return more
+        raise ValueError(f"no encoding of {piece!r}")
+
     def table(self, piece: str) -> Sequence[int]:
         """Entry i: the token count of the first i characters of a piece."""
-        if piece.isascii() and piece.isprintable():
-            s, ends = piece, None
-        else:
-            data = piece.encode()
-            s = "".join([self.symbols[b] for b in data])
-            ends = [i for i in range(1, len(data) + 1) if i == len(data) or data[i] & 0xC0 != 0x80]
+        s, ends = self._symbols(piece)
         n, find, known, size = len(s), self.tokens.get, self.apart.get, self.size
         tail, count, closed = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):  # what one token covers
@@ -160,7 +194,7 @@ class Merges:
 
 
 class PrefixCounter:
-    """Prefix tables of pieces (held, bounded by bytes) and of texts."""
+    """Prefix tables of pieces and of texts; the counts of pieces are held, bounded by bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -172,7 +206,7 @@ class PrefixCounter:
         self.merges = Merges(model["vocab"], merges, model["end_of_word_suffix"])
         self.marks = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.special = regex.compile("|".join(map(regex.escape, self.marks))) if self.marks else None
-        self.tables: Cache = Cache(HELD)
+        self.totals: Cache = Cache(HELD)
 
     def segments(self, text: str) -> list[tuple[str, bool]]:
         """The text cut at special strings: (part, whether it is one)."""
@@ -192,7 +226,9 @@ class PrefixCounter:
         return out
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii() and not PLAIN.fullmatch(text):
+        if text.isascii():
+            return ASCII_PIECE.findall(text.lower())
+        if not PLAIN.fullmatch(text):
             text = self.tokenizer.normalizer.normalize_str(text)
             return PIECE.findall(text) if PLAIN.fullmatch(text) else [text[a:b] for a, b in self._cuts(text)]
         return PIECE.findall(text.lower())
@@ -203,23 +239,29 @@ class PrefixCounter:
 
     def within(self, piece: str) -> Sequence[int]:
         """Entry i: the exact token count of the first i characters of a piece, as a text of its own."""
-        known = self.tables.get(piece)
-        if known is None:
-            known = self._within(piece)
-            if len(piece) <= self.tables.longest:
-                self.tables.keep(piece, known, len(known))
-        return known
-
-    def _within(self, piece: str) -> Sequence[int]:
         if piece in self.marks or (piece[0] == "'" and len(piece) > 1 and piece[1].isalpha()):
             # the beginnings of a special string or of a contraction fall into pieces of their own
             heads = [PIECE.findall(piece[:i]) for i in range(len(piece))]
-            return [*[sum(self.merges.table(p)[-1] for p in ps) for ps in heads], 1 if piece in self.marks else self.merges.table(piece)[-1]]
+            return [*[sum(map(self.merges.total, ps)) for ps in heads], self._count(piece)]
         return self.merges.table(piece)
 
+    def _count(self, piece: str) -> int:
+        n = 1 if piece in self.marks else self.merges.total(piece)
+        if len(piece) <= self.totals.longest:
+            self.totals.keep(piece, n)
+        return n
+
+    def total(self, pieces: list[str]) -> int:
+        """The token count of a text's pieces."""
+        held = self.totals
+        here = {p: self._count(p) for p in set(pieces) if p not in held}
+        if any(len(p) > self.totals.longest for p in here):
+            return sum([held.get(p) or here[p] for p in pieces])
+        return sum(map(held.__getitem__, pieces))
+
     def counts(self, pieces: list[str]) -> list[int]:
-        get, held = self.within, self.tables
-        return [(held.get(p) or get(p))[-1] for p in pieces]
+        held, count = self.totals.get, self._count
+        return [held(p) or count(p) for p in pieces]
 
     def table(self, text: str) -> TextTable:
         """The prefix table of a text."""
@@ -297,10 +339,10 @@ FIELDS = [
 def _counting(path: str, limit: int):
     def count(texts: list) -> list:
         c = counter(path)
-        c.tables.room()
+        c.totals.room()
         out: tuple[list, list, list] = ([], [], [])
         for t in texts:
-            n = sum(c.counts(c.pieces(t))) if t else 0
+            n = c.total(c.pieces(t)) if t else 0
             out[0].append(len(t.encode()) if t else 0)
             out[1].append(n)
             out[2].append(c.table(t).truncate(limit) if n > limit else None)

@@ -70,16 +70,20 @@ class Merges:
         self.rights: dict[int, tuple] = {}
         self.apart: dict[int, bool] = {}
         self.symbols = byte_symbols()
-        #: by string, of all beginnings of tokens: the token inside a piece and the one at its end (-1 for none)
-        self.tokens: dict[str, tuple[int, int]] = {}
+        #: by string: the token inside a piece, or -1 for what only begins tokens; and the token at the end of a piece
+        self.inner: dict[str, int] = {}
+        self.last: dict[str, int] = {}
         for name, t in vocabulary.items():
             if not self.whole(t):
                 continue
             body = name.removesuffix(suffix)
-            inner, last = self.tokens.get(body, (-1, -1))
-            self.tokens[body] = (inner, t) if body != name else (t, last)
+            if body != name:
+                self.last[body] = t
+                self.inner.setdefault(body, -1)
+            else:
+                self.inner[body] = t
             for i in range(1, len(body)):
-                self.tokens.setdefault(body[:i], (-1, -1))
+                self.inner.setdefault(body[:i], -1)
 
     def whole(self, t: int) -> bool:
         """Whether merging a token's symbols gives the token."""
@@ -135,18 +139,16 @@ class Merges:
     def total(self, piece: str) -> int:
         """The token count of a piece: the last entry of its table, which is filled as far as that needs."""
         s = self._symbols(piece)[0]
-        n, find, known, size = len(s), self.tokens.get, self.apart.get, self.size
-        t = find(s)
-        if t is not None and t[1] >= 0:
+        if s in self.last:
             return 1
+        n, find, known, size = len(s), self.inner.get, self.apart.get, self.size
         tail, count = [-1] * n, [0] * n
         for j in range(n):
             before, more = tail[j] * size, count[j] + 1
             for i in range(j + 1, n):
-                t = find(s[j:i])
-                if t is None:
+                x = find(s[j:i])
+                if x is None:
                     break
-                x = t[0]
                 if x >= 0 and tail[i] < 0:
                     if not j:
                         tail[i], count[i] = x, more
@@ -155,38 +157,28 @@ class Merges:
                     if apart or apart is None and self.stay_apart(tail[j], x):
                         tail[i], count[i] = x, more
             else:
-                t = find(s[j:])
-                if t is not None and t[1] >= 0 and self.stay_apart(tail[j], t[1]):
+                y = self.last.get(s[j:])
+                if y is not None and self.stay_apart(tail[j], y):
                     return more
         raise ValueError(f"no encoding of {piece!r}")
 
     def table(self, piece: str) -> Sequence[int]:
         """Entry i: the token count of the first i characters of a piece."""
         s, ends = self._symbols(piece)
-        n, find, known, size = len(s), self.tokens.get, self.apart.get, self.size
+        n, find, at_end = len(s), self.inner.get, self.last.get
         tail, count, closed = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):  # what one token covers
-            t = find(s[:i])
-            if t is None:
-                break
-            if t[0] >= 0:
-                tail[i], count[i] = t[0], 1
-            if t[1] >= 0:
-                closed[i] = 1
-        for j in range(1, n):
-            before, more = tail[j] * size, count[j] + 1
+        for j in range(n):
+            before, more = tail[j], count[j] + 1
             for i in range(j + 1, n + 1):
-                t = find(s[j:i])
-                if t is None:
+                t = s[j:i]
+                x = find(t)
+                if x is None:
                     break
-                x, y = t
-                if x >= 0 and tail[i] < 0:
-                    apart = known(before + x)
-                    if apart or apart is None and self.stay_apart(tail[j], x):
-                        tail[i], count[i] = x, more
-                if y >= 0 and not closed[i]:
-                    apart = known(before + y)
-                    if apart or apart is None and self.stay_apart(tail[j], y):
+                if x >= 0 and tail[i] < 0 and (not j or self.stay_apart(before, x)):
+                    tail[i], count[i] = x, more
+                if not closed[i]:
+                    y = at_end(t)
+                    if y is not None and (not j or self.stay_apart(before, y)):
                         closed[i] = more
         if ends:
             closed = [0, *[closed[i] for i in ends]]
@@ -254,7 +246,8 @@ class PrefixCounter:
     def total(self, pieces: list[str]) -> int:
         """The token count of a text's pieces."""
         held = self.totals
-        here = {p: self._count(p) for p in set(pieces) if p not in held}
+        new = [p for p in pieces if p not in held]
+        here = {p: self._count(p) for p in dict.fromkeys(new)}
         if any(len(p) > self.totals.longest for p in here):
             return sum([held.get(p) or here[p] for p in pieces])
         return sum(map(held.__getitem__, pieces))

@@ -7,7 +7,8 @@ front, as the model's flags say. The normalised text is cut before each meta sym
 character; no piece of the model crosses such a cut (this is checked against the vocabulary), so a
 segment encodes alike wherever it stands, and a worker keeps the ids of short segments it has met, bounded by
 bytes. Every id projects to a span of original bytes; where the map replaces several bytes by several, a span that
-starts inside the replacement starts where the replaced bytes do.
+starts inside the replacement starts where the replaced bytes do. Every text goes through normaliser, segments, ids
+and spans, in the query too; what is decoded are the ids of a whole text, by the library.
 
 Null text counts as empty: begin and end ids only. Repeated rows are encoded each; an empty table gives
 an empty result.
@@ -27,6 +28,7 @@ from pyspark.sql import types as T
 from sigstrata.llm.common import Cache, map_texts, row
 
 META = "▁"
+META_BYTES = META.encode()
 MODEL = "piece_bpe_32k.model"
 
 
@@ -69,10 +71,6 @@ class Normaliser:
             self.units = struct.unpack_from(f"<{size // 4}I", blob, 4)
             self.strings = blob[4 + size :]
 
-    @property
-    def identity(self) -> bool:
-        return not self.units and not self.squeeze
-
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest key of the map at data[at:], and its replacement."""
         units, best = self.units, None
@@ -138,7 +136,7 @@ class Codec:
             raise ValueError("pieces of this model cross word starts: segments can't be encoded alone")
         #: original bytes of a piece in identity normalisation: a meta symbol is one space
         self.width = np.array([1 if self.sp.is_byte(i) else len(p.replace(META, " ").encode()) for i, p in enumerate(self.names)])
-        self.known: Cache = Cache()
+        self.known: Cache = Cache()  # ids of segments as little-endian 32-bit words
         self.alone = self.sp.piece_to_id(META)
 
     @staticmethod
@@ -159,44 +157,47 @@ class Codec:
             out.append(" " * run + META)  # a run of spaces at the end; marked, as it has no word
         return out
 
-    def learn(self, segments: set[str]) -> dict[str, tuple[bytes, str]]:
-        """(ids, decoded text) of segments; short ones are kept."""
+    def learn(self, segments: set[str]) -> dict[str, bytes]:
+        """Ids of segments; those of short ones are kept."""
         self.known.room()
         short, long = self.known.split(segments)
-        here: dict[str, tuple[bytes, str]] = {}
+        here: dict[str, bytes] = {}
         for new, keep in ((sorted(short), True), (sorted(long), False)):
             tails = [s.endswith(META) and not s.strip(" " + META) for s in new]
             texts = [s[:-1][1:] if t else s for s, t in zip(new, tails, strict=True)]
             for s, text, tail, ids in zip(new, texts, tails, self.sp.encode(texts, num_threads=1), strict=True):
                 if tail and not text:
                     ids = [self.alone]
-                # decoding drops the meta symbol in front, which joins segments as a space
-                made = np.array(ids, dtype="<u4").tobytes(), self.sp.decode(ids)
+                made = np.array(ids, dtype="<u4").tobytes()
                 if keep:
-                    self.known.keep(s, made, len(made[0]) + 2 * len(made[1]) + 100)
+                    self.known.keep(s, made, len(made) + 50)
                 else:
                     here[s] = made
         return here
 
-    def prepare(self, text: str | None) -> tuple[list[str], str]:
-        """Segments, and the text they come from: meta symbols in it count as spaces."""
-        if not text:
-            return [], ""
-        if not self.normaliser.identity:
-            text = self.normaliser.apply(text)[0].decode()
-        return self.segments(text.replace(META, " ")), text
+    def prepare(self, text: str | None) -> tuple[list[str], tuple[bytes, np.ndarray]]:
+        """Segments, and the normalised bytes they come from with their alignment: meta symbols in it count as spaces."""
+        aligned = self.normaliser.apply(text or "")
+        return self.segments(aligned[0].decode().replace(META, " ")) if text else [], aligned
 
-    def encode(self, segments: list[str], here: dict[str, tuple[bytes, str]]) -> tuple[bytes, str]:
-        """Ids with begin and end as little-endian 32-bit words, and the decoded text; the segments are known or here."""
+    def ids(self, segments: list[str], here: dict[str, bytes]) -> bytes:
+        """Ids with begin and end as little-endian 32-bit words; the segments are known or here."""
         known = self.known
-        made = [known.get(s) or here[s] for s in segments]
-        ends = struct.pack("<I", self.sp.bos_id()), struct.pack("<I", self.sp.eos_id())
-        return ends[0] + b"".join([m[0] for m in made]) + ends[1], " ".join([m[1] for m in made])
+        made = [here[s] if (found := known.get(s)) is None else found for s in segments]
+        return struct.pack("<I", self.sp.bos_id()) + b"".join(made) + struct.pack("<I", self.sp.eos_id())
+
+    def encode(self, segments: list[str], here: dict[str, bytes]) -> tuple[bytes, str]:
+        """Ids as above, and the text they decode to."""
+        raw = self.ids(segments, here)
+        return raw, self.decode(np.frombuffer(raw, dtype="<u4"))
+
+    def decode(self, ids: np.ndarray) -> str:
+        return self.sp.decode(ids.tolist())
 
-    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def spans(self, aligned: tuple[bytes, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and end in original bytes of each id but begin and end; the meta symbol put in front is empty."""
-        norm, source = self.normaliser.apply(text)
-        if META in text:  # a meta symbol of the text stands for one space but takes three bytes
+        norm, source = aligned
+        if META_BYTES in norm:  # a meta symbol of the text stands for one space but takes three bytes
             wide = np.frombuffer(norm.decode().replace("\0", " ").replace(META, "\0").encode(), dtype=np.uint8) == 0
             source = source[np.concatenate([[0], np.cumsum(np.where(wide, 3, 1))])]
         stops = source[np.cumsum(self.width[ids]) - 1]
@@ -213,10 +214,12 @@ def codec(path: str) -> Codec:
 
 
 #: What encoding can give. ids hold begin and end; starts and ends are byte offsets of the original text, one for each id,
-#: empty spans for begin and end; ids_le are the ids as little-endian unsigned 32-bit integers.
+#: empty spans for begin and end; ids_le are the ids as little-endian unsigned 32-bit integers, spans_le start and end of each
+#: id in turn, likewise.
 FIELDS = {
     "n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType(), False), "starts": T.ArrayType(T.IntegerType(), False),
-    "ends": T.ArrayType(T.IntegerType(), False), "ids_le": T.BinaryType(), "decoded": T.StringType(),
+    "ends": T.ArrayType(T.IntegerType(), False), "ids_le": T.BinaryType(), "spans_le": T.BinaryType(),
+    "decoded": T.StringType(),
 }
 
 
@@ -230,16 +233,22 @@ def _encoding(path: str, fields: tuple[str, ...]):
         c = codec(path)
         made = [c.prepare(t) for t in texts]
         here = c.learn(set(chain.from_iterable(s for s, _ in made)))
-        coded = [c.encode(s, here) for s, _ in made]
-        ids = [np.frombuffer(raw, dtype="<u4") for raw, _ in coded]
-        out: dict[str, object] = {"n_tokens": [len(x) for x in ids], "ids_le": [raw for raw, _ in coded], "decoded": [text for _, text in coded]}
+        raw = [c.ids(s, here) for s, _ in made]
+        ids = [np.frombuffer(x, dtype="<u4") for x in raw]
+        out: dict[str, object] = {"n_tokens": [len(x) for x in ids], "ids_le": raw}
         if "ids" in fields:
             out["ids"] = _lists(ids)
-        if "starts" in fields or "ends" in fields:
-            spans = [c.spans(t or "", x[1:-1]) for t, x in zip(texts, ids, strict=True)]
+        if "decoded" in fields:
+            out["decoded"] = [c.decode(x) for x in ids]
+        if not {"starts", "ends", "spans_le"}.isdisjoint(fields):
+            spans = [c.spans(aligned, x[1:-1]) for (_, aligned), x in zip(made, ids, strict=True)]
             size = [len((t or "").encode()) for t in texts]
-            out["starts"] = _lists([np.concatenate([[0], a, [n]]) for (a, _), n in zip(spans, size, strict=True)])
-            out["ends"] = _lists([np.concatenate([[0], b, [n]]) for (_, b), n in zip(spans, size, strict=True)])
+            starts = [np.concatenate([[0], a, [n]]) for (a, _), n in zip(spans, size, strict=True)]
+            ends = [np.concatenate([[0], b, [n]]) for (_, b), n in zip(spans, size, strict=True)]
+            if "starts" in fields or "ends" in fields:
+                out["starts"], out["ends"] = _lists(starts), _lists(ends)
+            if "spans_le" in fields:
+                out["spans_le"] = [np.stack(x, axis=1).astype("<u4").tobytes() for x in zip(starts, ends, strict=True)]
         return [out[f] for f in fields]
 
     return run
@@ -260,6 +269,9 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and digests of ids and of the decoded text."""
-    made = encoded(docs.select("doc_id", "text"), path, ("n_tokens", "ids_le", "decoded"), keep=["doc_id"])
-    return made.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """doc_id, n_tokens and digests of ids, of the decoded text, and of the ids' spans in the text's bytes."""
+    made = encoded(docs.select("doc_id", "text"), path, ("n_tokens", "ids_le", "spans_le", "decoded"), keep=["doc_id"])
+    return made.select(
+        "doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2("spans_le", 256).alias("spans_sha256"),
+    )

@@ -265,6 +265,40 @@ def test_sentencepiece(docs, texts):
         assert b"".join(raw[a:b] for a, b in zip(r.starts, r.ends, strict=True)) == raw
 
 
+def _library_spans(sp, text):
+    """Spans by the library's own alignment, with begin and end ids; it gives the bytes of a character to the last byte piece."""
+    spans, at = [(0, 0)], 0
+    for p in sp.encode(text, return_type="proto").pieces:
+        start, at = at, at + 1 if sp.is_byte(p.id) else p.end
+        spans.append((start, at))
+    return [*spans, (len(text.encode()),) * 2]
+
+
+def _like_the_library(sp, made, text):
+    ids = sp.encode(text, add_bos=True, add_eos=True)
+    assert made.n_tokens == len(ids) and made.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert made.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+    assert made.spans_sha256 == hashlib.sha256(np.array(_library_spans(sp, text), "<u4").tobytes()).hexdigest()
+
+
+def test_sentencepiece_query_aligns(docs, texts):
+    import sentencepiece
+
+    path = tokenizer_path(sentencepiece_codec.MODEL)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    for r in sentencepiece_codec.digests(docs, path).collect():
+        _like_the_library(sp, r, texts[r.doc_id] or "")
+
+
+def test_sentencepiece_decodes_whole_texts(monkeypatch):
+    path = tokenizer_path(sentencepiece_codec.MODEL)
+    c, calls = sentencepiece_codec.codec(path), []
+    decode = c.sp.decode
+    monkeypatch.setattr(c.sp, "decode", lambda ids: calls.append(ids) or decode(ids))
+    raw, decoded = sentencepiece_codec._encoding(path, ("ids_le", "decoded"))(["Unseen wordzz, é日😀  and more ", None])
+    assert calls == [np.frombuffer(x, "<u4").tolist() for x in raw] and decoded == [decode(x) for x in calls]
+
+
 def test_segments_too_long_to_keep():
     import sentencepiece
 
